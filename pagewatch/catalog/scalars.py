@@ -421,12 +421,13 @@ def _guidance_unchanged(t: Tables):
 
 @case(
     "quote_diff",
-    "select doc_id, substr(text,1,10)||'…' as dropped, 'new '||cast(doc_id as varchar) as added from documents",
+    "select doc_id, trim(substr(text,1,10),' '||chr(10)||chr(13))||'…' as dropped, 'new '||cast(doc_id as varchar) as added from documents",
 )
 def _quote_diff(t: Tables):
     ev = lambda *q: F.array(*[F.struct(x.alias("quote"), F.lit("w").alias("why")) for x in q])
     shared = F.lit("Shared  quote.")
-    old = ev(F.substring("text", 1, 10), F.concat(F.substring("text", 1, 10), F.lit("…")), shared)
+    head = text.strip(F.substring("text", 1, 10))
+    old = ev(head, F.concat(head, F.lit("…")), shared)
     new = ev(F.lit("shared quote"), F.concat(F.lit("new "), F.col("doc_id").cast("string")))
     d = t("documents").withColumn("diff", text.quote_diff(old, new))
     return d.select(

@@ -35,9 +35,9 @@ select 'H4'||substr(candidate_id,2), regexp_replace(name, ',', ' JR,'), office,
     "people_v": (
         """select candidate_id,
   case c_custkey%5 when 0 then 'SMITH' when 1 then 'ONDER' when 2 then 'O''BRIEN' when 3 then 'VAN-DYKE'
-    else 'MCCOY' end || cast(c_custkey as string) || ', ' || given || tail as name,
+    else 'MCCOY' end || ', ' || given || tail as name,
   case when c_custkey%3=0 then 'Mc' else '' end || case c_custkey%5 when 0 then 'Smith' when 1 then 'Onder'
-    when 2 then 'O''Brien' when 3 then 'Van-Dyke' else 'Mccoy' end || cast(c_custkey as string) as feed_last,
+    when 2 then 'O''Brien' when 3 then 'Van-Dyke' else 'Mccoy' end as feed_last,
   case cast(floor(c_custkey/7) as int)%4 when 0 then given when 1 then substr(given,1,1)||'.' when 2 then substr(given,1,2)
     else 'Pat' end as feed_given,
   office, state, district, party, cycle, receipts, incumbent, website_url, url_verified, inactive, c_custkey
@@ -78,8 +78,7 @@ from people_v""",
         ("people_v",),
     ),
     "overrides_v": (
-        """select office||'-'||upper(state)||'-'||case when office in ('S','P') then '0' when ltrim(district,'0')='' then '0'
-    else ltrim(district,'0') end||'-'||case when party in ('DEM','DFL') then 'DEM' when party in ('REP','GOP') then 'REP'
+        """select office||'-'||upper(state)||'-'||case when office in ('S','P') then '0' else cast(cast(district as int) as string) end||'-'||case when party in ('DEM','DFL') then 'DEM' when party in ('REP','GOP') then 'REP'
     else party end as key,
   case when c_custkey%2=0 then candidate_id else 'X'||candidate_id end as candidate_id,
   'Override '||cast(c_custkey as string) as name

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,6 +48,14 @@ def any_of(conditions: Sequence[Column]) -> Column:
     return out
 
 
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Apply ``fn`` to ``value`` computed once.
+
+    A column used inside an array lambda is otherwise evaluated per element.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim every Unicode whitespace character, not only spaces."""
     return F.trim(c, F.lit(WHITESPACE))
@@ -93,9 +101,11 @@ def classifier_text(visible: Column, dom: Column) -> Column:
     """Visible text followed by the document lines a visitor does not see."""
     vis = strip(F.coalesce(visible, F.lit("")))
     full = strip(F.coalesce(dom, F.lit("")))
-    seen = F.transform(lines(vis), strip)
-    hidden = F.array_join(
-        F.filter(lines(full), lambda x: (strip(x) != "") & ~F.array_contains(seen, strip(x))), "\n"
+    hidden = bind(
+        F.transform(lines(vis), strip),
+        lambda seen: F.array_join(
+            F.filter(lines(full), lambda x: (strip(x) != "") & ~F.array_contains(seen, strip(x))), "\n"
+        ),
     )
     remainder = F.when(vis == "", full).otherwise(hidden)
     joined = strip(F.concat(vis, F.lit(f"\n\n{HIDDEN_MARKER}\n"), remainder))
@@ -129,9 +139,8 @@ def quote_set(evidence: Column) -> Column:
 def guidance_unchanged(prev_evidence: Column, new_evidence: Column, prev_text: Column, new_text: Column) -> Column:
     """True / false when the quoted spans settle it, NULL when they cannot."""
     before, after = quote_set(prev_evidence), quote_set(new_evidence)
-    before_text, after_text = norm_span(prev_text), norm_span(new_text)
-    held_after = F.forall(before, lambda q: F.contains(after_text, q))
-    held_before = F.forall(after, lambda q: F.contains(before_text, q))
+    held_after = bind(norm_span(new_text), lambda page: F.forall(before, lambda q: F.contains(page, q)))
+    held_before = bind(norm_span(prev_text), lambda page: F.forall(after, lambda q: F.contains(page, q)))
     return (
         F.when(
             (F.size(before) > 0) & (F.size(after) > 0),
@@ -147,8 +156,11 @@ def quote_diff(old_evidence: Column, new_evidence: Column) -> Column:
 
     def one_sided(evidence: Column, other: Column) -> Column:
         quotes = raw_quotes(evidence)
-        keys = F.filter(quote_set(evidence), lambda k: ~F.array_contains(quote_set(other), k))
-        return F.transform(keys, lambda k: F.element_at(F.filter(quotes, lambda q: span_key(q) == k), -1))
+        keys = F.array_except(quote_set(evidence), quote_set(other))
+        return bind(
+            quotes,
+            lambda raw: F.transform(keys, lambda k: F.element_at(F.filter(raw, lambda q: span_key(q) == k), -1)),
+        )
 
     return F.struct(
         one_sided(new_evidence, old_evidence).alias("added"),

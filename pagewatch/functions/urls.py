@@ -111,8 +111,8 @@ def site_host(u: Column) -> Column:
 
 
 def is_blocked_host(u: Column) -> Column:
-    host = site_host(u)
-    return host.endswith(".gov") | any_of([(host == b) | host.endswith("." + b) for b in BLOCKED_HOSTS])
+    listed = "|".join(b.replace(".", r"\.") for b in BLOCKED_HOSTS)
+    return site_host(u).rlike(rf"(?:^|\.)(?:{listed})$|\.gov$")
 
 
 def pick_campaign_url(text: Column) -> Column:

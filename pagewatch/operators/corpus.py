@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewatch.functions.status import THROTTLE_STATUSES, parse_verdict, severity, should_escalate
-from pagewatch.functions.text import SIGNAL_PATTERNS, signal_score, strip
+from pagewatch.functions.text import SIGNAL_PATTERNS, bind, signal_score, strip
 from pagewatch.functions.urls import (
     COMMON_PATHS, canon_url, host_key, is_boilerplate, is_high_value, is_media, is_pdf, same_domain, url_host,
 )
@@ -124,7 +124,10 @@ def combine_chunks(scored: DataFrame) -> DataFrame:
         ).alias("r"),
         "escalated",
     )
-    top = F.filter("rows", lambda r: r["sev"] == F.array_max(F.transform("rows", lambda x: x["sev"])))
+    top = bind(
+        F.array_max(F.transform("rows", lambda x: x["sev"])),
+        lambda worst: F.filter("rows", lambda r: r["sev"] == worst),
+    )
     lead = F.col("top")[0]
     return (
         rows.groupBy("page_id")

@@ -9,6 +9,7 @@ from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements whose text is never page content.
 SILENT_TAGS = frozenset({"script", "style", "noscript", "template", "svg", "canvas", "head", "title"})
@@ -135,7 +136,7 @@ def parse_robots(status: int, body: str, agent: str) -> tuple[bool, list[dict],
     return False, rules, None if delay is None else float(delay)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def robots_path(urls: pd.Series) -> pd.Series:
     """The part of an address robots rules are matched against."""
 

@@ -19,6 +19,8 @@ BUCKET = ["office", "state", "district", "party"]
 
 def with_bucket(candidates: DataFrame) -> DataFrame:
     """Add b_office, b_state, b_district, b_party: the nominee bucket."""
+    if "b_party" in candidates.columns:
+        return candidates
     return candidates.withColumns(
         {
             "b_office": F.coalesce("office", F.lit("")),

@@ -9,6 +9,7 @@ from pagewatch.operators.nominees import (
     B, BUCKET, bucket_sizes, crosswalk, exclude_unvoted, flag_losers, latest_call, override_nominees, primary_loser_moves,
     settled_states, shared_ballot, unvoted_races, with_bucket,
 )
+from pagewatch.session import write_through
 
 
 def resolve_nominees(
@@ -20,6 +21,9 @@ def resolve_nominees(
     match of the latest feed call. States with one shared ballot resolve only
     by manual call.
     """
+    candidates = write_through(
+        with_bucket(candidates).select("candidate_id", "name", *B), "buckets"
+    )
     sizes = bucket_sizes(candidates)
     manual = override_nominees(candidates, overrides)
     open_buckets = sizes.join(manual.select(*B), B, "left_anti").filter(~shared_ballot(F.col("b_state")))
@@ -67,10 +71,12 @@ def sweep_losers(
     past = settled_states(elections, today).filter("disposition = 'past'").select("state")
     postponed = unvoted_races(elections, today)
     swept = candidates.filter(F.coalesce("inactive", F.lit(0)).isin(0, 3)).join(past, "state", "left_semi")
-    nominees, _ = resolve_nominees(exclude_unvoted(swept, postponed), overrides, calls)
+    nominees = write_through(resolve_nominees(exclude_unvoted(swept, postponed), overrides, calls)[0], "nominees")
     if calls is None:
         silent = past
     else:
         silent = failed_states if failed_states is not None else past.limit(0)
-    moves = primary_loser_moves(candidates, nominees, past, silent, postponed, allow_mass_clear)
+    moves = write_through(
+        primary_loser_moves(candidates, nominees, past, silent, postponed, allow_mass_clear), "moves"
+    )
     return flag_losers(candidates, moves, nominees, cycle, ts), moves
