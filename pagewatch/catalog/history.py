@@ -200,12 +200,12 @@ def _sweep_decisions(t: Tables):
 @case(
     "diff_scans",
     with_views(
-        "select candidate_id, url, event_type, bid as prev_scan_id, scan_id as new_scan_id, bcls as prev_classification, case when vanish then "
+        "select candidate_id, url, kind as event_type, bid as prev_scan_id, scan_id as new_scan_id, bcls as prev_classification, case when vanish then "
         f"{NONE} else ncls end as new_classification from (select *, case when changed then case when pp and not np then 'take_down' when np and not pp then 'put_up' when pp and np then 'modified' end "
-        "when vanish then 'take_down' end as event_type from (select *, usable and not unchanged and bhash is distinct from text_hash as changed, not usable and gone and prev_status in (404,410) "
+        "when vanish then 'take_down' end as kind from (select *, usable and not unchanged and bhash is distinct from text_hash as changed, not usable and gone and prev_status in (404,410) "
         "and bcls in ('red_box_guidance','ambiguous') as vanish, bcls in ('red_box_guidance','ambiguous') as pp, ncls in ('red_box_guidance','ambiguous') as np from "
         f"(select act.*, case when action in ('classify','reuse') then d.classification else {NONE} end as ncls, d.classification as dcls from act left join detections_v d on d.scan_id=act.lead "
-        "where recorded) a where bid is not null and not (action in ('classify','reuse') and dcls is null)) b) c where event_type is not null",
+        "where recorded) a where bid is not null and not (action in ('classify','reuse') and dcls is null)) b) c where kind is not null",
         *SWEEP_VIEWS, extra=SWEEP_CHAIN,
     ),
 )
