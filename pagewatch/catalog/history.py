@@ -49,9 +49,9 @@ REPLAY = (SP, H0, H1, H2, H3, EV)
 # the event log of a tracker that lost some events, got some wrong and invented others
 RECORDED = (
     "recorded",
-    "select new_scan_id*2 as change_id, candidate_id, url, case when new_scan_id%7=0 then 'put_up' else event_type end as event_type, prev_scan_id, new_scan_id, "
-    "prev_classification, new_classification, detected_at from ev where new_scan_id%5<>0 union all "
-    "select scan_id*2+1, candidate_id, url, 'take_down', null, scan_id, 'red_box_guidance', 'no_guidance_detected', fetched_at from sp where http_status=404 and scan_id%9=0 "
+    "select new_scan_id*2 as change_id, candidate_id, url, case when new_classification='ambiguous' then 'put_up' else event_type end as event_type, prev_scan_id, new_scan_id, "
+    "prev_classification, new_classification, detected_at from ev where prev_classification<>'ambiguous' union all "
+    "select scan_id*2+1, candidate_id, url, 'take_down', null, scan_id, 'red_box_guidance', 'no_guidance_detected', fetched_at from sp where http_status=404 and render_mode='pdf' "
     "and scan_id not in (select new_scan_id from ev)",
 )
 DIFF = (
@@ -130,10 +130,10 @@ def _replay(t: Tables):
 
 def recorded_events(t: Tables):
     ev = C.replay_changes(t("scans_v"), t("detections_v")).withColumn("change_id", F.col("new_scan_id") * 2)
-    kept = ev.filter("new_scan_id % 5 <> 0").withColumn(
-        "event_type", F.when(F.col("new_scan_id") % 7 == 0, "put_up").otherwise(F.col("event_type"))
+    kept = ev.filter("prev_classification <> 'ambiguous'").withColumn(
+        "event_type", F.when(F.col("new_classification") == "ambiguous", "put_up").otherwise(F.col("event_type"))
     )
-    invented = t("scans_v").filter("http_status = 404 and scan_id % 9 = 0").join(
+    invented = t("scans_v").filter("http_status = 404 and render_mode = 'pdf'").join(
         ev.select(F.col("new_scan_id").alias("scan_id")), "scan_id", "left_anti"
     ).select(
         (F.col("scan_id") * 2 + 1).alias("change_id"), "candidate_id", "url", F.lit("take_down").alias("event_type"),

@@ -431,25 +431,25 @@ def _flag(t: Tables):
     "mass_clear_guard",
     with_views(
         "select state, count(*) as n_clear, m as n_marked, count(*)>greatest(5.0,0.2*m) as refused from candidates_v join "
-        "(select state, count(*) as m from candidates_v where inactive=3 group by state) k using (state) where inactive=3 and c_custkey%2=0 group by state, m",
+        "(select state, count(*) as m from candidates_v where inactive=3 group by state) k using (state) where inactive=3 and office='H' group by state, m",
         "candidates_v",
     ),
 )
 def _guard(t: Tables):
     marked = t("candidates_v").filter("inactive = 3")
-    return N.mass_clear_guard(marked.filter("c_custkey % 2 = 0"), marked)
+    return N.mass_clear_guard(marked.filter("office = 'H'"), marked)
 
 
 @case(
     "sync_inactive",
     with_views(
-        "select candidate_id, case when coalesce(inactive,0)=0 and c_custkey%6=0 then 1 when inactive=1 and c_custkey%6<>0 then null else inactive end as inactive from candidates_v",
+        "select candidate_id, case when coalesce(inactive,0)=0 and party='IND' then 1 when inactive=1 and party<>'IND' then null else inactive end as inactive from candidates_v",
         "candidates_v",
     ),
 )
 def _sync(t: Tables):
     c = t("candidates_v").withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
-    return N.sync_inactive(c, c.filter("c_custkey % 6 = 0"), stamp()).select("candidate_id", "inactive")
+    return N.sync_inactive(c, c.filter("party = 'IND'"), stamp()).select("candidate_id", "inactive")
 
 
 # ---------------------------------------------------------------- schedule
@@ -614,20 +614,20 @@ def _encyclopedia(t: Tables):
 @case(
     "resolution_chain",
     with_views(
-        "select c.candidate_id, case when c_custkey%7=0 then 'https://m.example' when c_custkey%5=0 then 'https://w.example' when c_custkey%3=0 then 'http://c.example' else se.url end as url, "
-        "case when c_custkey%7=0 then 'manual' when c_custkey%5=0 then 'wikipedia' when c_custkey%3=0 then 'committee' when se.url is not null then 'search' else 'none' end as url_source, "
-        "c_custkey%7=0 and c_custkey%2=0 as url_verified from candidates_v c left join se using (candidate_id)",
+        "select c.candidate_id, case when office='P' then 'https://m.example' when party='DEM' then 'https://w.example' when party='GOP' then 'http://c.example' else se.url end as url, "
+        "case when office='P' then 'manual' when party='DEM' then 'wikipedia' when party='GOP' then 'committee' when se.url is not null then 'search' else 'none' end as url_source, "
+        "office='P' and c_custkey%2=0 as url_verified from candidates_v c left join se using (candidate_id)",
         "candidates_v", extra=(HITS_T, SEARCH),
     ),
 )
 def _chain(t: Tables):
     c = t("candidates_v")
-    overrides = c.filter("c_custkey % 7 = 0").select(
+    overrides = c.filter("office = 'P'").select(
         "candidate_id", F.lit("https://m.example").alias("url"), (F.col("c_custkey") % 2 == 0).alias("verified")
     )
-    wiki = c.filter("c_custkey % 5 = 0").select("candidate_id", F.lit("https://w.example").alias("url"))
+    wiki = c.filter("party = 'DEM'").select("candidate_id", F.lit("https://w.example").alias("url"))
     filed = F.explode(F.array(F.lit("see web"), F.lit("http://c.example"), F.lit("http://d.example")))
-    committees = c.filter("c_custkey % 3 = 0").select("candidate_id", filed.alias("url")).withColumn(
+    committees = c.filter("party = 'GOP'").select("candidate_id", filed.alias("url")).withColumn(
         "seq", F.when(F.col("url") == "http://d.example", 3).otherwise(2)
     )
     return R.resolution_chain(c, overrides, wiki, committees, search_results(t))
@@ -635,7 +635,7 @@ def _chain(t: Tables):
 
 @case(
     "robots_posture",
-    "select page_id, case when page_id%2=0 and h like 'blog.%' then 'override' else 'respect' end as posture from "
+    "select page_id, case when h like 'blog.%' then 'override' else 'respect' end as posture from "
     "(select page_id, regexp_extract(url,'//([^/?#]*)',1) as h from pages) p",
 )
 def _posture(t: Tables):
@@ -644,7 +644,5 @@ def _posture(t: Tables):
     overrides = p.filter("host like 'blog.%'").select(
         F.concat(F.lit("WWW."), F.upper("host"), F.lit(":443")).alias("host"), F.lit(" Override ").alias("posture")
     ).distinct()
-    evens = R.robots_posture(p.filter("page_id % 2 = 0").select("page_id", "url"), overrides)
-    odds = R.robots_posture(p.filter("page_id % 2 = 1").select("page_id", "url"), overrides.limit(0))
-    return evens.unionByName(odds).select("page_id", "posture")
+    return R.robots_posture(p.select("page_id", "url"), overrides).select("page_id", "posture")
 

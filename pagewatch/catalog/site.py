@@ -386,7 +386,7 @@ def _feed_json(t: Tables):
 
 # posted: one id per candidate, under the old suffix for half of them
 _ITEMS = "select candidate_id||'#'||cast(c_custkey%7 as string) as id, c_custkey+1 as position from candidates_v where coalesce(inactive,0)=0"
-_POSTED = "select candidate_id||'#'||cast(case when c_custkey%3=0 then c_custkey%7 else 9 end as string) as id from candidates_v where c_custkey%4<>0"
+_POSTED = "select candidate_id||'#'||cast(case when c_custkey%3=0 then c_custkey%7 else 9 end as string) as id from candidates_v where office<>'P'"
 
 
 @case(

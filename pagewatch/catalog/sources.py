@@ -54,7 +54,7 @@ from (select *, case c_custkey%7 when 0 then 'JANE' when 1 then 'ROBERT' when 2
   case n_nationkey%6 when 0 then 'TOSSUP' when 1 then 'Lean R' when 2 then ' tilt D' when 3 then 'Likely D'
     when 4 then 'Safe R' else 'too close' end as rating from nation
 union all
-select n_nationkey+1000, 'H', n_name, '01', 'Toss-up' from nation where n_nationkey%4=1""",
+select n_nationkey+1000, 'H', n_name, '01', 'Toss-up' from nation where n_regionkey=1""",
         ("nation",),
     ),
     "elections_v": (
@@ -82,8 +82,7 @@ from people_v""",
     else party end as key,
   case when c_custkey%2=0 then candidate_id else 'X'||candidate_id end as candidate_id,
   'Override '||cast(c_custkey as string) as name
-from candidates_v where c_custkey in (select min(c_custkey) from candidates_v
-  where c_custkey%10<>0 group by state, office)""",
+from candidates_v where c_custkey in (select min(c_custkey) from candidates_v group by state, office, party)""",
         ("candidates_v",),
     ),
     "scans_v": (
@@ -119,9 +118,9 @@ from events where event_type in ('purchase','click') and event_id%6=0""",
         ("events",),
     ),
     "archives_v": (
-        """select event_id*3 as archive_id, event_id as detection_id, event_id as scan_id,
+        """select event_id*3 as archive_id, case when event_type='click' then event_id end as detection_id, event_id as scan_id,
   case when event_id%4=0 then '/a/'||cast(event_id as string)||'.pdf' end as pdf_path, ts as archived_at
-from events where event_type in ('purchase','click') and event_id%2=0""",
+from events where event_type in ('purchase','click')""",
         ("events",),
     ),
     # recorded change events of the tracker itself (not a replay)

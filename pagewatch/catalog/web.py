@@ -434,12 +434,12 @@ def _normalize(t: Tables):
     )
 
 
-@case("guarded_snapshot_replace", with_views("select candidate_id, name from candidates_v where c_custkey%2=0", "candidates_v"))
+@case("guarded_snapshot_replace", with_views("select candidate_id, name from candidates_v where office='H'", "candidates_v"))
 def _snapshot(t: Tables):
     target = scratch(t, "snapshots")
     c = t("candidates_v").select("candidate_id", "name", "c_custkey")
     tables.guarded_snapshot_replace(c, target, 1, stamp="20260601")
-    tables.guarded_snapshot_replace(c.filter("c_custkey % 2 = 0"), target, 1, stamp="20260601")
+    tables.guarded_snapshot_replace(c.filter("office = 'H'"), target, 1, stamp="20260601")
     try:
         tables.guarded_snapshot_replace(c.limit(1), target, 2, stamp="20260602")
     except ValueError:
@@ -462,16 +462,16 @@ def _csv(t: Tables):
     "merge_candidates",
     with_views(
         "select coalesce(o.candidate_id,n.candidate_id) as candidate_id, coalesce(n.name,o.name) as name, o.website_url, case when o.candidate_id is null then 'none' else 'search' end as url_source, "
-        "n.candidate_id is not null as touched, o.inactive from (select * from candidates_v where c_custkey%3<>0) o full join (select * from people_v where c_custkey%2=0) n on n.candidate_id=o.candidate_id",
+        "n.candidate_id is not null as touched, o.inactive from (select * from candidates_v where office<>'S') o full join (select * from people_v where party<>'IND') n on n.candidate_id=o.candidate_id",
         "candidates_v", "people_v",
     ),
 )
 def _merge(t: Tables):
     extra = {c: F.lit(None).cast("string") for c in ("universe_reason", "rating", "nominee_source")}
-    old = t("candidates_v").filter("c_custkey % 3 <> 0").withColumns(
+    old = t("candidates_v").filter("office <> 'S'").withColumns(
         {**extra, "url_source": F.lit("search"), "updated_at": F.lit(None).cast("timestamp_ntz"), "created_at": F.lit(None).cast("timestamp_ntz")}
     )
-    new = t("people_v").filter("c_custkey % 2 = 0").withColumns(extra)
+    new = t("people_v").filter("party <> 'IND'").withColumns(extra)
     merged = tables.merge_candidates(old, new, now(), 2026)
     return merged.select("candidate_id", "name", "website_url", "url_source", F.col("updated_at").isNotNull().alias("touched"), "inactive")
 
@@ -526,16 +526,16 @@ def _evolve(t: Tables):
 @case(
     "append_reviews",
     with_views(
-        "select (select max(review_id) from reviews_v)+row_number() over (order by detection_id, asked) as review_id, detection_id, action from (select detection_id, detection_id as asked, 'reject' as action from pbod where detection_id%50=2 "
-        "union all select m.detection_id, p.detection_id, 'reject' from pbod p join pbod m on m.candidate_id=p.candidate_id and m.text_hash=p.text_hash and m.detection_id<>p.detection_id where p.detection_id%100=2) x",
+        "select (select max(review_id) from reviews_v)+row_number() over (order by detection_id, asked) as review_id, detection_id, action from (select detection_id, detection_id as asked, 'reject' as action from pbod where confidence<0.1 "
+        "union all select m.detection_id, p.detection_id, 'reject' from pbod p join pbod m on m.candidate_id=p.candidate_id and m.text_hash=p.text_hash and m.detection_id<>p.detection_id where p.confidence<0.1 and p.escalated) x",
         "detections_v", "scans_v", "reviews_v", extra=(PB,),
     ),
 )
 def _append(t: Tables):
     d = t("detections_v")
-    decisions = d.filter("detection_id % 50 = 2").select(
+    decisions = d.filter("confidence < 0.1").select(
         "detection_id", F.lit("reject").alias("action"), F.lit("r").alias("reviewer"), F.lit(None).cast("string").alias("notes"),
-        (F.col("detection_id") % 100 == 2).alias("group"),
+        F.col("escalated").alias("group"),
     )
     bad = decisions.withColumn("action", F.lit("maybe"))
     out = tables.append_reviews(t("reviews_v"), decisions.unionByName(bad), d, t("scans_v"), now())
