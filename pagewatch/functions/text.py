@@ -15,28 +15,30 @@ WHITESPACE = (
 # The characters that end a line.
 LINE_BREAKS = r"\r\n|[\n\x0B\f\r\x1c-\x1e\x85\u2028\u2029]"
 
-# Lexical signals of guidance addressed to outside spenders.
-SIGNAL_PATTERNS = (
-    r"\bvoters?\s+(?:need|should|must)\b",
-    r"\bneed to (?:see|hear|read|know)\b",
-    r"\bshould (?:see|hear|read|tell|emphasize|mention|feature|highlight|know)\b",
-    r"\bon the go\b",
-    r"\bin (?:their|the) mailbox",
-    r"\bb-?roll\b",
-    r"\bmedia market\b",
-    r"\bpaid (?:communication|media|advertising|comms)\b",
-    r"\bdirect mail\b",
-    r"\b(younger|older|suburban|rural|likely|latino|latina) (?:primary )?voters?\b",
-    r"\bcontrast (?:with|against|messaging)\b",
-    r"\bmessaging guidance\b",
-    r"\bclear and bold\b",
-    r"\bmore to follow\b",
-    r"\bfor (?:national|local) press release\b",
-    r"\bvoters (?:age|under|over|likely)\b",
-    r"\bon (?:the )?(?:tv|broadcast|cable|ctv|youtube|meta|streaming)\b",
-    r"\bcouncilmanic\b",
-    r"\bcrosstab",
+# Lexical signals of guidance addressed to outside spenders, each
+# with a lower-case text every match contains.
+SIGNALS = (
+    (r"\bvoters?\s+(?:need|should|must)\b", "voter"),
+    (r"\bneed to (?:see|hear|read|know)\b", "need to "),
+    (r"\bshould (?:see|hear|read|tell|emphasize|mention|feature|highlight|know)\b", "should "),
+    (r"\bon the go\b", "on the go"),
+    (r"\bin (?:their|the) mailbox", "mailbox"),
+    (r"\bb-?roll\b", "roll"),
+    (r"\bmedia market\b", "media market"),
+    (r"\bpaid (?:communication|media|advertising|comms)\b", "paid "),
+    (r"\bdirect mail\b", "direct mail"),
+    (r"\b(younger|older|suburban|rural|likely|latino|latina) (?:primary )?voters?\b", "voter"),
+    (r"\bcontrast (?:with|against|messaging)\b", "contrast "),
+    (r"\bmessaging guidance\b", "messaging guidance"),
+    (r"\bclear and bold\b", "clear and bold"),
+    (r"\bmore to follow\b", "more to follow"),
+    (r"\bfor (?:national|local) press release\b", " press release"),
+    (r"\bvoters (?:age|under|over|likely)\b", "voters "),
+    (r"\bon (?:the )?(?:tv|broadcast|cable|ctv|youtube|meta|streaming)\b", "on "),
+    (r"\bcouncilmanic\b", "councilmanic"),
+    (r"\bcrosstab", "crosstab"),
 )
+SIGNAL_PATTERNS = tuple(pattern for pattern, _ in SIGNALS)
 
 HIDDEN_MARKER = "[hidden/DOM-only content]"
 
@@ -87,13 +89,33 @@ def title_case(c: Column) -> Column:
     )
 
 
-def signal_score(text: Column, patterns: Sequence[str] = SIGNAL_PATTERNS) -> Column:
-    """How many distinct patterns occur in the whole text."""
+def case_folded(c: Column) -> Column:
+    """Lower case, with the letters a case-insensitive ASCII match also accepts."""
+    return F.lower(F.translate(c, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
+def signal_hits(text: Column, patterns: Sequence[str] = SIGNAL_PATTERNS) -> list[Column]:
+    """One boolean per pattern: it occurs somewhere in the whole text.
+
+    Known patterns look for their fixed text first, which is far cheaper than
+    the regular expression and settles most pages.
+    """
+    known = dict(SIGNALS)
     body = F.coalesce(text, F.lit(""))
-    hits = [body.rlike("(?iU)" + p).cast("int") for p in patterns]
-    total = hits[0]
-    for hit in hits[1:]:
-        total = total + hit
+    low = case_folded(body)
+
+    def hit(pattern: str) -> Column:
+        match = body.rlike("(?iU)" + pattern)
+        return F.contains(low, F.lit(known[pattern])) & match if pattern in known else match
+
+    return [hit(p) for p in patterns]
+
+
+def signal_score(text: Column, patterns: Sequence[str] = SIGNAL_PATTERNS) -> Column:
+    """How many distinct patterns occur in the text."""
+    total = F.lit(0)
+    for hit in signal_hits(text, patterns):
+        total = total + hit.cast("int")
     return total
 
 

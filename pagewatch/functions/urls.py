@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewatch.functions.text import any_of, strip
-
-# scheme, authority, path, query (the fragment is matched and ignored)
-URL_SHAPE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+from pagewatch.functions.text import any_of, bind, strip
 
 # Path fragments of pages that always go to the classifier.
 MEDIA_PATHS = (
@@ -39,21 +36,43 @@ COMMON_PATHS = (
 )
 
 
+def url_parts(u: Column) -> Column:
+    """struct(host, path, query) of an address; the fragment is dropped."""
+
+    def parts(bare: Column, head: Column, rest: Column) -> Column:
+        absolute = rest.startswith("//")
+        host = F.when(absolute, F.substring_index(F.substr(rest, F.lit(3)), "/", 1)).otherwise("")
+        return bind(
+            host,
+            lambda h: F.struct(
+                h.alias("host"),
+                F.when(absolute, F.substr(rest, F.length(h) + 3)).otherwise(rest).alias("path"),
+                F.substr(bare, F.length(head) + 2).alias("query"),
+            ),
+        )
+
+    def split(bare: Column) -> Column:
+        return bind(
+            F.substring_index(bare, "?", 1),
+            lambda head: bind(
+                F.regexp_replace(head, r"^[A-Za-z][A-Za-z0-9+.-]*:", ""), lambda rest: parts(bare, head, rest)
+            ),
+        )
+
+    return bind(F.substring_index(u, "#", 1), split)
+
+
 def url_scheme(u: Column) -> Column:
-    return F.lower(F.regexp_extract(u, URL_SHAPE, 1))
+    return F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
 
 
 def url_host(u: Column) -> Column:
-    return F.regexp_extract(u, URL_SHAPE, 2)
+    return url_parts(u)["host"]
 
 
-def url_path(u: Column) -> Column:
+def without_params(path: Column) -> Column:
     """Path without the ';params' of its last segment."""
-    return F.regexp_replace(F.regexp_extract(u, URL_SHAPE, 3), r";[^/]*$", "")
-
-
-def url_query(u: Column) -> Column:
-    return F.regexp_extract(u, URL_SHAPE, 4)
+    return F.regexp_replace(path, r";[^/]*$", "")
 
 
 def without_www(host: Column) -> Column:
@@ -62,32 +81,40 @@ def without_www(host: Column) -> Column:
 
 def canon_url(u: Column) -> Column:
     """Page key: scheme, 'www.', fragment and trailing slash do not matter."""
-    path = F.rtrim(url_path(u), F.lit("/"))
-    query = url_query(u)
-    return F.concat(
-        without_www(F.lower(url_host(u))),
-        F.when(path == "", "/").otherwise(path),
-        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
-    )
+
+    def key(p: Column) -> Column:
+        return bind(
+            F.rtrim(without_params(p["path"]), F.lit("/")),
+            lambda path: F.concat(
+                without_www(F.lower(p["host"])),
+                F.when(path == "", "/").otherwise(path),
+                F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])),
+            ),
+        )
+
+    return bind(url_parts(u), key)
 
 
 def url_variants(u: Column) -> Column:
     """Stored forms that share one page key: scheme x www x trailing slash."""
-    host = url_host(u)
-    other = F.when(host.startswith("www."), host.substr(F.lit(5), F.length(host))).otherwise(
-        F.concat(F.lit("www."), host)
-    )
-    path = F.rtrim(url_path(u), F.lit("/"))
-    params = F.regexp_extract(F.regexp_extract(u, URL_SHAPE, 3), r";[^/]*$", 0)
-    query = url_query(u)
-    tail = F.concat(params, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    forms = [
-        F.concat(F.lit(f"{scheme}://"), h, path, F.lit(slash), tail)
-        for scheme in ("https", "http")
-        for h in (host, other)
-        for slash in ("", "/")
-    ]
-    return F.array_sort(F.array(*forms))
+
+    def forms(p: Column) -> Column:
+        host, path = p["host"], F.rtrim(without_params(p["path"]), F.lit("/"))
+        other = F.when(host.startswith("www."), F.substr(host, F.lit(5))).otherwise(F.concat(F.lit("www."), host))
+        params = F.regexp_extract(p["path"], r";[^/]*$", 0)
+        tail = F.concat(params, F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])))
+        return F.array_sort(
+            F.array(
+                *[
+                    F.concat(F.lit(f"{scheme}://"), h, path, F.lit(slash), tail)
+                    for scheme in ("https", "http")
+                    for h in (host, other)
+                    for slash in ("", "/")
+                ]
+            )
+        )
+
+    return bind(url_parts(u), forms)
 
 
 def host_key(u: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewatch.functions.status import THROTTLE_STATUSES, parse_verdict, severity, should_escalate
-from pagewatch.functions.text import SIGNAL_PATTERNS, bind, signal_score, strip
+from pagewatch.functions.text import SIGNAL_PATTERNS, bind, signal_hits, signal_score, strip
 from pagewatch.functions.urls import (
     COMMON_PATHS, canon_url, host_key, is_boilerplate, is_high_value, is_media, is_pdf, same_domain, url_host,
 )
@@ -65,7 +65,12 @@ def lexical_scorer(patterns: Sequence[str] = SIGNAL_PATTERNS, model: str = "lexi
 
     def score(chunks: DataFrame) -> DataFrame:
         hits = F.filter(
-            F.array(*[F.nullif(F.regexp_extract("chunk", "(?iU)" + p, 0), F.lit("")) for p in patterns]),
+            F.array(
+                *[
+                    F.when(hit, F.regexp_extract("chunk", "(?iU)" + p, 0))
+                    for p, hit in zip(patterns, signal_hits(F.col("chunk"), patterns))
+                ]
+            ),
             lambda q: q.isNotNull(),
         )
         n = F.size("_hits")

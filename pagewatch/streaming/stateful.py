@@ -24,7 +24,12 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def in_order(rows: Iterator[pd.DataFrame], order: str) -> list[dict]:
-    return pd.concat(list(rows)).sort_values(order).to_dict("records")
+    """Rows of one key as dicts, sorted by id; missing numbers become None."""
+    out: list[dict] = []
+    for batch in rows:
+        columns = [[None if v != v else v for v in batch[c].tolist()] for c in batch.columns]
+        out.extend(dict(zip(batch.columns, row)) for row in zip(*columns))
+    return sorted(out, key=lambda r: r[order])
 
 
 class _Ordered(StatefulProcessor):
@@ -41,10 +46,10 @@ class _Ordered(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.state.get() if self.state.exists() else None
+        stored = self.state.get()
         last_id, state = (stored[0], tuple(stored[1:])) if stored else (None, None)
         out: list[dict] = []
-        for row in in_order(rows, self.order):
+        for row in rows if isinstance(rows, list) else in_order(rows, self.order):
             if row.get("late") or (last_id is not None and row[self.order] <= last_id):
                 out.extend(self.late(row))
                 continue
@@ -54,7 +59,7 @@ class _Ordered(StatefulProcessor):
         if last_id is not None:
             self.state.update((last_id, *state))
         if out:
-            yield pd.DataFrame(out, columns=self.output).astype(object).where(lambda d: d.notna(), None)
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in out], dtype=object) for c in self.output})
 
     def late(self, row: dict) -> list[dict]:
         return [{**{c: row.get(c) for c in self.output}, "late": True}]
@@ -115,7 +120,7 @@ class _PageChanges(_Ordered):
             "new_scan_id": row["scan_id"], "prev_classification": base_class, "new_classification": new_class,
             "detected_at": row["fetched_at"], "late": False,
         }
-        return (None if status is None or pd.isna(status) else int(status), *base), [event] if kind else []
+        return (None if status is None else int(status), *base), [event] if kind else []
 
 
 class _NewBodies(_Ordered):
@@ -137,7 +142,7 @@ class _NewBodies(_Ordered):
             if first is None:
                 return
             kept = kept[first:]
-        yield from super().handleInputRows(key, iter([pd.DataFrame(kept)]), timerValues)
+        yield from super().handleInputRows(key, kept, timerValues)
 
 
 class _HostStrikes(_Ordered):
@@ -150,7 +155,7 @@ class _HostStrikes(_Ordered):
     def step(self, row, state):
         n = (state[0] if state else 0) + 1 if row["http_status"] in THROTTLE_STATUSES else 0
         given = row.get("retry_after")
-        wait = 30.0 * 2.0 ** (n - 1) if given is None or pd.isna(given) else float(given)
+        wait = 30.0 * 2.0 ** (n - 1) if given is None else float(given)
         gave_up = n >= 3
         backoff = min(wait, 300.0) if n and not gave_up else None
         return (n,), [{**row, "strikes": n, "backoff_seconds": backoff, "abandoned": gave_up, "late": False}]
