@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewatch.functions.status import THROTTLE_STATUSES, parse_verdict, severity, should_escalate
 from pagewatch.functions.text import SIGNAL_PATTERNS, bind, signal_hits, signal_score, strip
 from pagewatch.functions.urls import (
-    COMMON_PATHS, canon_url, host_key, is_boilerplate, is_high_value, is_media, is_pdf, same_domain, url_host,
+    COMMON_PATHS, canon_url, is_boilerplate, is_high_value, is_media, is_pdf, same_domain, url_host,
 )
 from pagewatch.operators.markup import chunks_of, links_of, parse_robots, robots_path, text_of
 from pagewatch.operators.ordered import BLOCK_ROWS, running_streak
@@ -95,7 +96,7 @@ def batch_scorer(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
     """Wrap a user's batch function (adds a ``raw`` verdict text to each chunk row)."""
 
     def score(chunks: DataFrame) -> DataFrame:
-        out = chunks.schema.add("raw", "string")
+        out = T.StructType([*chunks.schema.fields, T.StructField("raw", T.StringType())])
         return chunks.mapInPandas(fn, out).withColumn("model", F.lit(model))
 
     return score
@@ -409,10 +410,6 @@ def host_strikes(fetch_log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFram
     )
 
 
-def fetch_host(u: Column) -> Column:
-    return host_key(u)
-
-
 def scan_outcome(pages: DataFrame, robots_blocked: DataFrame) -> DataFrame:
     """Per-candidate counters and disposition of one sweep.
 
