@@ -8,6 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewatch.catalog.sources import BASE_TABLES, VIEWS
+from pagewatch.session import read_spread
+
+
+# Tables whose texts cost far more to process than to move.
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 class Tables:
@@ -15,22 +20,24 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._made: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
-        if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        for dep in needed(name):
-            if dep in BASE_TABLES:
-                self(dep).createOrReplaceTempView(dep)
+        if name not in self._made:
+            if name in BASE_TABLES:
+                path = f"{self.folder}/{name}.parquet"
+                text = name in TEXT_TABLES
+                self._made[name] = read_spread(self.spark, path) if text else self.spark.read.parquet(path)
             else:
-                self.spark.sql(VIEWS[dep][0]).createOrReplaceTempView(dep)
-        return self.spark.table(name)
+                sql, deps = VIEWS[name]
+                self._made[name] = self.sql(sql, *deps)
+        return self._made[name]
 
     def sql(self, text: str, *names: str) -> DataFrame:
-        for name in names:
-            self(name)
-            if name in BASE_TABLES:
-                self(name).createOrReplaceTempView(name)
+        """Run ``text`` over the named tables; they are registered anew each time."""
+        frames = {name: self(name) for name in names}
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
         return self.spark.sql(text)
 
 

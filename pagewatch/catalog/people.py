@@ -452,6 +452,11 @@ def _sync(t: Tables):
     return N.sync_inactive(c, c.filter("party = 'IND'"), stamp()).select("candidate_id", "inactive")
 
 
+@case("resolver_counts", with_views("select split_part(source,':',1) as source, count(*) as n from res group by 1", *VIEWS_N, extra=R_CHAIN))
+def _resolver_counts(t: Tables):
+    return N.resolver_counts(resolve_nominees(t("people_v"), t("overrides_v"), feed_calls(t))[0])
+
+
 # ---------------------------------------------------------------- schedule
 DATED = (
     "dated",
@@ -527,6 +532,11 @@ def _scannable(t: Tables):
     return new.unionByName(S.scannable(c, "due", due).select(F.lit("due").alias("mode"), "candidate_id"))
 
 
+@case("already_attempted", with_views("select count(*) as skipped from candidates_v where website_url is not null and coalesce(inactive,0)=0 and office='H'", "candidates_v"))
+def _attempted(t: Tables):
+    return S.already_attempted(t("candidates_v").withColumn("scan_status", F.when(F.col("office") == "H", "scanned")))
+
+
 @case("scan_counts", with_views("select candidate_id, count(*) as scan_count, max(fetched_at) as last_scanned from scans_v group by 1", "scans_v"))
 def _scan_counts(t: Tables):
     return S.scan_counts(t("scans_v"))
@@ -633,6 +643,20 @@ def _chain(t: Tables):
     return R.resolution_chain(c, overrides, wiki, committees, search_results(t))
 
 
+@case(
+    "apply_resolution",
+    with_views(
+        "select c.candidate_id, case when url_verified or coalesce(inactive,0)<>0 then website_url else se.url end as website_url, case when url_verified or coalesce(inactive,0)<>0 then 'old' "
+        "when se.url is not null then 'search' when website_url is not null then 'none' else 'old' end as url_source from candidates_v c left join se using (candidate_id)",
+        "candidates_v", extra=(HITS_T, SEARCH),
+    ),
+)
+def _apply(t: Tables):
+    c = t("candidates_v").withColumns({"url_source": F.lit("old"), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    found = search_results(t).withColumns({"url_source": F.lit("search"), "url_verified": F.lit(False)})
+    return R.apply_resolution(c, found, stamp(), force=True).select("candidate_id", "website_url", "url_source")
+
+
 @case(
     "robots_posture",
     "select page_id, case when h like 'blog.%' then 'override' else 'respect' end as posture from "

@@ -19,7 +19,7 @@ from pagewatch.operators import evaluate as E
 from pagewatch.schemas import evolve_schema
 from pagewatch.session import scratch_root
 from pagewatch.sources import readers, tables
-from pagewatch.sources.sinks import universe_csv_rows
+from pagewatch.sources.sinks import universe_csv_rows, write_universe_csv
 from pagewatch.streaming import stateful
 from pagewatch.streaming.jobs import run_available, stream_feed_delta, table_stream
 
@@ -458,6 +458,14 @@ def _csv(t: Tables):
     return universe_csv_rows(u).select("candidate_id", "name", "nominee_source", "rating", "receipts")
 
 
+@case("write_universe_csv", with_views("select candidate_id, name, office, format('{:.0f}', cast(receipts as double)) as receipts from candidates_v", "candidates_v"))
+def _write_csv(t: Tables):
+    path = scratch(t, "csv")
+    u = t("candidates_v").withColumns({c: F.lit(None).cast("string") for c in ("universe_reason", "nominee_source", "rating")})
+    write_universe_csv(u, path)
+    return t.spark.read.csv(path, header=True).select("candidate_id", "name", "office", "receipts")
+
+
 @case(
     "merge_candidates",
     with_views(
@@ -573,9 +581,7 @@ def stream_view(t: Tables, view: str, table: str):
     """A domain view over the stream of one table."""
     events = table_stream(t.spark, t.folder, f"{table}.parquet")
     events.createOrReplaceTempView(table)
-    out = t.spark.sql(VIEWS[view][0])
-    t(table).createOrReplaceTempView(table)
-    return out
+    return t.spark.sql(VIEWS[view][0])
 
 
 _OWN = (

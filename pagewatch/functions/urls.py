@@ -92,7 +92,8 @@ def canon_url(u: Column) -> Column:
             ),
         )
 
-    return bind(url_parts(u), key)
+    # never NULL, so joins on the key add no null check that would compute it twice
+    return F.coalesce(bind(url_parts(F.coalesce(u, F.lit(""))), key), F.lit("/"))
 
 
 def url_variants(u: Column) -> Column:

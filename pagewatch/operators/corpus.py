@@ -15,7 +15,7 @@ from pagewatch.functions.urls import (
     COMMON_PATHS, canon_url, is_boilerplate, is_high_value, is_media, is_pdf, same_domain, url_host,
 )
 from pagewatch.operators.markup import chunks_of, links_of, parse_robots, robots_path, text_of
-from pagewatch.operators.ordered import BLOCK_ROWS, running_streak
+from pagewatch.operators.ordered import BLOCK_ROWS, running_streak, top_per_key
 from pagewatch.operators.resolve import robots_posture
 from pagewatch.session import write_through
 
@@ -227,18 +227,18 @@ def sitemap_urls(
     )
     top = sites.join(docs, "doc_url")
     plain = top.filter("not is_index").select("site", "ord", F.lit(-1).alias("child"), "locs")
-    by_place = Window.partitionBy("site").orderBy("ord", "child")
+    place = [F.col("ord"), F.col("child")]
+    listed = top.filter("is_index").select("site", "ord", F.posexplode("locs").alias("child", "doc_url"))
     children = (
-        top.filter("is_index")
-        .select("site", "ord", F.posexplode("locs").alias("child", "doc_url"))
-        .withColumn("_rn", F.row_number().over(by_place))
-        .filter(F.col("_rn") <= max_children)
+        top_per_key(listed, ["site"], place, max_children)
         .join(docs, "doc_url")
         .select("site", "ord", "child", "locs")
     )
-    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    # every unit holds an address, so the cap is reached within max_locs units
+    filled = plain.unionByName(children).filter(F.size("locs") > 0)
+    before = Window.partitionBy("site").orderBy("ord", "child").rowsBetween(Window.unboundedPreceding, -1)
     units = (
-        plain.unionByName(children)
+        top_per_key(filled, ["site"], place, max_locs)
         .withColumn("_before", F.coalesce(F.sum(F.size("locs")).over(before), F.lit(0)))
         .filter(F.col("_before") < max_locs)
     )
@@ -248,8 +248,7 @@ def sitemap_urls(
         .groupBy("site", "url")
         .agg(F.min(F.struct("ord", "child", "i")).alias("place"))
     )
-    rank = F.row_number().over(Window.partitionBy("site").orderBy("place"))
-    return found.withColumn("pos", rank).filter(F.col("pos") <= max_locs).select("site", "pos", "url")
+    return top_per_key(found, ["site"], [F.col("place")], max_locs, "pos").select("site", "pos", "url")
 
 
 def seed_urls(sites: DataFrame, sitemap: DataFrame | None = None, common_paths: Sequence[str] = COMMON_PATHS) -> DataFrame:
@@ -281,8 +280,7 @@ def seed_urls(sites: DataFrame, sitemap: DataFrame | None = None, common_paths:
 
 def crawl_budget(frontier: DataFrame, max_pages: int = 150, order: Sequence[Column] | None = None) -> DataFrame:
     """Rows within each site's per-class budget, with their ``budget_rank``."""
-    w = Window.partitionBy("site", "high").orderBy(*(order or [F.col("pos")]))
-    return frontier.withColumn("budget_rank", F.row_number().over(w)).filter(F.col("budget_rank") <= max_pages)
+    return top_per_key(frontier, ["site", "high"], order or [F.col("pos")], max_pages, "budget_rank")
 
 
 def crawl_plan(

@@ -34,6 +34,26 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def top_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "_rank", salts: int = 64
+) -> DataFrame:
+    """The first ``k`` rows per key, with their 1-based rank.
+
+    Spark limits each map partition ahead of the shuffle only for small ``k``.
+    Beyond that, rows are first cut to ``k`` per (key, salt), so a hot key
+    reaches the final ranking with at most ``k * salts`` rows. End ``order``
+    with a unique column.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > limit:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+        spread = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", salt).withColumn("_cut", F.row_number().over(spread))
+        df = df.filter(F.col("_cut") <= k).drop("_salt", "_cut")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+
+
 def history_before(
     df: DataFrame,
     keys: Sequence[str],

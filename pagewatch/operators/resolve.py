@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewatch.functions.politics import fec_name_parts
 from pagewatch.functions.urls import is_blocked_host, pick_campaign_url, robots_host, site_host, url_host, website_from_wikitext
-from pagewatch.operators.ordered import latest_per_key
+from pagewatch.operators.ordered import latest_per_key, top_per_key
 
 
 def resolve_targets(candidates: DataFrame, force: bool = False) -> DataFrame:
@@ -49,7 +49,8 @@ def select_search_result(hits: DataFrame, answers: DataFrame, shown: int = 8) ->
 
     ``hits``: candidate_id, rank, link. ``answers``: candidate_id, answer.
     """
-    listed = first_ranked(hits.filter((F.coalesce("link", F.lit("")) != "") & ~is_blocked_host(F.col("link"))), shown)
+    open_hits = hits.filter((F.coalesce("link", F.lit("")) != "") & ~is_blocked_host(F.col("link")))
+    listed = top_per_key(open_hits, ["candidate_id"], [F.col("rank")], shown)
     picked = answers.withColumn("host", site_host(pick_campaign_url(F.col("answer")))).filter("host is not null")
     return (
         listed.withColumn("host", site_host(F.col("link")))
@@ -59,11 +60,6 @@ def select_search_result(hits: DataFrame, answers: DataFrame, shown: int = 8) ->
     )
 
 
-def first_ranked(hits: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("candidate_id").orderBy("rank")
-    return hits.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-
-
 def resolution_chain(
     candidates: DataFrame,
     overrides: DataFrame,

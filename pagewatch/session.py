@@ -43,6 +43,20 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def read_spread(spark: SparkSession, path: str, min_bytes: int = 1_000_000) -> DataFrame:
+    """Read a parquet table; a table that is one file is spread over all cores.
+
+    One row group cannot be split by the scan, so a lone file would run on one
+    core. Tables of many files are read as they are.
+    """
+    df = spark.read.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath)
+    if status.isFile() and status.getLen() >= min_bytes:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def write_through(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
