@@ -89,9 +89,11 @@ def _drop_inactive(t: Tables):
     return U.drop_inactive(t("filings_v"), t("inactive_v")).select("candidate_id")
 
 
-@case("dedupe_people", with_views("select candidate_id, name, receipts from de", "filings_v", extra=(FUNDED, DEDUPED)))
+@case("dedupe_people", with_views("select candidate_id, name, cast(receipts as double) as receipts from de", "filings_v", extra=(FUNDED, DEDUPED)))
 def _dedupe(t: Tables):
-    return U.dedupe_people(U.funded(t("filings_v"))).select("candidate_id", "name", "receipts")
+    return U.dedupe_people(U.funded(t("filings_v"))).select(
+        "candidate_id", "name", F.col("receipts").cast("double").alias("receipts")
+    )
 
 
 @case("contested_primaries", with_views("select candidate_id from pop where n>=2", *VIEWS_U, extra=CHAIN))

@@ -542,7 +542,7 @@ def _clip(t: Tables):
     "select event_id, case event_id%4 when 0 then cast(event_id%500 as double) when 1 then 0.0 when 2 then null else 90.0 end as seconds from events",
 )
 def _retry_after(t: Tables):
-    now = F.lit("2026-07-30 00:00:00").cast("timestamp")
+    now = F.lit("2026-07-30T00:00:00Z").cast("timestamp")
     value = (
         F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 500).cast("string"))
         .when(F.col("event_id") % 4 == 1, "Wed, 29 Jul 2026 23:00:00 GMT")

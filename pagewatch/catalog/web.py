@@ -84,7 +84,7 @@ SV = (
 @case(
     "classify_pages",
     "with " + ", ".join(f"{n} as ({q})" for n, q in (CH, SC, SV)) + " select page_id, case max(sev) when 2 then 'red_box_guidance' when 1 then 'ambiguous' else 'no_guidance_detected' end as classification, "
-    "max(conf) filter (sev=m) as confidence, cast(sum(n) filter (sev=m) as int) as quotes, bool_or(esc) as escalated from (select *, max(sev) over (partition by page_id) as m from sv) s group by page_id",
+    "cast(max(conf) filter (sev=m) as double) as confidence, cast(sum(n) filter (sev=m) as int) as quotes, bool_or(esc) as escalated from (select *, max(sev) over (partition by page_id) as m from sv) s group by page_id",
 )
 def _classify(t: Tables):
     scorer = W.lexical_scorer(PROSE_PATTERNS)
@@ -212,7 +212,7 @@ def _crawl(t: Tables):
 @case(
     "robots_audit",
     "select page_id, case when h like 'blog.%' then 'override' else 'respect' end as posture, case when h like 'blog.%' then true when length(h)%4=0 then false when length(h)%4=1 then true "
-    "when starts_with(p,'/en/') then false else true end as allowed, case when length(h)%4 in (2,3) then 5.0 end as crawl_delay from "
+    "when starts_with(p,'/en/') then false else true end as allowed, case when length(h)%4 in (2,3) then cast(5 as double) end as crawl_delay from "
     "(select page_id, regexp_extract(url,'//([^/?#]*)',1) as h, regexp_extract(url,'//[^/?#]*([^?#]*)',1) as p from pages) x",
 )
 def _robots(t: Tables):
