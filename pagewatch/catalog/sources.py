@@ -125,15 +125,13 @@ from events where event_type in ('purchase','click')""",
     ),
     # recorded change events of the tracker itself (not a replay)
     "change_events_v": (
-        """select event_id as change_id, candidate_id, url,
+        """select scan_id as change_id, candidate_id, url,
   case when event_type='error' then 'take_down' when event_type='purchase' then 'put_up' else 'modified' end as event_type,
-  case when event_type='click' then prev_id end as prev_scan_id, event_id as new_scan_id,
+  case when event_type='click' then scan_id-1 end as prev_scan_id, scan_id as new_scan_id,
   case when event_type='purchase' then 'no_guidance_detected' else 'red_box_guidance' end as prev_classification,
   case when event_type='error' then 'no_guidance_detected' when event_type='purchase' then 'red_box_guidance'
     else 'ambiguous' end as new_classification, fetched_at as detected_at
-from (select *, scan_id as event_id, max(case when event_type in ('purchase','view') then scan_id end) over
-    (partition by candidate_id order by scan_id rows between unbounded preceding and 1 preceding) as prev_id
-  from scans_v) s where event_type in ('error','purchase','click')""",
+from scans_v where event_type in ('error','purchase','click')""",
         ("scans_v",),
     ),
     "ie_filings_v": (

@@ -95,9 +95,9 @@ def _classify(t: Tables):
 @case(
     "combine_chunks",
     with_views(
-        "select candidate_id as page_id, case max(sev) when 2 then 'red_box_guidance' when 1 then 'ambiguous' else 'no_guidance_detected' end as classification, max(confidence) filter (sev=m) as confidence, "
-        "bool_or(escalated) as escalated, arg_min('r'||cast(detection_id as varchar), detection_id) filter (sev=m) as rationale from (select *, max(sev) over (partition by candidate_id) as m from "
-        "(select *, case classification when 'red_box_guidance' then 2 when 'ambiguous' then 1 else 0 end as sev from detections_v) d) x group by 1",
+        "select page_id, case max(sev) when 2 then 'red_box_guidance' when 1 then 'ambiguous' else 'no_guidance_detected' end as classification, max(confidence) filter (sev=m) as confidence, "
+        "bool_or(escalated) as escalated, arg_min('r'||cast(detection_id as varchar), detection_id) filter (sev=m) as rationale from (select *, max(sev) over (partition by page_id) as m from "
+        "(select *, detection_id-detection_id%8 as page_id, case classification when 'red_box_guidance' then 2 when 'ambiguous' then 1 else 0 end as sev from detections_v) d) x group by 1",
         "detections_v",
     ),
 )
@@ -108,7 +108,7 @@ def _combine(t: Tables):
         F.concat(F.lit("r"), F.col("detection_id").cast("string")).alias("rationale"), F.lit(None).cast("string").alias("error"),
     )
     scored = t("detections_v").select(
-        F.col("candidate_id").alias("page_id"), F.col("detection_id").alias("chunk_no"), v.alias("v"), F.lit("m").alias("model"), "escalated"
+        (F.col("detection_id") - F.col("detection_id") % 8).alias("page_id"), F.col("detection_id").alias("chunk_no"), v.alias("v"), F.lit("m").alias("model"), "escalated"
     )
     return W.combine_chunks(scored).select("page_id", "classification", "confidence", "escalated", "rationale")
 
