@@ -71,7 +71,7 @@ _QUOTE = "case when detection_id%2=0 then upper(text_hash) else text_hash||' x'
 CTX = (
     "ctx",
     "select change_id, case when qn is null then null when qp is not null then case when lower(qp)=lower(qn) then true else contains(tn,lower(qp)) and contains(tp,lower(qn)) end "
-    "when tp is not null then contains(tp,lower(qn)) end as same from (select e.change_id, p.raw_text as tp, n.raw_text as tn, "
+    "when tp<>'' then contains(tp,lower(qn)) end as same from (select e.change_id, p.raw_text as tp, n.raw_text as tn, "
     "(select " + _QUOTE + " from rk where rk.scan_id=e.prev_scan_id) as qp, (select " + _QUOTE + " from rk where rk.scan_id=e.new_scan_id) as qn "
     "from change_events_v e left join scans_v p on p.scan_id=e.prev_scan_id left join scans_v n on n.scan_id=e.new_scan_id where e.event_type='modified') c",
 )

@@ -12,6 +12,7 @@ from pagewatch.functions.text import guidance_unchanged
 from pagewatch.operators.ordered import global_rank, history_before, latest_per_key
 from pagewatch.operators.review import latest_reviews, rank_order
 from pagewatch.schemas import EVIDENCE
+from pagewatch.session import write_through
 
 # Published statuses as (status, sort rank, public).
 STATUSES = (
@@ -415,7 +416,8 @@ def rank_index(views: DataFrame) -> DataFrame:
         F.col("band").asc(), F.col("aligned_ie").desc(), F.col("status_rank").asc(),
         F.col("_state").asc(), F.col("_district").asc(), F.col("_name").asc(), F.col("candidate_id").asc(),
     ]
-    return global_rank(keyed, order, "position").drop("_state", "_district", "_name")
+    # range partitioning samples its input first; written views are not computed twice
+    return global_rank(write_through(keyed, "index"), order, "position").drop("_state", "_district", "_name")
 
 
 def paginate(ranked: DataFrame, size: int = 500, position: str = "position") -> DataFrame:

@@ -56,10 +56,11 @@ def candidate_views(
     context = modified_event_context(events, scans, detections).select("change_id", "guidance_same")
     changes = events.join(context, "change_id", "left")
     timeline = exhibit_timeline(exhibits, urls, changes, versions, gone)
-    exhibits = (
+    exhibits = write_through(
         exhibits.join(gone, BODY, "left")
         .join(newest_archive, "detection_id", "left")
-        .withColumn("approved", F.coalesce(F.col("action") == "approve", F.lit(False)))
+        .withColumn("approved", F.coalesce(F.col("action") == "approve", F.lit(False))),
+        "shown",
     )
 
     top = top_detection(ranked).select(
