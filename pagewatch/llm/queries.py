@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import mixing, url_terms
+from pagewatch.llm import bk_dedup, mixing, token_pack, url_terms
 from pagewatch.llm.tables import table
 
 
@@ -10,9 +10,17 @@ def op1_mixing(spark, folder):
     return mixing.mixed(table(spark, folder, "documents"))
 
 
+def op2_token_pack(spark, folder):
+    return token_pack.packed(spark, table(spark, folder, "documents"))
+
+
 def op7_url_terms(spark, folder):
     return url_terms.judge_urls(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op7_url_terms)}
+def op10_bk_dedup(spark, folder):
+    return bk_dedup.near_components(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_pack, op7_url_terms, op10_bk_dedup)}
 ORACLE_SQL = {"op1_mixing": mixing.oracle(), "op7_url_terms": url_terms.oracle()}
