@@ -16,7 +16,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,8 @@ BLOCK = 65_536
 END_ID = 0
 VOCABULARY = 50_257
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 600_000
+ENDS = frozenset(".,;:!?")
 SPACES = re.compile(r" \s")
 
 
@@ -153,29 +156,83 @@ class Shard:
             at += count
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordEncoder(dict):
     """Whole texts to ids with the tokenizers library, each different word encoded once.
 
-    The tokenizer's own pattern starts a new piece at a space that stands before another
-    character, so pieces cut there are encoded alike on their own. Texts that spell out a
-    special token take the library's way as a whole.
+    The byte-level tokenizer's pattern starts a new piece at a space that stands before
+    another character, so pieces cut there are encoded alike on their own. A piece of plain
+    characters is cut by that pattern and goes straight to the library's merges; any other
+    piece, and every text that spells out a special token, takes the library's whole way.
+    The cache maps a word, without the space before it, to the bytes of its ids.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         super().__init__()
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters, self.inner = byte_letters(), {}
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.is_plain = regex.compile(r"[\p{L}\p{N}\p{P}\p{S} \n\r\t]*").fullmatch
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = self._whole(" " + word)
+        stem, mark = word[:-1], word[-1:]
+        if word.isalpha():
+            ids = self._merged(" " + word)
+        elif mark in ENDS and stem.isalpha():
+            ids = self[stem] + self._inside(mark)
+        else:
+            ids = self._lines(word)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def _lines(self, word: str) -> bytes:
+        """A word whose plain parts may stand on lines of their own: a line end before a letter is a piece."""
+        before, line_end, after = word.partition("\n")
+        if not (line_end and before and before[-1] in ENDS and before[:-1].isalpha() and after):
+            return self._cut(" " + word)
+        if after.isalpha():
+            return self[before] + self._inside("\n") + self._inside(after)
+        if after[-1] in ENDS and after[:-1].isalpha():
+            return self[before] + self._inside("\n") + self._inside(after[:-1]) + self._inside(after[-1])
+        return self._cut(" " + word)
+
+    def _cut(self, text: str) -> bytes:
+        if not self.is_plain(text):
+            return self._whole(text)
+        parts = self.pieces(text)
+        if len(parts) == 1:
+            return self._merged(text)
+        return b"".join([self[p[1:]] if p[0] == " " and len(p) > 1 else self._inside(p) for p in parts])
+
+    def _inside(self, piece: str) -> bytes:
+        """The ids of a piece without a space before it, kept while there is room."""
+        ids = self.inner.get(piece)
+        if ids is None:
+            ids = self._merged(piece)
+            if len(self.inner) >= self.limit // 4:
+                self.inner.clear()
+            if len(piece) <= 64:
+                self.inner[piece] = ids
+        return ids
+
+    def _merged(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -185,7 +242,7 @@ class WordEncoder(dict):
         first, *words = text.split(" ")
         if text.endswith(" ") or SPACES.search(text):  # white space beside a space: a run stays in one piece
             first, *words = self._runs([first, *words])
-        return np.frombuffer(self._whole(first) + b"".join(map(self.__getitem__, words)), "<u4")
+        return np.frombuffer(self._cut(first) + b"".join(map(self.__getitem__, words)), "<u4")
 
     @staticmethod
     def _runs(words: list[str]) -> list[str]:
@@ -198,6 +255,12 @@ class WordEncoder(dict):
         return joined
 
 
+@lru_cache(1)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder per Python worker, so its words serve all tasks of the worker."""
+    return WordEncoder(path)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -229,7 +292,7 @@ def write_shards(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        shard, encoder, writer = TaskContext.get().partitionId(), WordEncoder(path), None
+        shard, encoder, writer = TaskContext.get().partitionId(), encoder_for(path), None
         files, root = open_shared(folder)
         end = np.array([end_id], "<u4")
         files.create_dir(root, recursive=True)
