@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import bk_dedup, deobfuscate, mixing, rule_ensemble, token_pack, url_terms
+from pagewatch.llm import bk_dedup, decontaminate, deobfuscate, mixing, rule_ensemble, simhash, token_pack, url_terms
 from pagewatch.llm.tables import table
 
 
@@ -14,6 +14,10 @@ def op2_token_pack(spark, folder):
     return token_pack.packed(spark, table(spark, folder, "documents"))
 
 
+def op3_decontaminate(spark, folder):
+    return decontaminate.flag_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_rule_ensemble(spark, folder):
     return rule_ensemble.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -22,6 +26,10 @@ def op7_url_terms(spark, folder):
     return url_terms.judge_urls(table(spark, folder, "pages"))
 
 
+def op8_simhash(spark, folder):
+    return simhash.fingerprints(table(spark, folder, "documents"))
+
+
 def op9_deobfuscate(spark, folder):
     return deobfuscate.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -30,5 +38,11 @@ def op10_bk_dedup(spark, folder):
     return bk_dedup.near_components(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_pack, op6_rule_ensemble, op7_url_terms, op9_deobfuscate, op10_bk_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_token_pack, op3_decontaminate, op6_rule_ensemble, op7_url_terms, op8_simhash, op9_deobfuscate,
+        op10_bk_dedup,
+    )
+}
 ORACLE_SQL = {"op1_mixing": mixing.oracle(), "op7_url_terms": url_terms.oracle()}
