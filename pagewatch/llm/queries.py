@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import bk_dedup, decontaminate, deobfuscate, mixing, rule_ensemble, simhash, suffix_dedup, token_pack, url_terms
+from pagewatch.llm import bk_dedup, decontaminate, deobfuscate, licences, mixing, rule_ensemble, simhash, suffix_dedup, token_pack, url_terms
 from pagewatch.llm.tables import table
 
 
@@ -18,6 +18,10 @@ def op3_decontaminate(spark, folder):
     return decontaminate.flag_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_licences(spark, folder):
+    return licences.scan_documents(table(spark, folder, "documents"))
+
+
 def op5_suffix_dedup(spark, folder):
     return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
 
@@ -45,7 +49,7 @@ def op10_bk_dedup(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mixing, op2_token_pack, op3_decontaminate, op5_suffix_dedup, op6_rule_ensemble, op7_url_terms, op8_simhash, op9_deobfuscate,
+        op1_mixing, op2_token_pack, op3_decontaminate, op4_licences, op5_suffix_dedup, op6_rule_ensemble, op7_url_terms, op8_simhash, op9_deobfuscate,
         op10_bk_dedup,
     )
 }
