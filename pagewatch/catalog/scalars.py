@@ -556,22 +556,25 @@ def _retry_after(t: Tables):
     "parse_verdict",
     with_views(
         "select detection_id, case when detection_id%5=4 then null else classification end as classification, "
-        "case when detection_id%5=4 then null else confidence end as confidence, detection_id%5=4 as failed from detections_v",
+        "case when detection_id%5=4 then null else confidence end as confidence, case when detection_id%5=4 then null when detection_id%5=3 then 'a q' end as quote, "
+        "case when detection_id%5=4 then 'unparseable verdict: no json {'||repeat(classification, 40) end as error from detections_v",
         "detections_v",
     ),
 )
 def _parse_verdict(t: Tables):
     d = t("detections_v")
     body = F.to_json(F.struct("classification", "confidence", F.array().cast("array<string>").alias("evidence")))
+    as_texts = F.to_json(F.struct("classification", F.col("confidence").cast("string").alias("confidence"), F.array(F.lit("a q")).alias("evidence")))
     k = F.col("detection_id") % 5
     raw = (
         F.when(k == 0, body)
         .when(k == 1, F.concat(F.lit("Here you go:\n"), body, F.lit("\nDone.")))
-        .when(k == 4, F.concat(F.lit("no json {"), F.col("classification")))
+        .when(k == 3, as_texts)
+        .when(k == 4, F.concat(F.lit("no json {"), F.repeat("classification", 40)))
         .otherwise(F.concat(F.lit("  "), body))
     )
     v = d.withColumn("v", status.parse_verdict(raw))
-    return v.select("detection_id", "v.classification", "v.confidence", F.col("v.error").isNotNull().alias("failed"))
+    return v.select("detection_id", "v.classification", "v.confidence", F.get("v.evidence", 0)["quote"].alias("quote"), "v.error")
 
 
 @case(

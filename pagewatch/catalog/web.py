@@ -140,15 +140,16 @@ def _sitemaps(t: Tables, max_children: int, max_locs: int):
     site = F.substring_index(urls.host_key(F.col("url")), ".", -2)
     sites = p.select(site.alias("site"), F.col("page_id").alias("ord"), F.expr(_DOC.format("page_id")).alias("doc_url"))
     docs = p.select(F.expr(_DOC.format("page_id")).alias("doc_url"), F.expr(_BODY).alias("body"))
-    return W.sitemap_urls(sites, docs, max_children, max_locs)
+    blocked = p.filter("page_id % 15 = 1").select(F.expr(_DOC.format("page_id")).alias("doc_url"))
+    return W.sitemap_urls(sites, docs, max_children, max_locs, blocked)
 
 
 SITE_OF = "array_to_string(list_slice(string_split(" + HOST_SQL.format("url") + ",'.'),-2,-1),'.')"
 UNITS = (
     "units",
-    f"select site, ord, child, u.url, n from (select p.*, {SITE_OF} as site, page_id as ord, -1 as child, page_id as leaf from pages p where page_id%5 in (1,2,3) union all "
+    f"select site, ord, child, u.url, n from (select p.*, {SITE_OF} as site, page_id as ord, -1 as child, page_id as leaf from pages p where page_id%5 in (1,2,3) and page_id%15<>1 union all "
     f"select * exclude (rn) from (select q.*, row_number() over (partition by site order by page_id, child) as rn from (select p.*, {SITE_OF} as site, page_id as ord, c.k-1 as child, page_id+c.k as leaf from pages p, (values (1),(2)) c(k) "
-    "where page_id%5=0) q) z where rn<=25) a join (select page_id as leaf, url, 3 as n from pages where page_id%5 in (1,2,3)) u using (leaf)",
+    "where page_id%5=0 and (page_id+c.k)%15<>1) q) z where rn<=25) a join (select page_id as leaf, url, 3 as n from pages where page_id%5 in (1,2,3)) u using (leaf)",
 )
 LOCS = (
     "locs",
@@ -546,10 +547,30 @@ def _append(t: Tables):
         F.col("escalated").alias("group"),
     )
     bad = decisions.withColumn("action", F.lit("maybe"))
-    out = tables.append_reviews(t("reviews_v"), decisions.unionByName(bad), d, t("scans_v"), now())
+    out, _ = tables.append_reviews(t("reviews_v"), decisions.unionByName(bad), d, t("scans_v"), now())
     return out.select("review_id", "detection_id", "action")
 
 
+@case(
+    "append_reviews_refused",
+    with_views(
+        "select detection_id, action, reason from (select detection_id + (case when detection_id%5=3 then 100000000 else 0 end) as detection_id, "
+        "case when detection_id%5=1 then 'maybe' when detection_id%5=2 then null else 'approve' end as action, case when detection_id%5 in (1,2) then 'unknown action' "
+        "when detection_id%5=3 then 'unknown detection' when classification not in ('red_box_guidance','ambiguous') then 'not a positive detection' end as reason from detections_v) d where reason is not null",
+        "detections_v",
+    ),
+)
+def _append_refused(t: Tables):
+    k, d = F.col("detection_id") % 5, t("detections_v")
+    decisions = d.select(
+        (F.col("detection_id") + F.when(k == 3, 100_000_000).otherwise(0)).alias("detection_id"),
+        F.when(k == 1, "maybe").when(k != 2, "approve").alias("action"), F.lit("r").alias("reviewer"),
+        F.lit(None).cast("string").alias("notes"), F.lit(False).alias("group"),
+    )
+    _, refused = tables.append_reviews(t("reviews_v"), decisions, d, t("scans_v"), now())
+    return refused.select("detection_id", "action", "reason")
+
+
 @case(
     "apply_triage",
     with_views(
@@ -573,7 +594,28 @@ def _triage(t: Tables):
             )
         ),
     )
-    return tables.apply_triage(c, calls, now()).select("candidate_id", "website_url", "url_source", "inactive")
+    odd = c.filter(k == 0).select("candidate_id", F.lit(9).alias("seq"), F.lit("maybe").alias("outcome"), F.lit("x").alias("url"))
+    updated, _ = tables.apply_triage(c, calls.unionByName(odd), now())
+    return updated.select("candidate_id", "website_url", "url_source", "inactive")
+
+
+@case(
+    "apply_triage_refused",
+    with_views(
+        "select candidate_id||(case when c_custkey%4=2 then '?' else '' end) as candidate_id, outcome, reason from (select *, case when c_custkey%4=1 then 'maybe' when c_custkey%4=3 then null else 'found' end as outcome, "
+        "case when c_custkey%4 in (1,3) then 'unknown outcome' when c_custkey%4=2 then 'unknown candidate' end as reason from candidates_v) c where reason is not null",
+        "candidates_v",
+    ),
+)
+def _triage_refused(t: Tables):
+    c, k = t("candidates_v"), F.col("c_custkey") % 4
+    c = c.withColumns({"url_source": F.lit("none"), "scan_status": F.lit("scanned"), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    calls = c.select(
+        F.concat("candidate_id", F.when(k == 2, "?").otherwise("")).alias("candidate_id"), F.lit(1).alias("seq"),
+        F.when(k == 1, "maybe").when(k != 3, "found").alias("outcome"), F.lit("u").alias("url"),
+    )
+    _, refused = tables.apply_triage(c, calls, now())
+    return refused.select("candidate_id", "outcome", "reason")
 
 
 # ---------------------------------------------------------------- streaming

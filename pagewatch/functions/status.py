@@ -84,13 +84,29 @@ def review_tier(cls: Column, action: Column) -> Column:
 
 
 def parse_verdict(raw: Column) -> Column:
-    """struct(verdict fields..., error). ``error`` is set when no JSON object is found."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+    """struct(verdict fields..., error) of a reply that is, or holds, a JSON object.
+
+    Each field is read on its own, so an odd one does not fail the reply: a number may be
+    written as a text, evidence may be plain quotes. ``error`` is set when no object is
+    found and holds the whole reply.
+    """
     body = strip(F.coalesce(raw, F.lit("")))
-    inner = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    parsed = F.from_json(inner, VERDICT_SCHEMA + ", _bad string", options)
-    failed = (inner == "") | parsed.isNull() | parsed["_bad"].isNotNull()
+    whole, inner = F.try_parse_json(body), F.try_parse_json(F.regexp_extract(body, r"(?s)\{.*\}", 0))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    reply = F.when(is_object(whole), whole).when(is_object(inner) & whole.isNull(), inner)
+    field = lambda v, path, kind: F.try_variant_get(v, path, kind)
+
+    def quoted(item: Column) -> Column:
+        quote = F.coalesce(field(item, "$.quote", "string"), F.when(~is_object(item), field(item, "$", "string")))
+        return F.struct(quote.alias("quote"), field(item, "$.why", "string").alias("why"))
+
+    single = F.array(field(reply, "$.evidence", "variant"))
+    items = F.coalesce(field(reply, "$.evidence", "array<variant>"), F.when(field(reply, "$.evidence", "string").isNotNull(), single))
     return F.struct(
-        *[F.when(~failed, parsed[f]).alias(f) for f in ("classification", "confidence", "evidence", "rationale")],
-        F.when(failed, F.concat(F.lit("unparseable verdict: "), F.substring(body, 1, 200))).alias("error"),
+        field(reply, "$.classification", "string").alias("classification"),
+        field(reply, "$.confidence", "double").alias("confidence"),
+        F.transform(items, quoted).alias("evidence"),
+        field(reply, "$.rationale", "string").alias("rationale"),
+        F.when(reply.isNull(), F.concat(F.lit("unparseable verdict: "), body)).alias("error"),
     )
+

@@ -103,19 +103,22 @@ def batch_scorer(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
 
 
 def score_chunks(chunks: DataFrame, first: Scorer, second: Scorer, escalate_below: float = 0.75) -> DataFrame:
-    """First pass over all chunks, second pass over the doubtful ones.
+    """(page_id, chunk_no, v, model, escalated): a first pass over all chunks, a second over the doubtful ones.
 
-    Each pass is written before it is read twice, so no chunk is scored again.
+    The first pass is written before it is read twice, so no chunk is scored again; only
+    chunks that go on to the second pass keep their text there.
     """
     parsed = first(chunks).withColumn("v", parse_verdict(F.col("raw"))).drop("raw")
-    parsed = write_through(parsed, "scored")
     again = F.col("v.error").isNull() & should_escalate(
         F.col("v.classification"), F.col("v.confidence"), escalate_below
     )
-    kept = parsed.filter(~again).withColumn("escalated", F.lit(False))
-    redo = parsed.filter(again).select(*chunks.columns)
-    rescored = second(redo).withColumn("v", parse_verdict(F.col("raw"))).drop("raw")
-    return kept.unionByName(rescored.withColumn("escalated", F.lit(True)))
+    parsed = parsed.withColumn("again", again).withColumn("chunk", F.when(F.col("again"), F.col("chunk")))
+    parsed = write_through(parsed, "scored")
+    result = ["page_id", "chunk_no", "v", "model", "escalated"]
+    kept = parsed.filter("not again").withColumn("escalated", F.lit(False)).select(*result)
+    redo = parsed.filter("again").select(*chunks.columns)
+    rescored = second(redo).withColumn("v", parse_verdict(F.col("raw"))).withColumn("escalated", F.lit(True))
+    return kept.unionByName(rescored.select(*result))
 
 
 def combine_chunks(scored: DataFrame) -> DataFrame:
@@ -165,13 +168,18 @@ def classify_pages(
     chunk_chars: int = 40_000,
     escalate_below: float = 0.75,
 ) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, quarantine). One unreadable chunk sends its whole page to quarantine."""
+    """(verdicts, quarantine). One unreadable chunk sends its whole page to quarantine.
+
+    A quarantined page keeps every reply that could not be read, whole, by chunk.
+    """
     first = first or lexical_scorer()
     second = second or lexical_scorer(model="lexical-second")
     scored = write_through(
         score_chunks(chunk_pages(pages, chunk_chars), first, second, escalate_below), "verdicts"
     )
-    failed = scored.filter("v.error is not null").groupBy("page_id").agg(F.min("v.error").alias("error"))
+    unread = F.sort_array(F.collect_list(F.struct("chunk_no", F.col("v.error").alias("error"))))
+    failed = scored.filter("v.error is not null").groupBy("page_id").agg(unread.alias("unread"))
+    failed = failed.select("page_id", F.get("unread", 0)["error"].alias("error"), "unread")
     return combine_chunks(scored.join(failed, "page_id", "left_anti")), failed
 
 
@@ -213,24 +221,27 @@ LOC = r"(?is)<loc>\s*(.*?)\s*</loc>"
 
 
 def sitemap_urls(
-    sites: DataFrame, documents: DataFrame, max_children: int = 25, max_locs: int = 2000
+    sites: DataFrame, documents: DataFrame, max_children: int = 25, max_locs: int = 2000, blocked: DataFrame | None = None
 ) -> DataFrame:
     """(site, pos, url): page addresses from sitemaps and one level of sitemap index.
 
     ``sites``: site, ord, doc_url (sitemaps in the order they are tried).
-    ``documents``: doc_url, body (fetched and allowed ones only).
+    ``documents``: doc_url, body (fetched ones). ``blocked``: doc_url of sitemaps that robots
+    files disallow. A blocked child takes no place among the ``max_children``; one that is
+    allowed takes a place even if it could not be fetched.
     """
     docs = documents.filter(strip(F.coalesce("body", F.lit(""))) != "").select(
         "doc_url",
         F.transform(F.regexp_extract_all("body", F.lit(LOC), F.lit(1)), strip).alias("locs"),
         F.contains(F.lower("body"), F.lit("<sitemapindex")).alias("is_index"),
     )
-    top = sites.join(docs, "doc_url")
+    allowed = lambda df: df if blocked is None else df.join(blocked.select("doc_url"), "doc_url", "left_anti")
+    top = allowed(sites).join(docs, "doc_url")
     plain = top.filter("not is_index").select("site", "ord", F.lit(-1).alias("child"), "locs")
     place = [F.col("ord"), F.col("child")]
     listed = top.filter("is_index").select("site", "ord", F.posexplode("locs").alias("child", "doc_url"))
     children = (
-        top_per_key(listed, ["site"], place, max_children)
+        top_per_key(allowed(listed), ["site"], place, max_children)
         .join(docs, "doc_url")
         .select("site", "ord", "child", "locs")
     )
@@ -330,7 +341,7 @@ def crawl_plan(
                     F.concat("place", F.array((~F.col("high")).cast("long"), F.col("link_pos").cast("long"))),
                 )
             )
-    expanded = levels[0]
+    expanded = levels[0].filter(F.lit(depth > 0))  # pages of the last level are not searched for links
     for done in levels[1:depth]:
         expanded = expanded.unionByName(done)
     pdfs = (

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import quote, unquote, urljoin, urlparse, urlunparse
 from urllib.robotparser import RobotFileParser
 
@@ -22,26 +24,28 @@ ASSET_ENDINGS = (
 )
 
 
-def chunks_of(text: str, limit: int) -> Iterator[str]:
-    """Pack blank-line paragraphs into pieces of at most ``limit`` characters."""
+def chunk_spans(ends: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Cut 0..ends[-1] into spans of at most ``limit``, at the last paragraph end in reach or else at the limit."""
+    start = 0
+    while start < ends[-1]:
+        last = bisect_right(ends, start + limit) - 1
+        stop = ends[last] if last >= 0 and ends[last] > start else start + limit
+        yield start, stop
+        start = stop
+
+
+def chunks_of(text: str, limit: int) -> list[str]:
+    """Pieces of at most ``limit`` characters that end where paragraphs end if they can.
+
+    A text over the limit is cut with two line ends behind every paragraph, the last one
+    included; a blank last piece is left out unless it is the only one.
+    """
     if len(text) <= limit:
-        yield text if text.strip() else ""
-        return
-    held, emitted = "", False
-    for block in (p + "\n\n" for p in text.split("\n\n")):
-        if held and len(held) + len(block) > limit:
-            yield held
-            held, emitted = "", True
-        held += block
-        whole = max(0, (len(held) - 1) // limit)
-        for i in range(whole):
-            yield held[i * limit : (i + 1) * limit]
-            emitted = True
-        held = held[whole * limit :]
-    if held.strip():
-        yield held
-    elif not emitted:
-        yield ""
+        return [text if text.strip() else ""]
+    ends = list(accumulate(len(paragraph) + 2 for paragraph in text.split("\n\n")))
+    padded = f"{text}\n\n"
+    pieces = [padded[start:stop] for start, stop in chunk_spans(ends, limit)]
+    return pieces[:-1] or [""] if not pieces[-1].strip() else pieces
 
 
 class _Reader(HTMLParser):

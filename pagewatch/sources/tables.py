@@ -112,16 +112,25 @@ def dedupe_ie(df: DataFrame, order: str = "seq") -> DataFrame:
 
 def append_reviews(
     reviews: DataFrame, decisions: DataFrame, detections: DataFrame, scans: DataFrame, ts: Column
-) -> DataFrame:
-    """New review rows for (detection_id, action, reviewer, notes, group) decisions.
+) -> tuple[DataFrame, DataFrame]:
+    """(new review rows, refused decisions) for (detection_id, action, reviewer, notes, group) decisions.
 
     A grouped decision reaches every positive detection of the same candidate
-    with the same page body. Only positive detections can be reviewed.
+    with the same page body. A decision is refused, with its ``reason``, if its action
+    or its detection is unknown or the detection is not a positive one.
     """
     positive = detections.filter(F.col("classification").isin(*POSITIVE_CLASSES)).join(
         scans.select("scan_id", "text_hash"), "scan_id"
     ).select("detection_id", "candidate_id", "text_hash")
-    valid = decisions.filter(F.col("action").isin(*REVIEW_ACTIONS)).join(positive, "detection_id", "left_semi")
+    classes = detections.select("detection_id", F.col("classification").alias("_class"))
+    reason = (
+        F.when(~F.coalesce(F.col("action").isin(*REVIEW_ACTIONS), F.lit(False)), "unknown action")
+        .when(F.col("_class").isNull(), "unknown detection")
+        .when(~F.col("_class").isin(*POSITIVE_CLASSES), "not a positive detection")
+    )
+    judged = decisions.join(classes, "detection_id", "left").withColumn("reason", reason).drop("_class")
+    refused = judged.filter("reason is not null")
+    valid = judged.filter("reason is null").drop("reason")
     payload = ["action", "reviewer", "notes"]
     direct = valid.select("detection_id", *payload, F.col("detection_id").alias("asked"))
     asked = valid.filter("group").join(positive, "detection_id").select(
@@ -135,7 +144,7 @@ def append_reviews(
     rows = direct.unionByName(fanned).withColumn("reviewed_at", ts)
     last_id = reviews.agg(F.coalesce(F.max("review_id"), F.lit(0)).alias("m"))
     numbered = global_rank(rows, [F.col("detection_id"), F.col("asked")], "_n")
-    return numbered.select(
+    new = numbered.select(
         (F.col("_n") + last_id.scalar()).alias("review_id"),
         "detection_id",
         "reviewer",
@@ -143,14 +152,22 @@ def append_reviews(
         "notes",
         "reviewed_at",
     )
+    return new, refused
 
 
-def apply_triage(candidates: DataFrame, triage_log: DataFrame, ts: Column) -> DataFrame:
-    """Apply the last human URL call per candidate.
+def apply_triage(candidates: DataFrame, triage_log: DataFrame, ts: Column) -> tuple[DataFrame, DataFrame]:
+    """(candidates, refused calls): apply the last human URL call per candidate.
 
     ``triage_log``: candidate_id, seq, outcome (found / human_none / wrong_race), url.
+    A call with another outcome, or for an unknown candidate, is refused with its ``reason``
+    and changes nothing.
     """
-    calls = latest_per_key(triage_log, ["candidate_id"], [F.col("seq").desc()]).select(
+    known = F.coalesce(F.col("outcome").isin("found", "human_none", "wrong_race"), F.lit(False))
+    there = candidates.select("candidate_id").distinct().withColumn("_there", F.lit(True))
+    reason = F.when(~known, "unknown outcome").when(F.col("_there").isNull(), "unknown candidate")
+    judged = triage_log.join(there, "candidate_id", "left").withColumn("reason", reason).drop("_there")
+    refused = judged.filter("reason is not null")
+    calls = latest_per_key(triage_log.filter(known), ["candidate_id"], [F.col("seq").desc()]).select(
         "candidate_id", F.col("outcome").alias("_outcome"), F.col("url").alias("_url")
     )
     found, none, wrong = (F.col("_outcome") == x for x in ("found", "human_none", "wrong_race"))
@@ -163,4 +180,5 @@ def apply_triage(candidates: DataFrame, triage_log: DataFrame, ts: Column) -> Da
         "inactive": F.when(wrong, WRONG_RACE).otherwise(F.col("inactive")),
         "updated_at": F.when(F.col("_outcome").isNotNull(), ts).otherwise(F.col("updated_at")),
     }
-    return joined.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in candidates.columns])
+    updated = joined.select(*[changes[c].alias(c) if c in changes else F.col(c) for c in candidates.columns])
+    return updated, refused

@@ -42,45 +42,51 @@ def frames(spark, scans, dets):
     return s, d
 
 
-def sequential_events(scans, dets):
-    """One pass in id order with explicit state per page."""
-    own = {}
-    for det_id, scan_id, _, cls in sorted(dets):
-        own[scan_id] = cls
-    known, pages, events = {}, {}, []
-    for scan_id, cand, url, at, status, body, h in sorted(scans):
-        key = (cand, url.split("//")[1].removeprefix("www.").rstrip("/"))
-        prev_status, base = pages.get(key, (None, None))
-        challenge = "just a moment" in body.lower()
-        if status == 200 and body.strip() and not challenge:
-            cls = own.get(scan_id) or known.get((cand, h)) or "no_guidance_detected"
-            if base and base[2] != h:
-                kinds = {(1, 0): "take_down", (0, 1): "put_up", (1, 1): "modified"}
-                kind = kinds.get((int(base[1] in POSITIVE), int(cls in POSITIVE)))
-                if kind:
-                    events.append((cand, url, kind, base[0], scan_id, base[1], cls))
-            base = (scan_id, cls, h)
-        elif status in (404, 410) and prev_status in (404, 410) and base and base[1] in POSITIVE:
-            events.append((cand, url, "take_down", base[0], scan_id, base[1], "no_guidance_detected"))
-            base = (scan_id, "no_guidance_detected", None)
-        if scan_id in own:
-            known[(cand, h)] = own[scan_id]
-        pages[key] = (status, base)
-    return sorted(events)
-
-
 def event_rows(df):
     cols = ("candidate_id", "url", "event_type", "prev_scan_id", "new_scan_id", "prev_classification", "new_classification")
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed,block", [(1, 7), (2, 50), (3, 1_000_000)])
-def test_replay_matches_sequential(spark, seed, block):
-    scans, dets = make_history(seed)
-    s, d = frames(spark, scans, dets)
-    want = sequential_events(scans, dets)
-    assert len(want) > 30
-    assert event_rows(replay_changes(s, d, block_rows=block)) == want
+def told(spark, *steps):
+    """Events of one page of one candidate: steps are (status, body, verdict or None)."""
+    scans = [(i, "A", "https://a.example/p", T0 + dt.timedelta(hours=i), status, body, f"h{body}") for i, (status, body, _) in enumerate(steps)]
+    dets = [(i, i, "A", cls) for i, (_, _, cls) in enumerate(steps) if cls]
+    return [(r[2], r[3], r[4], r[5], r[6]) for r in event_rows(replay_changes(*frames(spark, scans, dets)))]
+
+
+RED, MAYBE, NONE = "red_box_guidance", "ambiguous", "no_guidance_detected"
+
+
+@pytest.mark.parametrize(
+    "steps,events",
+    [
+        # guidance appears, changes, and goes with its text
+        ([(200, "a", NONE), (200, "b", RED), (200, "c", MAYBE), (200, "d", NONE)],
+         [("modified", 1, 2, RED, MAYBE), ("put_up", 0, 1, NONE, RED), ("take_down", 2, 3, MAYBE, NONE)]),
+        # the same body is no change; a body without a verdict of its own keeps that of its earlier scan
+        ([(200, "a", RED), (200, "a", None), (200, "b", NONE), (200, "a", None)],
+         [("put_up", 2, 3, NONE, RED), ("take_down", 1, 2, RED, NONE)]),
+        # one missing page is nothing, two in a row take the guidance down, a third says no more
+        ([(200, "a", RED), (404, "", None), (200, "a", None), (404, "", None), (410, "", None), (404, "", None)],
+         [("take_down", 2, 4, RED, NONE)]),
+        # errors, challenges and blank pages between do not count, but they part the missing ones
+        ([(200, "a", RED), (500, "x", None), (404, "", None), (503, "", None), (404, "", None), (200, "Just a moment...", None), (200, "\n", None)], []),
+        # after a take-down the page counts as without guidance
+        ([(200, "a", RED), (404, "", None), (404, "", None), (200, "a", None)],
+         [("put_up", 2, 3, NONE, RED), ("take_down", 0, 2, RED, NONE)]),
+        # nothing stands before the first scan
+        ([(404, "", None), (404, "", None), (200, "a", RED)], []),
+    ],
+)
+def test_replay_by_hand(spark, steps, events):
+    assert sorted(told(spark, *steps)) == sorted(events)
+
+
+@pytest.mark.parametrize("seed,block", [(1, 7), (2, 50)])
+def test_replay_does_not_depend_on_blocks(spark, seed, block):
+    s, d = frames(spark, *make_history(seed))
+    whole = event_rows(replay_changes(s, d))
+    assert len(whole) > 30 and event_rows(replay_changes(s, d, block_rows=block)) == whole
 
 
 def test_stream_matches_batch_over_several_batches(spark, tmp_path):
@@ -94,7 +100,7 @@ def test_stream_matches_batch_over_several_batches(spark, tmp_path):
         tagged.filter(f"scan_id >= {low} and scan_id < {high}").coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(tagged.schema).parquet(folder)
         out = run_available(stateful.stream_changes(stream), str(tmp_path / "out"), str(tmp_path / "state"))
-    assert event_rows(out.filter("not late")) == sequential_events(scans, dets)
+    assert event_rows(out.filter("not late")) == event_rows(replay_changes(s, d))
     assert out.filter("late").count() == 0
     # an id that was already passed is reported and changes nothing
     tagged.filter("scan_id = 5").coalesce(1).write.mode("append").parquet(folder)

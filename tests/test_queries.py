@@ -14,6 +14,7 @@ CORE = (
     "phantom_404", "unchanged_pages", "replay_changes", "reconcile_events", "diff_scans", "corroborate",
     "pending_queue", "cross_attribution_twins", "candidate_views", "exhibit_timeline", "rank_index", "feed_items",
     "feed_delta", "chunk_pages", "classify_pages", "sitemap_urls", "robots_audit", "host_strikes", "append_reviews",
+    "append_reviews_refused", "apply_triage_refused",
     "stream_host_strikes",
 )
 

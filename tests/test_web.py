@@ -9,7 +9,7 @@ from pagewatch.functions.status import parse_verdict
 from pagewatch.functions.urls import canon_url, url_variants, website_from_wikitext
 from pagewatch.operators import corpus as W
 from pagewatch.operators.markup import chunks_of, links_of, text_of
-from pagewatch.operators.names import display_form, ledger_form
+from pagewatch.operators.names import standardize_names
 
 PAGE = """<html><head><title>T</title><base href="/news/2026/"></head><body>
 <h1>Hello</h1><!-- c --><p>a &amp; b < c</p><script>var x="<a href='/no'>"</script>
@@ -40,30 +40,37 @@ def test_extract_links_keeps_the_site(spark):
     assert ("https://other.example/y", "page") not in got and len(got) == 3
 
 
-def pack(text, limit):
-    """Chunking written the slow way, one character budget at a time."""
-    if len(text) <= limit:
-        return [text if text.strip() else ""]
-    out, cur = [], ""
-    for para in text.split("\n\n"):
-        if cur and len(cur) + len(para) + 2 > limit:
-            out.append(cur)
-            cur = ""
-        cur = cur + para + "\n\n"
-        while len(cur) > limit:
-            out.append(cur[:limit])
-            cur = cur[limit:]
-    if cur.strip():
-        out.append(cur)
-    return out or [""]
-
-
-def test_chunks_match_plain_packing():
+@pytest.mark.parametrize(
+    "text,limit,pieces",
+    [
+        ("short", 10, ["short"]),
+        (" \n ", 10, [""]),
+        ("aaaa\n\nbbbb\n\ncc", 12, ["aaaa\n\nbbbb\n\n", "cc\n\n"]),
+        ("aaaa\n\nbbbb\n\ncc", 11, ["aaaa\n\n", "bbbb\n\ncc\n\n"]),
+        ("x" * 25, 10, ["x" * 10, "x" * 10, "x" * 5 + "\n\n"]),
+        ("aa\n\n" + "y" * 12, 6, ["aa\n\n", "y" * 6, "y" * 6]),
+        ("aa\n\n" + "y" * 9 + "\n\nz", 6, ["aa\n\n", "y" * 6, "yyy\n\n", "z\n\n"]),
+    ],
+)
+def test_chunk_cases(text, limit, pieces):
+    assert chunks_of(text, limit) == pieces
+
+
+def test_chunk_properties():
     rng = random.Random(3)
     for _ in range(500):
         text = "".join(rng.choice(("a", "bb", " ", "\n", "\n\n")) for _ in range(rng.randrange(60)))
         limit = rng.choice((4, 7, 20))
-        assert list(chunks_of(text, limit)) == pack(text, limit), (text, limit)
+        pieces = chunks_of(text, limit)
+        assert pieces and all(len(p) <= limit for p in pieces)
+        if len(text) > limit:
+            joined, padded = "".join(pieces), text + "\n\n"
+            assert padded.startswith(joined) and not padded[len(joined) :].strip()
+            ends, at = {len("\n\n".join(text.split("\n\n")[: i + 1])) + 2 for i in range(text.count("\n\n") + 1)}, 0
+            for piece in pieces[:-1]:
+                at += len(piece)
+                # a cut stands at a paragraph end, or no paragraph end was in reach
+                assert at in ends or (len(piece) == limit and not ends & set(range(at - limit + 1, at + 1)))
 
 
 def test_failed_chunk_quarantines_its_page(spark):
@@ -82,48 +89,56 @@ def test_failed_chunk_quarantines_its_page(spark):
     assert [e["quote"] for e in row["evidence"]] == ["q", "q"]
 
 
-def crawl(seeds, edges, blocked, depth, budget):
-    """First-in-first-out crawl with explicit budgets."""
-    def is_high(u):
-        return "/media" in u or u.endswith(".pdf")
-
-    visited, pdfs, spent, order = set(), set(), {True: 0, False: 0}, []
-    queue = [(u, 0) for u in sorted(seeds, key=lambda u: not is_high(u))]
-    while queue:
-        url, level = queue.pop(0)
-        if url in visited or spent[is_high(url)] >= budget:
-            continue
-        visited.add(url)
-        if url in blocked:
-            continue
-        spent[is_high(url)] += 1
-        order.append(url)
-        if level < depth:
-            links = edges.get(url, [])
-            pdfs.update(u for u in links if u.endswith(".pdf"))
-            queue += [(u, level + 1) for u in sorted((x for x in links if not x.endswith(".pdf")), key=lambda u: not is_high(u))]
-    docs = [u for u in sorted(pdfs) if u not in visited and u not in blocked][:budget]
-    return order + docs
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_crawl_plan_matches_queue(spark, seed):
-    rng = random.Random(seed)
-    base = "https://s.example"
-    names = [f"{base}/{'media' if i % 4 == 0 else 'p'}{i}" for i in range(30)] + [f"{base}/d{i}.pdf" for i in range(6)]
-    edges = {u: [rng.choice(names) for _ in range(5)] for u in names[:30]}
-    seeds = rng.sample(names[:30], 5)
-    blocked = set(rng.sample(names, 4))
-    key = lambda u: u.split("//")[1]
-    s = spark.createDataFrame([(base, u, "seed", i, key(u)) for i, u in enumerate(seeds)], "site string, url string, via string, pos int, page_key string")
+SITE = "https://s.example"
+
+
+def planned(spark, seeds, edges, blocked, depth, budget):
+    """Rows of the plan in fetch order; addresses are given without the site."""
+    key = lambda u: f"s.example/{u}"
+    s = spark.createDataFrame([(SITE, f"{SITE}/{u}", "seed", i, key(u)) for i, u in enumerate(seeds)], "site string, url string, via string, pos int, page_key string")
     e = spark.createDataFrame(
-        [(base, key(u), i, v, "pdf" if v.endswith(".pdf") else "page") for u, vs in edges.items() for i, v in enumerate(vs)],
+        [(SITE, key(u), i, f"{SITE}/{v}", "pdf" if v.endswith(".pdf") else "page") for u, vs in edges.items() for i, v in enumerate(vs)],
         "site string, page_key string, pos int, href string, kind string",
     )
-    b = spark.createDataFrame([(base, key(u)) for u in blocked], "site string, page_key string")
-    plan = W.crawl_plan(s, e, b, depth=2, max_pages=4).collect()
-    got = [r["url"] for r in sorted(plan, key=lambda r: (r["depth"] < 0, r["depth"], r["place"]))]
-    assert got == crawl(seeds, edges, blocked, 2, 4)
+    b = spark.createDataFrame([(SITE, key(u)) for u in blocked], "site string, page_key string")
+    rows = W.crawl_plan(s, e, b, depth=depth, max_pages=budget).collect()
+    return [(r["depth"], r["url"].removeprefix(f"{SITE}/")) for r in sorted(rows, key=lambda r: (r["depth"] < 0, r["depth"], r["place"]))]
+
+
+def test_crawl_plan_by_hand(spark):
+    edges = {
+        "p1": ["p3", "media4", "z.pdf", "p2"],
+        "media0": ["p5", "p1"],
+        "p3": ["p6", "a.pdf"],
+        "media4": ["p7"],
+        "gone": ["p8", "never.pdf"],
+    }
+    # links come in the order of the pages they stand on, high-value ones first on each;
+    # two ordinary pages are all the budget allows
+    assert planned(spark, ["p1", "media0", "gone"], edges, ["gone"], 2, 2) == [
+        (0, "media0"), (0, "p1"), (1, "p5"), (1, "media4"), (-1, "z.pdf"),
+    ]
+    assert planned(spark, ["p1"], edges, [], 0, 9) == [(0, "p1")]
+    assert planned(spark, ["p1", "p1"], {"p1": ["p1", "p1"]}, [], 3, 9) == [(0, "p1")]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_crawl_plan_properties(spark, seed):
+    rng = random.Random(seed)
+    pages = [f"{'media' if i % 4 == 0 else 'p'}{i}" for i in range(30)]
+    papers = [f"d{i}.pdf" for i in range(6)]
+    edges = {u: [rng.choice(pages + papers) for _ in range(5)] for u in pages}
+    seeds, blocked = rng.sample(pages, 5), set(rng.sample(pages + papers, 4))
+    plan = planned(spark, seeds, edges, blocked, 2, 4)
+    urls = [u for _, u in plan]
+    levels = [d for d, _ in plan if d >= 0]
+    assert len(urls) == len(set(urls)) and not blocked & set(urls)
+    assert levels == sorted(levels) and max(levels) <= 2
+    high = [u for d, u in plan if d >= 0 and u.startswith("media")]
+    assert len(high) <= 4 and len(levels) - len(high) <= 4 and sum(d < 0 for d, _ in plan) <= 4
+    for d, u in plan:
+        before = [v for e, v in plan if e == d - 1] if d > 0 else [v for e, v in plan if 0 <= e < 2]
+        assert u in seeds if d == 0 else any(u in edges[v] for v in before)
 
 
 def test_robots(spark):
@@ -207,16 +222,57 @@ def test_parse_verdict(spark, raw, cls, failed):
 @pytest.mark.parametrize(
     "name,ledger,display",
     [
-        ("MOORE, FELIX BARRY", "MOORE, FELIX BARRY", "Felix Barry Moore"),
-        ("BRINK,, BRIDGET", "BRINK, BRIDGET", "Bridget Brink"),
-        ("WOMACK, STEPHEN A THE HON", "WOMACK, STEPHEN A", "Stephen A Womack"),
-        ("SMITH, JOHN V", "SMITH, JOHN V", "John V Smith"),
-        ("MARKERT, GEORGE MR V", "MARKERT, GEORGE V", "George Markert V"),
-        ("GUTHRIE, S. BRETT BRETT HON.", "GUTHRIE, S. BRETT", "S. Brett Guthrie"),
-        ("MORGAN, W. W.", "MORGAN, W. W.", "W. W. Morgan"),
-        ("MCDONALD-RIVET, KRISTEN", "MCDONALD-RIVET, KRISTEN", "Kristen McDonald-Rivet"),
-        ("ACTION PAC", "ACTION PAC", "Action Pac"),
+        ("LINDQUIST, OSKAR EMIL", "LINDQUIST, OSKAR EMIL", "Oskar Emil Lindquist"),
+        ("PARDO,, INES", "PARDO, INES", "Ines Pardo"),
+        ("VANTERPOOL, ODA B THE REV", "VANTERPOOL, ODA B", "Oda B Vanterpool"),
+        ("KESTREL, WREN V", "KESTREL, WREN V", "Wren V Kestrel"),
+        ("KESTREL, WREN DR V", "KESTREL, WREN V", "Wren Kestrel V"),
+        ("OAKES, T. ALDEN ALDEN HON.", "OAKES, T. ALDEN", "T. Alden Oakes"),
+        ("OAKES, T. T.", "OAKES, T. T.", "T. T. Oakes"),
+        ("MCTAVISH-LORNE, ISLA", "MCTAVISH-LORNE, ISLA", "Isla McTavish-Lorne"),
+        ("OAKES, BO III MD JR.", "OAKES, BO III JR.", "Bo Oakes III Jr."),
+        ("OAKES, THE", "OAKES, THE", "The Oakes"),
+        ("OAKES, DR.", "OAKES", "Oakes"),
+        ("SOME COMMITTEE", "SOME COMMITTEE", "Some Committee"),
+        ("", "", ""),
     ],
 )
-def test_names(name, ledger, display):
-    assert (ledger_form(name), display_form(name)) == (ledger, display)
+def test_names(spark, name, ledger, display):
+    row = standardize_names(spark.createDataFrame([(name, 1)], "name string, other int")).first()
+    assert (row["ledger_name"], row["display_name"], row["other"]) == (ledger, display, 1)
+
+
+def test_null_name(spark):
+    row = standardize_names(spark.createDataFrame([(None,)], "name string")).first()
+    assert (row["name"], row["ledger_name"], row["display_name"]) == (None, "", "")
+
+
+@pytest.mark.parametrize(
+    "raw,confidence,quotes",
+    [
+        ('{"classification":"ambiguous","confidence":"0.8","evidence":["q"]}', 0.8, [("q", None)]),
+        ('{"classification":"ambiguous","confidence":1,"evidence":[{"quote":"a","why":"b"},{"why":"c"}]}', 1.0, [("a", "b"), (None, "c")]),
+        ('{"classification":"ambiguous","confidence":"high","evidence":"all of it"}', None, [("all of it", None)]),
+        ('{"classification":"ambiguous","evidence":{"quote":"x"},"rationale":7}', None, None),
+    ],
+)
+def test_odd_fields_do_not_fail_a_reply(spark, raw, confidence, quotes):
+    v = one(spark, parse_verdict(F.col("r")), r=raw)
+    assert (v["classification"], v["error"], v["confidence"]) == ("ambiguous", None, confidence)
+    got = v["evidence"] and [(e["quote"], e["why"]) for e in v["evidence"]]
+    assert quotes is None or got == quotes
+
+
+def test_failed_reply_is_kept_whole(spark):
+    reply = "sorry " * 500
+    assert one(spark, parse_verdict(F.col("r")), r=reply)["error"].endswith(reply.strip())
+    assert one(spark, parse_verdict(F.col("r")), r="[1, 2]")["error"] is not None
+
+
+def test_blocked_children_take_no_place(spark):
+    sites = spark.createDataFrame([("s", 0, "idx")], "site string, ord int, doc_url string")
+    body = "<sitemapindex>" + "".join(f"<loc>c{i}</loc>" for i in range(5)) + "</sitemapindex>"
+    docs = spark.createDataFrame([("idx", body)] + [(f"c{i}", f"<loc>p{i}</loc>") for i in (0, 1, 3, 4)], "doc_url string, body string")
+    blocked = spark.createDataFrame([("c0",), ("c1",)], "doc_url string")
+    # c2 was allowed but not fetched: it takes one of the two places
+    assert [r["url"] for r in W.sitemap_urls(sites, docs, 2, 10, blocked).orderBy("pos").collect()] == ["p3"]
