@@ -88,7 +88,8 @@ def _unchanged(t: Tables):
 
 @case("verdict_as_of", with_views("select scan_id, cls as classification from h0", "scans_v", "detections_v", extra=(SP, H0)))
 def _as_of(t: Tables):
-    return C.verdict_as_of(t("scans_v"), t("detections_v")).select("scan_id", "classification")
+    narrow = t("scans_v").select("scan_id", "candidate_id", "text_hash")
+    return C.verdict_as_of(narrow, t("detections_v")).select("scan_id", "classification")
 
 
 LATEST_BODY = (
@@ -214,7 +215,7 @@ def _diff(t: Tables):
 
 
 # ---------------------------------------------------------------- outside spending
-LR = ("lr", "select detection_id, action, reviewed_at from (select *, row_number() over (partition by detection_id order by reviewed_at desc, review_id desc) as rn from reviews_v) x where rn=1")
+LR = ("lr", "select detection_id, action, reviewed_at, reviewer as decided_by from (select *, row_number() over (partition by detection_id order by reviewed_at desc, review_id desc) as rn from reviews_v) x where rn=1")
 OPEN = ("op", f"select d.* from detections_v d left join lr using (detection_id) where {POS} and coalesce(action,'')<>'reject'")
 FIRST = ("fd", "select candidate_id, detection_id, classified_at from (select *, row_number() over (partition by candidate_id order by classified_at, detection_id) as rn from op) x where rn=1")
 SPEND = (
@@ -314,7 +315,7 @@ def _latest_review(t: Tables):
 @case(
     "template_siblings",
     with_views(
-        "select detection_id, url, min(detection_id) over w as group_id, count(*) over w as group_size, action as review_action from pbod left join lr using (detection_id) "
+        "select detection_id, url, min(detection_id) over w as group_id, count(*) over w as group_size, action as review_action, decided_by from pbod left join lr using (detection_id) "
         "window w as (partition by candidate_id, text_hash)",
         *RV, extra=(LR, PB),
     ),
@@ -324,6 +325,32 @@ def _siblings(t: Tables):
     return V.template_siblings(d, s, r).drop("candidate_id", "text_hash")
 
 
+@case(
+    "siblings_of",
+    with_views(
+        "select detection_id, action as review_action, decided_by from pbod left join lr using (detection_id) where (candidate_id, text_hash) in (select (candidate_id, text_hash) from pbod where detection_id%10=0)",
+        *RV, extra=(LR, PB),
+    ),
+)
+def _siblings_of(t: Tables):
+    d, s, _, r = _rv(t)
+    asked = d.filter("detection_id % 10 = 0")
+    return V.siblings_of(asked, V.template_siblings(d, s, r)).select("detection_id", "review_action", "decided_by")
+
+
+@case(
+    "twins_of",
+    with_views(
+        "select a.detection_id as asked_id, b.detection_id from pbod a join pbod b on a.text_hash=b.text_hash and a.candidate_id<>b.candidate_id join candidates_v c on c.candidate_id=b.candidate_id where a.detection_id%10=0",
+        *RV, extra=(LR, PB, MULTI),
+    ),
+)
+def _twins_of(t: Tables):
+    d, s, c, r = _rv(t)
+    asked = d.filter("detection_id % 10 = 0")
+    return V.twins_of(asked, V.cross_attribution_twins(d, s, c, r)).select("asked_id", "detection_id")
+
+
 @case("multi_attribution_hashes", with_views("select * from multi", *RV, extra=(PB, MULTI)))
 def _multi(t: Tables):
     d, s, _, _ = _rv(t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagewatch.catalog.core import Tables, case, with_views
@@ -13,7 +15,8 @@ from pagewatch.operators.review import ranked_detections
 from pagewatch.plans.money import corroborate
 from pagewatch.plans.publish import publish_tables
 from pagewatch.plans.views import candidate_views
-from pagewatch.sources.sinks import feed_json, sitemap_rows
+from pagewatch.session import scratch_root
+from pagewatch.sources.sinks import feed_json, sitemap_rows, write_feed
 
 SITE = "https://tracker.example"
 RK = (
@@ -344,7 +347,7 @@ def _feed_rows(t: Tables):
 
 @case("feed_items", with_views("select * from feed", *SITE_VIEWS, extra=(*VIEW_CHAIN, FEED)))
 def _feed(t: Tables):
-    return _feed_rows(t).drop("candidate_id")
+    return _feed_rows(t).drop("candidate_id", "position")
 
 
 @case(
@@ -379,9 +382,24 @@ def _sitemap(t: Tables):
     return sitemap_rows(views, pages, SITE, F.lit("2026-06-01").cast("date"))
 
 
-@case("feed_json_rows", None)
+@case(
+    "feed_json_rows",
+    with_views(
+        "select row_number() over (order by date_published desc, state, district, name, candidate_id)::int as position, '{\"id\":'||to_json(id)||',\"url\":'||to_json(url)||',\"title\":'||to_json(title)||',\"content_text\":'||"
+        "to_json(content_text)||coalesce(',\"date_published\":\"'||strftime(date_published,'%Y-%m-%dT%H:%M:%S.%g')||'\"','')||'}' as value from feed join (select candidate_id, state, district, name from vw) v on candidate_id=split_part(id,'#',1)",
+        *SITE_VIEWS, extra=(*VIEW_CHAIN, FEED),
+    ),
+)
 def _feed_json(t: Tables):
-    return feed_json(_feed_rows(t).withColumn("position", F.lit(1)))
+    return feed_json(_feed_rows(t))
+
+
+@case("write_feed", with_views("select id, title from feed", *SITE_VIEWS, extra=(*VIEW_CHAIN, FEED)))
+def _write_feed(t: Tables):
+    path = f"{scratch_root(t.spark)}/pagewatch-feed-{uuid.uuid4().hex}"
+    write_feed(_feed_rows(t), path)
+    written = t.spark.read.text(path)
+    return written.select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.title").alias("title"))
 
 
 # posted: one id per candidate, under the old suffix for half of them

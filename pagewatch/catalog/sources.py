@@ -110,10 +110,11 @@ from events where event_type in ('purchase','click','view')""",
     ),
     "reviews_v": (
         """select event_id*2 as review_id, event_id as detection_id,
-  case event_id%5 when 0 then 'reject' when 1 then 'needs_more' else 'approve' end as action, ts as reviewed_at
+  case event_id%5 when 0 then 'reject' when 1 then 'needs_more' else 'approve' end as action, ts as reviewed_at,
+  'reviewer '||cast(event_id%7 as string) as reviewer
 from events where event_type in ('purchase','click') and event_id%3=0
 union all
-select event_id*2+1, event_id, case event_id%4 when 0 then 'approve' else 'reject' end, ts
+select event_id*2+1, event_id, case event_id%4 when 0 then 'approve' else 'reject' end, ts, cast(null as string)
 from events where event_type in ('purchase','click') and event_id%6=0""",
         ("events",),
     ),

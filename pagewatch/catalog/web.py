@@ -122,7 +122,13 @@ def _links(t: Tables):
     return W.extract_links(t("pages")).select("page_id", "href", "kind")
 
 
-@case("extract_text", None)
+# No quoted '>' stands in a tag of these pages, so tags can be cut out by a pattern.
+@case(
+    "extract_text",
+    "select page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, "
+    "'<head>.*?</head>|<(script|style|noscript|template|svg|canvas|title)[ >].*?</(script|style|noscript|template|svg|canvas|title)>|<!--.*?-->', chr(1), 'gs'), "
+    "'<[^>]*>', chr(1), 'gs'), chr(1)), lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g'), ' '||chr(9)||chr(10)||chr(13))), lambda x: x <> ''), chr(10)) as text from pages",
+)
 def _text(t: Tables):
     return W.extract_text(t("pages"))
 
@@ -300,7 +306,15 @@ def _model_eval(t: Tables):
     return E.model_eval(t.sql(_EV, "detections_v"))
 
 
-@case("stratified_sample", None)
+@case(
+    "stratified_sample",
+    with_views(
+        "select detection_id, stratum from (select *, row_number() over (partition by stratum order by draw, detection_id) as place from drawn) x where "
+        "place <= case stratum when 'hard' then 20 else 60 - (select least(20, count(*)) from drawn where stratum='hard') end",
+        "page_texts_v",
+        extra=(("drawn", "select page_id as detection_id, sha256('42:'||cast(page_id as varchar)) as draw, case when " + any_path_sql("url", urls.MEDIA_PATHS) + " or " + signal_sql("raw_text") + ">0 then 'hard' else 'easy' end as stratum from page_texts_v"),),
+    ),
+)
 def _sample(t: Tables):
     negatives = t("page_texts_v").withColumn("detection_id", F.col("page_id"))
     return E.stratified_sample(negatives, 20, 60).select("detection_id", "stratum")

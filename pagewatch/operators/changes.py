@@ -23,7 +23,11 @@ def with_page_key(scans: DataFrame) -> DataFrame:
 
 def phantom_404(scans: DataFrame) -> DataFrame:
     """Add ``recorded``: false for 404/410 rows ahead of the page's first other scan."""
-    paged = with_page_key(scans)
+    return first_seen(with_page_key(scans))
+
+
+def first_seen(paged: DataFrame) -> DataFrame:
+    """``recorded`` for scans that carry their page key."""
     first = (
         paged.filter(~is_gone(F.col("http_status"))).groupBy(*PAGE).agg(F.min("scan_id").alias("_first"))
     )
@@ -35,8 +39,15 @@ def phantom_404(scans: DataFrame) -> DataFrame:
 
 
 def unchanged_pages(scans: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``unchanged``: the body equals that of the page's previous recorded scan."""
-    recorded = phantom_404(scans).filter("recorded").drop("recorded")
+    """(scan_id, candidate_id, page_key, text_hash, unchanged) of every recorded scan.
+
+    ``unchanged``: the body equals that of the page's previous recorded scan. The narrow
+    columns are written once, as page keys are dear and history reads them twice; join
+    ``scan_id`` for the rest of a scan.
+    """
+    narrow = with_page_key(scans).select("scan_id", "candidate_id", "page_key", "http_status", "text_hash")
+    narrow = write_through(narrow, "page-bodies")
+    recorded = first_seen(narrow).filter("recorded").select("scan_id", *PAGE, "text_hash")
     body = F.struct(F.col("text_hash").alias("h"))
     return (
         history_before(recorded, PAGE, ["scan_id"], prev={"_prev": body}, block_rows=block_rows)
@@ -52,8 +63,12 @@ def latest_verdict_per_scan(detections: DataFrame) -> DataFrame:
 
 
 def verdict_as_of(scans: DataFrame, detections: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``classification`` as the scan saw it: its own verdict, else the body's last earlier one."""
+    """Add ``classification`` as the scan saw it: its own verdict, else the body's last earlier one.
+
+    The scans are written once with their own verdicts: pass narrow columns.
+    """
     own = scans.join(latest_verdict_per_scan(detections), "scan_id", "left")
+    own = write_through(own, "own-verdicts")  # history reads its input twice
     body = ["candidate_id", "text_hash"]
     seen = history_before(own, body, ["scan_id"], last={"_earlier": F.col("own_class")}, block_rows=block_rows)
     verdict = F.coalesce("own_class", "_earlier", F.lit(NO_GUIDANCE))

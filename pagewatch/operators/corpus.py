@@ -45,11 +45,21 @@ def template_aliases(pages: DataFrame, order: str = "scan_id") -> DataFrame:
     return pages.join(first, body).withColumn("deduped", F.col(order) > F.col("representative"))
 
 
+def few_pages(batches: Iterator[pd.DataFrame], rows: int = 64) -> Iterator[pd.DataFrame]:
+    """Batches in pieces, so that what a page expands to is handed on before the next pages are read.
+
+    Spark bounds the bytes of the batches themselves (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
+
+
 def chunk_pages(pages: DataFrame, chunk_chars: int = 40_000) -> DataFrame:
     """(page_id, chunk_no, chunk) from (page_id, text): paragraphs packed up to the limit."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in few_pages(batches):
             rows = [
                 (page, n, chunk)
                 for page, text in zip(batch["page_id"], batch["text"])
@@ -192,7 +202,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     key_type = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in few_pages(batches):
             rows = [
                 (page, url, site, pos, href, kind)
                 for page, url, site, html in zip(batch["page_id"], batch["url"], batch["site_url"], batch["html"])
@@ -211,7 +221,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     key_type = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in few_pages(batches):
             yield pd.DataFrame({"page_id": batch["page_id"], "text": [text_of(h or "") for h in batch["html"]]})
 
     return pages.select("page_id", "html").mapInPandas(read, f"page_id {key_type}, text string")

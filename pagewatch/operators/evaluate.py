@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.functions.text import estimate_tokens, signal_score
 from pagewatch.functions.urls import is_media
+from pagewatch.operators.ordered import top_per_key
 
 
 def scan_cost_preflight(
@@ -64,16 +65,17 @@ def model_eval(results: DataFrame) -> DataFrame:
 def stratified_sample(negatives: DataFrame, n_hard: int = 50, n: int = 150, seed: int = 42) -> DataFrame:
     """Hard negatives (media address or any signal) up to ``n_hard``, easy ones for the rest.
 
-    Rows are drawn by a seeded hash of the id, so the draw is repeatable.
+    Rows are drawn by a seeded digest of the id, so the draw is repeatable. Each stratum
+    is ranked once; how many easy ones fit follows from a scalar subquery over the hard.
     """
     hard = is_media(F.col("url")) | (signal_score(F.col("raw_text")) > 0)
-    rows = negatives.withColumn("stratum", F.when(hard, "hard").otherwise("easy")).withColumn(
-        "_draw", F.xxhash64("detection_id", F.lit(seed))
-    )
-    first = rows.filter("stratum = 'hard'").orderBy("_draw", "detection_id").limit(min(n_hard, n))
-    easy = rows.filter("stratum = 'easy'").orderBy("_draw", "detection_id").limit(n)
-    room = n - first.agg(F.count("*")).first()[0]
-    return first.unionByName(easy.limit(max(0, room))).drop("_draw")
+    draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("detection_id").cast("string")), 256)
+    rows = negatives.withColumn("stratum", F.when(hard, "hard").otherwise("easy")).withColumn("_draw", draw)
+    ranked = top_per_key(rows, ["stratum"], [F.col("_draw"), F.col("detection_id")], n, "_place")
+    first = ranked.filter((F.col("stratum") == "hard") & (F.col("_place") <= min(n_hard, n)))
+    room = F.lit(n) - first.agg(F.count("*")).scalar()
+    rest = ranked.filter("stratum = 'easy'").filter(F.col("_place") <= room)
+    return first.unionByName(rest).drop("_draw", "_place")
 
 
 def eval_set(labelled: DataFrame, detections: DataFrame, scans: DataFrame, negatives: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewatch.functions.dates import money_compact
@@ -450,13 +450,12 @@ def approved_at(views: DataFrame, exhibits: DataFrame) -> DataFrame:
 def feed_items(views: DataFrame, exhibits: DataFrame, site_url: str, n: int = 50) -> DataFrame:
     """The newest published findings as feed items.
 
-    ``views`` carries ``display_name``; only the top ``n`` rows go past the sort.
+    ``views`` carries ``display_name``; only the top ``n`` rows go past the sort, and
+    ``position`` numbers those.
     """
-    top = (
-        approved_at(views, exhibits)
-        .orderBy(F.col("approved_at").desc_nulls_last(), "state", "district", "name", "candidate_id")
-        .limit(n)
-    )
+    newest = [F.col("approved_at").desc_nulls_last(), "state", "district", "name", "candidate_id"]
+    top = approved_at(views, exhibits).orderBy(*newest).limit(n)
+    top = top.withColumn("position", F.row_number().over(Window.orderBy(*newest)))
     prints = finding_fingerprint(exhibits)
     seat = seat_compact(F.col("office"), F.col("state"), F.col("district"))
     name_seat = F.concat("display_name", F.lit(" ("), seat, F.lit(")"))
@@ -480,6 +479,7 @@ def feed_items(views: DataFrame, exhibits: DataFrame, site_url: str, n: int = 50
         title.alias("title"),
         content.alias("content_text"),
         F.col("approved_at").alias("date_published"),
+        "position",
     )
 
 

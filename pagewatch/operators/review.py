@@ -15,7 +15,7 @@ def latest_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def with_latest_review(detections: DataFrame, reviews: DataFrame) -> DataFrame:
-    newest = latest_reviews(reviews).select("detection_id", "action", "reviewed_at")
+    newest = latest_reviews(reviews).select("detection_id", "action", "reviewed_at", F.col("reviewer").alias("decided_by"))
     return detections.join(newest, "detection_id", "left")
 
 
@@ -58,7 +58,7 @@ def template_siblings(detections: DataFrame, scans: DataFrame, reviews: DataFram
     return (
         with_latest_review(members, reviews)
         .join(groups, body)
-        .select("detection_id", "candidate_id", "text_hash", "url", "group_id", "group_size", F.col("action").alias("review_action"))
+        .select("detection_id", "candidate_id", "text_hash", "url", "group_id", "group_size", F.col("action").alias("review_action"), "decided_by")
     )
 
 

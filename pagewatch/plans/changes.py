@@ -21,7 +21,8 @@ def sweep_decisions(
 
     ``batch`` holds one scan per page. Adds recorded, unchanged, usable, the
     baseline (base_scan_id, base_class, base_hash), prev_status and ``action``:
-    drop / unchanged / empty / prefiltered / reuse / classify.
+    drop / unchanged / empty / prefiltered / reuse / classify. Texts are left out: join them
+    by ``scan_id`` where a page is classified.
     """
     last = (
         with_page_key(history)
@@ -36,7 +37,7 @@ def sweep_decisions(
     )
     usable = usable_scan(F.col("http_status"), F.col("raw_text"))
     empty = (strip(F.coalesce("raw_text", F.lit(""))) == "") | ~F.coalesce(F.col("http_status") == 200, F.lit(False))
-    wants = F.col("recorded") & ~F.col("unchanged") & ~empty & (is_positive(F.col("base_class")) | F.col("scan"))
+    wants = F.col("recorded") & ~F.col("unchanged") & ~F.col("empty") & (is_positive(F.col("base_class")) | F.col("scan"))
     rows = (
         prefilter(with_page_key(batch))
         .join(last, PAGE, "left")
@@ -46,24 +47,25 @@ def sweep_decisions(
                 "recorded": ~(F.col("prev").isNull() & is_gone(F.col("http_status"))),
                 "unchanged": F.coalesce(F.col("prev.text_hash") == F.col("text_hash"), F.lit(False)),
                 "usable": usable,
+                "empty": empty,
                 "prev_status": F.col("prev.http_status"),
             }
         )
         .withColumn("wants", wants)
     )
-    rows = write_through(rows.drop("prev", "score", "reason"), "sweep")
+    rows = write_through(rows.drop("prev", "score", "reason", "raw_text"), "sweep")
     body = ["candidate_id", "text_hash"]
     leader = rows.filter("wants").groupBy(*body).agg(F.min("scan_id").alias("lead_scan_id"))
     after_lead = F.coalesce(F.col("scan_id") > F.col("lead_scan_id"), F.lit(False))
     action = (
         F.when(~F.col("recorded"), "drop")
         .when(F.col("unchanged"), "unchanged")
-        .when(empty, "empty")
+        .when(F.col("empty"), "empty")
         .when(after_lead, "reuse")
         .when(F.col("wants"), "classify")
         .otherwise("prefiltered")
     )
-    return rows.join(leader, body, "left").withColumn("action", action).drop("wants", "scan")
+    return rows.join(leader, body, "left").withColumn("action", action).drop("wants", "scan", "empty")
 
 
 def diff_scans(decisions: DataFrame, verdicts: DataFrame) -> DataFrame:
