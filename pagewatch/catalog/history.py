@@ -9,7 +9,7 @@ from pagewatch.catalog.scalars import CANON_SQL, POSITIVE_SQL, USABLE_SQL
 from pagewatch.operators import changes as C
 from pagewatch.operators import money as M
 from pagewatch.operators import review as V
-from pagewatch.plans.changes import diff_scans, replay_and_reconcile, sweep_decisions
+from pagewatch.plans.changes import diff_scans, replay_and_reconcile, sweep_decisions, run_sweep
 from pagewatch.plans.console import review_console_tables
 from pagewatch.plans.money import corroborate
 
@@ -214,6 +214,80 @@ def _diff(t: Tables):
     return diff_scans(_decisions(t), t("detections_v").select("scan_id", "classification")).drop("detected_at")
 
 
+# the sweep as a job: pages whose id is divisible by 3 give a reply that cannot be read
+TRIED = (
+    "tried",
+    "select d.*, l.lead, case when not recorded then 'drop' when unchanged then 'unchanged' when emptyish then 'empty' when d.scan_id=l.lead then 'classify' when d.scan_id>l.lead then 'reuse' else 'failed' end as action "
+    "from dec d left join (select candidate_id, text_hash, min(scan_id) as lead from dec where recorded and not unchanged and not emptyish and scan_id%3<>0 group by 1,2) l using (candidate_id, text_hash)",
+)
+SAID = "case when lead%2=0 then 'red_box_guidance' else 'no_guidance_detected' end"
+SWEPT = (
+    "swept",
+    "select *, case when changed then case when pp and not np then 'take_down' when np and not pp then 'put_up' when pp and np then 'modified' end when vanish then 'take_down' end as kind from "
+    "(select *, usable and not unchanged and bhash is distinct from text_hash as changed, not usable and gone and prev_status in (404,410) and bcls in ('red_box_guidance','ambiguous') as vanish, "
+    f"bcls in ('red_box_guidance','ambiguous') as pp, coalesce(ncls='red_box_guidance',false) as np from (select *, case when action in ('classify','reuse') then {SAID} else {NONE} end as ncls from tried where action<>'failed') a) b",
+)
+JOB_CHAIN = (*SWEEP_CHAIN[:-2], TRIED, SWEPT)
+
+
+def _odd_reply(model: str):
+    def score(chunks):
+        cls = F.when(F.col("page_id") % 2 == 0, "red_box_guidance").otherwise("no_guidance_detected")
+        reply = F.to_json(F.struct(cls.alias("classification"), F.lit(0.9).alias("confidence")))
+        raw = F.when(F.col("page_id") % 3 == 0, "sorry, no verdict").otherwise(reply)
+        return chunks.withColumns({"raw": raw, "model": F.lit(model)})
+
+    return score
+
+
+def _sweep(t: Tables):
+    scans = C.with_page_key(t("scans_v")).withColumn("content_type", F.lit("text/html"))
+    last = scans.groupBy("candidate_id", "page_key").agg(F.max("scan_id").alias("scan_id")).select("scan_id")
+    batch, history = scans.join(last, "scan_id", "left_semi"), scans.join(last, "scan_id", "left_anti")
+    seen = history.select("scan_id")
+    old_dets = t("detections_v").join(seen, "scan_id", "left_semi")
+    old_events = t("change_events_v").join(seen.withColumnRenamed("scan_id", "new_scan_id"), "new_scan_id", "left_semi")
+    blocked = t("candidates_v").filter("c_custkey % 2 = 0")
+    return run_sweep(batch.drop("page_key"), history.drop("page_key"), old_events, old_dets, blocked, _odd_reply("m1"), _odd_reply("m2"))
+
+
+def _job(body: str) -> str:
+    return with_views(body, *SWEEP_VIEWS, "candidates_v", extra=JOB_CHAIN)
+
+
+@case("run_sweep_scans", _job("select scan_id, candidate_id, url from tried where action not in ('drop','failed')"))
+def _run_scans(t: Tables):
+    return _sweep(t).scans.select("scan_id", "candidate_id", "url")
+
+
+@case("run_sweep_detections", _job(f"select scan_id, candidate_id, {SAID} as classification, 0.9::double as confidence, 'm1' as model from tried where action='classify'"))
+def _run_detections(t: Tables):
+    return _sweep(t).detections.select("scan_id", "candidate_id", "classification", "confidence", "model")
+
+
+@case("run_sweep_quarantine", _job("select scan_id, candidate_id, 'unparseable verdict: sorry, no verdict' as error from tried where action='failed'"))
+def _run_quarantine(t: Tables):
+    return _sweep(t).quarantine.select("scan_id", "candidate_id", "error")
+
+
+@case("run_sweep_events", _job("select candidate_id, scan_id as new_scan_id, bid as prev_scan_id, kind as event_type from swept where recorded and bid is not null and kind is not null"))
+def _run_events(t: Tables):
+    return _sweep(t).events.select("candidate_id", "new_scan_id", "prev_scan_id", "event_type")
+
+
+@case(
+    "run_sweep_outcome",
+    _job(
+        "select t.candidate_id, count(*) filter (where t.action not in ('failed','drop') and t.usable) as pages_scanned, count(*) filter (where t.action<>'failed' and (t.action='drop' or not t.usable)) as pages_failed, "
+        "count(*) filter (where t.action='classify') as detections, count(*) filter (where t.action='reuse') as deduped, count(*) filter (where s.recorded and s.bid is not null and s.kind is not null) as changes, "
+        "case when count(*) filter (where t.action not in ('failed','drop') and t.usable)>0 then 'scanned' when bool_or(coalesce(c.c_custkey%2=0,false)) then 'robots_blocked' else 'fetch_failed' end as scan_status "
+        "from tried t left join swept s using (scan_id) left join candidates_v c on c.candidate_id=t.candidate_id group by 1"
+    ),
+)
+def _run_outcome(t: Tables):
+    return _sweep(t).outcome.select("candidate_id", "pages_scanned", "pages_failed", "detections", "deduped", "changes", "scan_status")
+
+
 # ---------------------------------------------------------------- outside spending
 LR = ("lr", "select detection_id, action, reviewed_at, reviewer as decided_by from (select *, row_number() over (partition by detection_id order by reviewed_at desc, review_id desc) as rn from reviews_v) x where rn=1")
 OPEN = ("op", f"select d.* from detections_v d left join lr using (detection_id) where {POS} and coalesce(action,'')<>'reject'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from pagewatch.functions.text import strip
 from pagewatch.operators.changes import (
     PAGE, apply_reconciliation, baseline_state, reconcile_events, replay_changes, with_page_key,
 )
-from pagewatch.operators.corpus import prefilter
+from pagewatch.operators.corpus import Scorer, classify_pages, prefilter, scan_outcome
 from pagewatch.session import write_through
 
 
@@ -65,7 +67,7 @@ def sweep_decisions(
         .when(F.col("wants"), "classify")
         .otherwise("prefiltered")
     )
-    return rows.join(leader, body, "left").withColumn("action", action).drop("wants", "scan", "empty")
+    return rows.join(leader, body, "left").withColumn("action", action).withColumn("readable", ~F.col("empty")).drop("scan", "empty")
 
 
 def diff_scans(decisions: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -104,6 +106,91 @@ def diff_scans(decisions: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
+class Sweep(NamedTuple):
+    """What one sweep adds: each table is ready to be appended."""
+
+    scans: DataFrame
+    detections: DataFrame
+    events: DataFrame
+    outcome: DataFrame
+    quarantine: DataFrame
+
+
+def run_sweep(
+    batch: DataFrame,
+    history: DataFrame,
+    events: DataFrame,
+    detections: DataFrame,
+    robots_blocked: DataFrame,
+    first: Scorer | None = None,
+    second: Scorer | None = None,
+    chunk_chars: int = 40_000,
+) -> Sweep:
+    """Decide, classify and diff one sweep.
+
+    The first page of each new body is classified. Where that fails, nothing is recorded
+    of the page, so the next sweep meets it again, and the next page with the same body
+    is tried; later pages reuse the verdict found. The rounds end when no failed body has
+    a page left. ``outcome`` has a row per candidate of the batch.
+    """
+    body = ["candidate_id", "text_hash"]
+    rows = sweep_decisions(batch, history, events, detections).drop("lead_scan_id", "action")
+    wanted = write_through(rows.filter("wants").select("scan_id", *body), "sweep-wanted")
+    texts = batch.select(F.col("scan_id").alias("page_id"), F.coalesce("raw_text", F.lit("")).alias("text"))
+    leads = wanted.groupBy(*body).agg(F.min("scan_id").alias("scan_id"))
+    found: DataFrame | None = None
+    failed: DataFrame | None = None
+    while True:
+        leads = write_through(leads, "sweep-leads")
+        pages = texts.join(leads.select(F.col("scan_id").alias("page_id")), "page_id", "left_semi")
+        good, bad = classify_pages(pages, first, second, chunk_chars)
+        good = write_through(good.join(leads.withColumnRenamed("scan_id", "page_id"), "page_id"), "sweep-found")
+        bad = write_through(bad.join(leads.withColumnRenamed("scan_id", "page_id"), "page_id"), "sweep-failed")
+        found = good if found is None else found.unionByName(good)
+        failed = bad if failed is None else failed.unionByName(bad)
+        again = bad.select(*body, F.col("page_id").alias("_failed"))
+        leads = wanted.join(again, body).filter("scan_id > _failed").groupBy(*body).agg(F.min("scan_id").alias("scan_id"))
+        if bad.isEmpty() or leads.isEmpty():
+            break
+    lost = failed.select(F.col("page_id").alias("scan_id"), F.lit(True).alias("lost"))
+    lead = found.select(*body, F.col("page_id").alias("lead_scan_id"))
+    action = (
+        F.when(~F.col("recorded"), "drop")
+        .when(F.col("unchanged"), "unchanged")
+        .when(F.col("lost"), "failed")
+        .when(~F.col("readable"), "empty")
+        .when(F.col("scan_id") == F.col("lead_scan_id"), "classify")
+        .when(F.col("scan_id") > F.col("lead_scan_id"), "reuse")
+        .otherwise("prefiltered")
+    )
+    rows = rows.join(lead, body, "left").join(lost, "scan_id", "left").withColumn("action", action)
+    rows = write_through(rows.drop("lost"), "sweep-actions")
+    kept = rows.filter("action <> 'failed'")
+    changes = write_through(
+        diff_scans(kept, found.select(F.col("page_id").alias("scan_id"), "classification")), "sweep-events"
+    )
+    verdicts = found.withColumnRenamed("page_id", "scan_id").drop("text_hash")
+    appended = kept.filter("recorded").select("scan_id")
+    concluded = F.col("action") != "failed"
+    pages = (
+        rows.select("scan_id", "candidate_id", "action", "recorded", "usable")
+        .join(verdicts.select("scan_id", "classification"), "scan_id", "left")
+        .join(changes.select(F.col("new_scan_id").alias("scan_id"), "event_type"), "scan_id", "left")
+        .select(
+            "candidate_id", "classification", "event_type",
+            F.when(concluded, F.col("recorded")).alias("recorded"), F.when(concluded, F.col("usable")).alias("usable"),
+            (F.col("action") == "prefiltered").alias("prefiltered"), (F.col("action") == "reuse").alias("deduped"),
+        )
+    )
+    return Sweep(
+        scans=batch.join(appended, "scan_id", "left_semi"),
+        detections=verdicts,
+        events=changes,
+        outcome=scan_outcome(pages, robots_blocked),
+        quarantine=failed.withColumnRenamed("page_id", "scan_id").drop("text_hash"),
+    )
+
+
 def replay_and_reconcile(
     scans: DataFrame, detections: DataFrame, recorded: DataFrame, apply: bool = False
 ) -> tuple[DataFrame, DataFrame]:
