@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,25 @@ def read_spread(spark: SparkSession, path: str, min_bytes: int = 1_000_000) -> D
     return df
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def scratch_job(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, every intermediate written inside it.
+
+    Write or collect the job's results inside: DataFrames still read the intermediates.
+    """
+    start = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[start:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _written[start:]
+
+
 def write_through(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -65,5 +86,6 @@ def write_through(df: DataFrame, label: str = "stage") -> DataFrame:
     instead of replaying the lineage.
     """
     path = f"{scratch_root(df.sparkSession)}/pagewatch-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

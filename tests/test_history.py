@@ -152,6 +152,45 @@ def test_host_strikes(spark, block):
     assert {r["seq"]: (r["strikes"], r["backoff_seconds"], r["abandoned"]) for r in out.collect()} == want
 
 
+def in_batches(spark, df, order, cuts, tmp_path, job):
+    """The output of a streaming job that gets ``df`` in several micro-batches, one run each."""
+    folder, out = str(tmp_path / "in"), None
+    for low, high in zip(cuts, cuts[1:]):
+        df.filter((F.col(order) >= low) & (F.col(order) < high)).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        out = run_available(job(stream), str(tmp_path / "out"), str(tmp_path / "state"))
+    return out
+
+
+def test_stream_host_strikes_over_several_batches(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(i, rng.choice("xxxy"), rng.choice((429, 503, 200)), rng.choice((None, 2.0))) for i in range(150)]
+    log = spark.createDataFrame(rows, "seq long, host string, http_status int, retry_after double")
+    out = in_batches(spark, log, "seq", (0, 40, 41, 110, 150), tmp_path, stateful.stream_host_strikes)
+    columns = ("seq", "strikes", "backoff_seconds", "abandoned")
+    assert sorted(out.select(*columns).collect()) == sorted(host_strikes(log).select(*columns).collect())
+    assert out.filter("late").count() == 0
+
+
+def test_stream_new_bodies_over_several_batches(spark, tmp_path):
+    s, _ = frames(spark, *make_history(23, n=160))
+    out = in_batches(spark, s, "scan_id", (0, 50, 51, 160), tmp_path, stateful.stream_new_bodies)
+    want = unchanged_pages(s).filter("not unchanged").select("scan_id").collect()
+    assert sorted(r.scan_id for r in out.filter("not late").collect()) == sorted(r.scan_id for r in want)
+
+
+def test_scratch_job_deletes_its_intermediates(spark):
+    import os
+
+    from pagewatch import session
+
+    with session.scratch_job(spark):
+        kept = session.write_through(spark.range(5), "probe")
+        folder = os.path.dirname(kept.inputFiles()[0].removeprefix("file://"))
+        assert kept.count() == 5 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
 def test_global_rank_spreads_and_counts(spark):
     df = spark.range(1000).withColumn("k", F.lit("same"))
     ranked = global_rank(df, [F.col("k"), F.col("id").desc()])
