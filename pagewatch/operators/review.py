@@ -122,10 +122,7 @@ def pending_detections(
 def pending_queue(
     detections: DataFrame, scans: DataFrame, candidates: DataFrame, reviews: DataFrame
 ) -> DataFrame:
-    """One row per open finding (candidate, body), led by its best detection.
-
-    Sorted by (confidence desc, detection_id), the order findings are worked in.
-    """
+    """One row per open finding (candidate, body), led by its best detection; in no order."""
     columns = ("classification", "name", "state", "district", "office", "party", "url_verified", "url")
     lead_key = F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("k"), F.col("detection_id").alias("id"))
     shared = multi_attribution_hashes(detections, scans).withColumn("multi_attribution", F.lit(True))
@@ -146,17 +143,20 @@ def pending_queue(
             "alias_count",
             F.coalesce("multi_attribution", F.lit(False)).alias("multi_attribution"),
         )
-        .orderBy(F.col("confidence").desc_nulls_last(), F.col("detection_id"))
     )
 
 
+def work_order(queue: DataFrame) -> DataFrame:
+    """The queue in the order findings are worked in: confidence, then the older detection."""
+    return queue.orderBy(F.col("confidence").desc_nulls_last(), F.col("detection_id"))
+
+
 def next_pending(queue: DataFrame, pending: DataFrame, exclude: DataFrame) -> DataFrame:
     """The first finding none of whose open detections is excluded."""
     body = ["candidate_id", "text_hash"]
     skipped = pending.join(exclude.select("detection_id"), "detection_id", "left_semi").select(*body).distinct()
     return (
-        queue.join(skipped, body, "left_anti")
-        .orderBy(F.col("confidence").desc_nulls_last(), F.col("detection_id"))
+        work_order(queue.join(skipped, body, "left_anti"))
         .limit(1)
         .select("detection_id")
     )
@@ -174,7 +174,7 @@ def recent_decisions(reviews: DataFrame, detections: DataFrame, candidates: Data
 
 
 def url_queue(candidates: DataFrame) -> DataFrame:
-    """Active candidates without a site that no human has triaged, richest first."""
+    """Active candidates without a site that no human has triaged; in no order."""
     return (
         candidates.filter(
             (F.coalesce("website_url", F.lit("")) == "")
@@ -182,10 +182,13 @@ def url_queue(candidates: DataFrame) -> DataFrame:
             & (F.coalesce("inactive", F.lit(0)) == 0)
         )
         .select("candidate_id", "name", "office", "state", "district", "party", "receipts", "universe_reason")
-        .orderBy(F.col("receipts").desc_nulls_last(), F.col("candidate_id"))
     )
 
 
+def richest_first(queue: DataFrame) -> DataFrame:
+    return queue.orderBy(F.col("receipts").desc_nulls_last(), F.col("candidate_id"))
+
+
 def pdf_evidence_backlog(
     detections: DataFrame, scans: DataFrame, candidates: DataFrame, reviews: DataFrame, archives: DataFrame
 ) -> DataFrame:
