@@ -229,48 +229,69 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.join(shared, "doc", "left").withColumn("tie", tie).drop("shared")
 
 
-ANCHORS = "hash long, context long, doc long, tie long, first int, last int"
+def in_pieces(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
 
 
-def anchors(rows: DataFrame) -> DataFrame:
-    """The anchors of all documents with the hash of the bytes their windows span."""
+def anchor_hashes(rows: DataFrame) -> DataFrame:
+    """(hash, n): how often each anchor hash occurs, counted ahead for a few documents at a time."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for some in range(0, len(batch), 256):
-                yield from _anchor_rows(batch.iloc[some : some + 256])
+        for batch in in_pieces(batches):
+            found = [anchors_of(np.frombuffer(text.encode(), np.uint8))[0] for text in batch.text]
+            hashes, counts = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"hash": hashes.view(np.int64), "n": counts})
 
-    return rows.select("doc", "tie", "text").mapInPandas(find, ANCHORS)
+    return rows.select("text").mapInPandas(find, "hash long, n long")
 
 
-def _anchor_rows(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    from xxhash import xxh64_intdigest
+def anchors(rows: DataFrame) -> DataFrame:
+    """The anchors of all documents with the hash of the bytes their windows span."""
 
-    out = []
-    for doc, tie, text in zip(batch.doc, batch.tie, batch.text):
-        raw = text.encode()
-        hashes, first, last = anchors_of(np.frombuffer(raw, np.uint8))
-        spans = [xxh64_intdigest(raw[a : b + LENGTH]) for a, b in zip(first.tolist(), last.tolist())]
-        whole = np.array(spans, np.uint64).view(np.int64)
-        out.append(pd.DataFrame({"hash": hashes.view(np.int64), "context": whole, "doc": doc, "tie": tie, "first": first, "last": last}))
-    if out:
-        yield pd.concat(out).astype({"doc": "int64", "tie": "int64", "first": "int32", "last": "int32"})
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for batch in in_pieces(batches):
+            spans, found = [], []
+            for text in batch.text:
+                raw = text.encode()
+                own = anchors_of(np.frombuffer(raw, np.uint8))
+                spans += [xxh64_intdigest(raw[a:b]) for a, b in zip(own[1].tolist(), (own[2] + LENGTH).tolist())]
+                found.append(own)
+            hashes, first, last = (np.concatenate(part) for part in zip(*found))
+            of = np.repeat(np.arange(len(batch)), [len(own[0]) for own in found])
+            yield pd.DataFrame(
+                {"hash": hashes.view(np.int64), "context": np.array(spans, np.uint64).view(np.int64),
+                 "doc": batch.doc.to_numpy()[of], "tie": batch.tie.to_numpy()[of], "first": first.astype(np.int32),
+                 "last": last.astype(np.int32)}
+            )
+
+    schema = "hash long, context long, doc long, tie long, first int, last int"
+    return rows.select("doc", "tie", "text").mapInPandas(find, schema)
 
 
 def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(hash, doc, tie, first, context) with the bytes of the wanted anchors (hash, doc, tie, first, last)."""
-    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("hash", "first", "last")).alias("spans"))
+    lists = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("hash", "first", "last")).alias("s"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc, tie, text, spans in zip(batch.doc, batch.tie, batch.text, batch.spans):
+        for batch in in_pieces(batches):
+            pieces: list[bytes] = []
+            for text, first, last in zip(batch.text, batch["first"], batch["last"]):
                 raw = text.encode()
-                found = [(s["hash"], doc, tie, s["first"], raw[s["first"] : s["last"] + LENGTH]) for s in spans]
-                yield pd.DataFrame(found, columns=["hash", "doc", "tie", "first", "context"])
+                pieces += [raw[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist())]
+            of = np.repeat(np.arange(len(batch)), batch["first"].map(len).to_numpy())
+            yield pd.DataFrame(
+                {"hash": np.concatenate(batch["hash"].to_list()), "doc": batch.doc.to_numpy()[of],
+                 "tie": batch.tie.to_numpy()[of], "first": np.concatenate(batch["first"].to_list()),
+                 "context": pd.Series(pieces, dtype=object)}
+            )
 
-    return rows.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "spans").mapInPandas(
-        cut, "hash long, doc long, tie long, first int, context binary"
-    )
+    joined = rows.join(lists, ["doc", "tie"])
+    joined = joined.select("doc", "tie", "text", *[F.col(f"s.{c}").alias(c) for c in ("hash", "first", "last")])
+    return joined.mapInPandas(cut, "hash long, doc long, tie long, first int, context binary")
 
 
 def sorted_repeats(found: DataFrame) -> DataFrame:
@@ -318,11 +339,10 @@ def release(spark) -> None:
 def repeated_starts(rows: DataFrame, split: int = SPLIT_CONTEXTS) -> DataFrame:
     """(doc, tie, start, end): runs of window starts whose bytes also start earlier."""
     spark = rows.sparkSession
-    every = anchors(rows)
-    twice = every.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    twice = anchor_hashes(rows).groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
     twice = write_through(twice, "suffix-hashes")
     release(spark)
-    held = write_through(every.join(twice, "hash", "left_semi"), "suffix-anchors")
+    held = write_through(anchors(rows).join(twice, "hash", "left_semi"), "suffix-anchors")
     release(spark)
     place = F.struct("doc", "tie", "first")
     kinds = held.groupBy("hash", "context").agg(F.min(F.struct("doc", "tie", "first", "last")).alias("least"), F.count("*").alias("n"))
@@ -354,25 +374,24 @@ def remove_repeats(docs: DataFrame, split: int = SPLIT_CONTEXTS) -> DataFrame:
     lists = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for some in range(0, len(batch), 256):
-                part = batch.iloc[some : some + 256]
-                cut = [kept_bytes(t.encode(), r) for t, r in zip(part.text, part.runs)]
-                out = pd.DataFrame(cut, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-                yield out.assign(doc_id=part.doc_id.astype("Int64").to_numpy())
+        for part in in_pieces(batches):
+            cut = [kept_bytes(t.encode(), a, b) for t, a, b in zip(part.text, part.starts, part.ends)]
+            out = pd.DataFrame(cut, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield out.assign(doc_id=part.doc_id.astype("Int64").to_numpy())
 
-    joined = rows.join(lists, ["doc", "tie"], "left").select("doc_id", "text", "runs")
+    joined = rows.join(lists, ["doc", "tie"], "left")
+    joined = joined.select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends"))
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, doc_id long"
     return joined.mapInPandas(remove, schema).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
-def kept_bytes(raw: bytes, runs) -> tuple[int, int, int, str, bytes]:
-    """Sizes, number of removed runs, digest and bytes of what is left; ``runs`` are window starts."""
-    if runs is None or not len(runs):
+def kept_bytes(raw: bytes, starts: np.ndarray | None, ends: np.ndarray | None) -> tuple[int, int, int, str, bytes]:
+    """Sizes, number of removed runs, digest and bytes of what is left; windows from each start to its end go."""
+    if starts is None or not len(starts):
         return len(raw), 0, 0, hashlib.sha256(raw).hexdigest(), raw
     edge = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(edge, [r["start"] for r in runs], 1)
-    np.add.at(edge, [r["end"] + LENGTH for r in runs], -1)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, ends + LENGTH, -1)
     gone = np.cumsum(edge[:-1]) > 0
     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
