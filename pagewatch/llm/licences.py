@@ -214,15 +214,14 @@ def licence_lines(docs: DataFrame) -> DataFrame:
     met = each.join(F.broadcast(weight_table(spark)), "gram")
     sums = [(F.sum(f"w{k}") + float(b)).alias(f"z{k}") for k, b in enumerate(intercepts)]
     scored = met.groupBy("doc_id", "row", "line_no").agg(F.first("line").alias("line"), *sums)
-    powers = [F.exp(F.col(f"z{k}")).alias(f"e{k}") for k in range(len(FAMILIES))]
-    scored = scored.select("doc_id", "line_no", "line", *powers)
-    total = sum((F.col(f"e{k}") for k in range(1, len(FAMILIES))), F.col("e0"))
-    ranked = F.array_max(F.array(*[F.struct((F.col(f"e{k}") / total).alias("p"), F.lit(f).alias("family")) for k, f in enumerate(FAMILIES)]))
-    scored = scored.select("doc_id", "line_no", "line", ranked.alias("best"))
-    sure = (F.col("best.family") != OTHER) & (F.col("best.p") >= CERTAIN)
-    scored = scored.filter(F.col("best.family") != OTHER).select(
-        "doc_id", "line_no", "line", F.when(sure, F.col("best.family")).otherwise(OTHER).alias("family"), F.col("best.p").alias("probability")
-    )
+    # the sums as one array: as columns of their own, the optimizer's inferred filters fill the driver
+    scored = scored.select("doc_id", "line_no", "line", F.array(*[F.col(f"z{k}") for k in range(len(FAMILIES))]).alias("z"))
+    top = F.array_max("z")
+    odds = F.aggregate("z", F.lit(0.0), lambda total, z: total + F.exp(z - top))
+    likely = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", top).cast("int"))
+    scored = scored.select("doc_id", "line_no", "line", likely.alias("likely"), (1 / odds).alias("probability"))
+    sure = F.when(F.col("probability") >= CERTAIN, F.col("likely")).otherwise(OTHER)
+    scored = scored.filter(F.col("likely") != OTHER).select("doc_id", "line_no", "line", sure.alias("family"), "probability")
     own = gram_hashes(F.col("h"))
     scored = scored.withColumn("h", word_hashes(F.col("line"))).withColumn("own", own)
     scored = scored.join(F.broadcast(notice_table(spark)), "family", "left")
