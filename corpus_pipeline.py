@@ -25,10 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, that with the smallest doc_id.
+    """One row of each group of SimHash near-duplicates, one with the smallest doc_id, null last.
 
-    Texts without words, null ones included, are one group. Rows that repeat a doc_id are
-    one document. Other columns pass through; no rows give no rows.
+    Texts without words, null ones included, are one group. Rows that repeat a doc_id stay
+    apart if their texts are in different groups. Other columns pass through; no rows give
+    no rows.
     """
     return bk_dedup.keep_one(docs)
 

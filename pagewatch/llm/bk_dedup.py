@@ -18,11 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewatch.llm.components import connected
-from pagewatch.llm.tables import parts
+from pagewatch.llm.tables import KEY, parts, row_key
 from pagewatch.session import write_through
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -60,12 +60,16 @@ def fingerprint_of(text: str) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long. Null texts count as empty: fingerprint zero."""
 
+    return docs.select("doc_id", fingerprint_column("text").alias("fp"))
+
+
+def fingerprint_column(text: str) -> Column:
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint_of(t or "") for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return fp(text)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,11 +210,7 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     the smallest. No rows give no rows.
     """
     rows = write_through(fingerprints(docs), "bk-fingerprints")
-    nodes = write_through(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "bk-nodes")
-    links = write_through(shard_links(nodes.select("fp"), radius), "bk-links")
-    roots = connected(links)
-    homes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    homes = homes.withColumn("root", F.coalesce("root", "fp"))
+    homes = group_roots(rows.select("fp", F.col("doc_id").alias("key")), radius)
     lowest = homes.groupBy("root").agg(F.min("low").alias("component_id"))
     homes = homes.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return rows.join(homes, "fp").select(
@@ -218,14 +218,26 @@ def near_components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
+def group_roots(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, low): each different fingerprint of ``rows`` (fp, key), the fingerprint that stands for its group, and its smallest key."""
+    nodes = write_through(rows.groupBy("fp").agg(F.min("key").alias("low")), "bk-nodes")
+    links = write_through(shard_links(nodes.select("fp"), radius), "bk-links")
+    homes = nodes.join(connected(links).withColumnRenamed("node", "fp"), "fp", "left")
+    return homes.select("fp", F.coalesce("root", "fp").alias("root"), "low")
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id.
+    """``docs`` with one row of each group of near-duplicates: one of those with the smallest doc_id.
 
-    Rows with that same doc_id are one document; one of them stays. Rows with a null
-    doc_id cannot be told apart and stay only where their group has no other id.
+    A group is its fingerprints, whatever the ids: rows of one doc_id with unrelated texts
+    are in different groups, each of which keeps a row. Rows with a null doc_id come last
+    and stay only where their group has no other id. Of several rows with the smallest
+    id the least row key stays.
     """
-    grouped = near_components(docs, radius).select("doc_id", "component_id")
-    kept = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"])).drop("_kept")
-    first = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    keyed = docs.withColumns(row_key(docs))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)
+    prints = keyed.select("doc_id", "text", *KEY)
+    rows = write_through(prints.select(fingerprint_column("text").alias("fp"), order.alias("key")), "bk-fingerprints")
+    kept = group_roots(rows, radius).groupBy("root").agg(F.min("low").alias("low"))
+    kept = write_through(kept.select(*[F.col(f"low.{k}").alias(k) for k in KEY]), "bk-kept")
+    return keyed.dropDuplicates(KEY).join(kept, KEY, "left_semi").drop(*KEY)

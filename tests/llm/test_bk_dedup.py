@@ -97,3 +97,15 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     wanted = {c for _, _, c in expected([(d, t) for d, t, _ in TEXTS])}
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(wanted, key=repr)
+
+
+def test_keep_one_of_each_group(spark):
+    """Null ids with different texts all stay; one id with two unrelated texts keeps what is no copy of a smaller id."""
+    a = "The quick brown fox jumps over the lazy dog again and again"
+    b, c, d = "An aardvark dug a burrow by the river", "Nine green bottles stood upon the wall", "Winter came early to the high valleys"
+    texts = [(3, a), (5, a), (5, b), (None, a), (None, b), (None, c), (None, c), (None, d), (7, ""), (7, None)]
+    groups = expected(texts)
+    assert len({f for _, f, _ in groups}) == 5
+    rows = [(i, t, "a") for i, t in texts]
+    kept = [(r.doc_id, r.text or "") for r in bk.keep_one(documents(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(3, a), (5, b), (None, c), (None, d), (7, "")], key=repr)
