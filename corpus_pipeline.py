@@ -44,7 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, a row per copy that training takes, 3 at most.
+    """The documents of the mix in training order, a row per copy that training takes, 3 at most.
 
     Texts without words are not in the mix. A null source is a source. Other columns pass
     through; no rows give no rows.
@@ -55,6 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed shards' documents, read back: doc_id, start, n_tokens and ids_crc32 of each copy.
 
+    Shards hold documents by ascending doc_id; the training order of the mix is given up here.
     Null texts are empty; a null doc_id comes first; no rows give no rows.
     """
     return token_pack.packed(spark, docs)

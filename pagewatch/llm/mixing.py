@@ -18,19 +18,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewatch.llm.tables import WORD, whole_text
+from pagewatch.llm.tables import KEY, WORD, row_key, whole_text
 from pagewatch.operators.ordered import global_rank
 from pagewatch.session import write_through
 
+Schedule = Sequence[tuple[float, float]]
 PASSES = 3
 FLAT = ((0.0, 1.0), (1.0, 1.0))
+# Sources of weight 2 fade out, those of weight 3 come in late; the integrals stay as weighed.
+CURRICULUM = {2.0: ((0.0, 1.5), (1.0, 0.5)), 3.0: ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words and the hashed order of each document."""
-    return docs.select(
-        "doc_id", "source", F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"), order_key().alias("order_key")
-    )
+    """doc_id, source, size in words, the hashed order and the row key of each document."""
+    size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size")
+    return docs.select("doc_id", "source", size, order_key().alias("order_key"), *[c.alias(k) for k, c in row_key(docs).items()])
 
 
 def order_key() -> Column:
@@ -44,8 +46,20 @@ def cyclic_weights(sources: DataFrame, weights: Sequence[int]) -> DataFrame:
     return ranked.withColumn("weight", weight.cast("double")).drop("place")
 
 
+def integral(schedule: Schedule) -> float:
+    return sum((w0 + w1) * (t1 - t0) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]))
+
+
+def demanded(sources: DataFrame, schedules: Mapping[float, Schedule] | None) -> DataFrame:
+    """Add ``demand``: the integral over training of a source's weight times its schedule, flat where none is given."""
+    demand = F.col("weight") * integral(FLAT)
+    for weight, schedule in (schedules or {}).items():
+        demand = F.when(F.col("weight") == weight, F.col("weight") * integral(schedule)).otherwise(demand)
+    return sources.withColumn("demand", demand)
+
+
 def share_words(sources: DataFrame, passes: int = PASSES) -> DataFrame:
-    """Add ``target``: all words shared by weight, none above ``passes`` times its source.
+    """Add ``target``: all words shared by demand, none above ``passes`` times its source.
 
     Only sums come to the driver. Each round fixes the sources that reach their cap;
     the rest share what is left, until no further source is above.
@@ -53,11 +67,11 @@ def share_words(sources: DataFrame, passes: int = PASSES) -> DataFrame:
     cap = F.col("source_size") * passes
     level, fixed = None, -1
     while True:
-        full = F.lit(False) if level is None else F.col("weight") * level >= cap
+        full = F.lit(False) if level is None else F.col("demand") * level >= cap
         row = sources.agg(
             F.sum("source_size").alias("total"),
             F.sum(F.when(full, cap).otherwise(0)).alias("held"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open"),
+            F.sum(F.when(full, 0.0).otherwise(F.col("demand"))).alias("open"),
             F.sum(full.cast("long")).alias("n"),
         ).first()
         if row.total is None or row.n == fixed or not row.open:
@@ -65,11 +79,17 @@ def share_words(sources: DataFrame, passes: int = PASSES) -> DataFrame:
         fixed, level = row.n, (row.total - row.held) / row.open
     if level is None:
         return sources.withColumn("target", F.lit(0.0))
-    return sources.withColumn("target", F.least(F.col("weight") * level, cap.cast("double")))
+    return sources.withColumn("target", F.least(F.col("demand") * level, cap.cast("double")))
+
 
+def plan_mix(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int = PASSES, buckets: int = 1024,
+    schedules: Mapping[float, Schedule] | None = CURRICULUM,
+) -> DataFrame:
+    """One row per document: what the mix takes of it and the position of its first word.
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int = PASSES, buckets: int = 1024) -> DataFrame:
-    """One row per document: what the mix takes of it.
+    ``schedules`` maps a source weight to the schedule that scales it over training; the
+    integral of the two is what the source demands. Other sources are flat.
 
     ``taken`` counts words with repeats: whole passes over the source, then a last pass
     up to the target, which may end inside one document. Empty and null texts have size
@@ -81,12 +101,12 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int =
     sized = write_through(document_sizes(docs).withColumn("bucket", bucket), "mix-sizes")
     cells = write_through(sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell")), "mix-cells")
     sources = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
-    sources = write_through(cyclic_weights(sources, weights), "mix-sources")
+    sources = write_through(demanded(cyclic_weights(sources, weights), schedules), "mix-sources")
     goals = share_words(sources, passes).withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell").over(earlier), F.lit(0)))
     cells = _join(cells, goals)
-    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size")
+    inside = Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size", *KEY)
     running = inside.rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("in_cell", F.coalesce(F.sum("size").over(running), F.lit(0)))
     joined = placed.join(cells, placed["source"].eqNullSafe(cells["source"]) & (placed["bucket"] == cells["bucket"]))
@@ -97,10 +117,11 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int =
     return (
         joined.select(
             placed["doc_id"], placed["source"], placed["size"], placed["order_key"], before.alias("before"),
-            "source_size", "weight", "target", "goal", done.alias("passes_done"),
+            "source_size", "weight", "target", "goal", done.alias("passes_done"), *KEY,
         )
         .withColumn("part", part)
         .withColumn("taken", F.col("size") * F.col("passes_done") + F.col("part"))
+        .withColumn("position", _position(F.col("before"), schedules))
     )
 
 
@@ -108,7 +129,7 @@ def _join(cells: DataFrame, goals: DataFrame) -> DataFrame:
     return cells.join(goals, cells["source"].eqNullSafe(goals["source"])).drop(goals["source"])
 
 
-def demand_position(done: Column, schedule: Sequence[tuple[float, float]] = FLAT) -> Column:
+def demand_position(done: Column, schedule: Schedule = FLAT) -> Column:
     """Training time at which a source has used the share ``done`` (0..1) of its demand.
 
     ``schedule`` lists (time, weight) knots from 0 to 1. Between two knots the integral
@@ -127,22 +148,23 @@ def demand_position(done: Column, schedule: Sequence[tuple[float, float]] = FLAT
     return F.least(where, F.lit(1.0))
 
 
-def training_order(plan: DataFrame, schedules: Mapping[float, Sequence[tuple[float, float]]] | None = None) -> DataFrame:
-    """One row per copy of a document with its words and position, range-sorted by position.
+def training_copies(plan: DataFrame, schedules: Mapping[float, Schedule] | None = None) -> DataFrame:
+    """One row per copy of a document with its words and position.
 
     ``schedules`` maps a source weight to the schedule of such sources; the others are flat.
     """
     copies = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes_done").cast("int"))))
     words = F.when(F.col("copy") < F.col("passes_done"), F.col("size")).otherwise(F.col("part"))
-    return (
-        copies.withColumn("words", words)
-        .filter("words > 0")
-        .withColumn("position", _position(F.col("copy") * F.col("source_size") + F.col("before"), schedules))
-        .orderBy("position", "order_key", "copy")
-    )
+    placed = copies.withColumn("words", words).filter("words > 0")
+    return placed.withColumn("position", _position(F.col("copy") * F.col("source_size") + F.col("before"), schedules))
+
 
+def training_order(plan: DataFrame, schedules: Mapping[float, Schedule] | None = None) -> DataFrame:
+    """``training_copies`` range-sorted by position."""
+    return training_copies(plan, schedules).orderBy("position", "order_key", "copy")
 
-def _position(offset: Column, schedules: Mapping[float, Sequence[tuple[float, float]]] | None) -> Column:
+
+def _position(offset: Column, schedules: Mapping[float, Schedule] | None) -> Column:
     done = F.when(F.col("goal") > 0, F.least(offset / F.col("goal"), F.lit(1.0))).otherwise(0.0)
     where = demand_position(done)
     for weight, schedule in (schedules or {}).items():
@@ -150,41 +172,27 @@ def _position(offset: Column, schedules: Mapping[float, Sequence[tuple[float, fl
     return where
 
 
-# Sources of weight 2 fade out, those of weight 3 come in late; the integrals stay as weighed.
-CURRICULUM = {2.0: ((0.0, 1.5), (1.0, 0.5)), 3.0: ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5))}
-
-
-def mix_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int = PASSES) -> DataFrame:
-    """The mix as documents: a row per copy, all columns kept.
+def mix_documents(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), passes: int = PASSES, schedules: Mapping[float, Schedule] | None = CURRICULUM
+) -> DataFrame:
+    """The mix as documents: a row per copy in training order, all columns kept.
 
     Documents stay whole, so the one document in which a source's last pass ends counts
-    if at least half of it is due. Copies follow from the cut of the source alone, hence
-    texts are not shuffled for it. Documents without words carry nothing to train on and
-    are not in the mix.
+    if at least half of it is due. Documents without words carry nothing to train on and
+    are not in the mix. Places in training are worked out without texts; each then
+    fetches its document by the row key, and rows are range-sorted by position.
     """
-    plan = plan_mix(docs, weights, passes)
-    last = F.struct("order_key", "doc_id")
-    cuts = plan.groupBy("source").agg(
-        F.max("passes_done").alias("_passes"), F.max(F.when(F.col("part") * 2 >= F.col("size"), F.when(F.col("size") > 0, last))).alias("_cut")
-    )
-    cuts = write_through(cuts.withColumnRenamed("source", "_source"), "mix-cuts")
-    here = docs.withColumn("_place", F.struct(order_key().alias("order_key"), F.col("doc_id")))
-    joined = here.join(cuts, here["source"].eqNullSafe(cuts["_source"]))
-    copies = F.col("_passes") + F.coalesce((F.col("_place") <= F.col("_cut")).cast("long"), F.lit(0))
-    copies = F.when(whole_text().rlike(r"[^\x20\x09-\x0D]"), copies).otherwise(0)
-    numbers = F.when(copies > 0, F.sequence(F.lit(1), F.greatest(copies, F.lit(1)).cast("int")))
-    return joined.withColumn("_copy", F.explode(numbers)).select(*[joined[c] for c in docs.columns])
+    copies = training_copies(plan_mix(docs, weights, passes, schedules=schedules), schedules)
+    copies = copies.filter((F.col("copy") < F.col("passes_done")) | (F.col("part") * 2 >= F.col("size")))
+    copies = write_through(copies.select(*KEY, F.struct("position", "order_key", "copy").alias("_place")), "mix-copies")
+    texts = docs.withColumns(row_key(docs)).dropDuplicates(KEY)
+    return copies.join(texts, KEY).orderBy("_place", *KEY).select(*docs.columns)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The digest of the mix: a row per document in the order of its first word."""
-    plan = plan_mix(docs)
-    first = _position(F.col("before"), CURRICULUM)
-    return (
-        plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"), "order_key")
-        .orderBy("position", "order_key")
-        .drop("order_key", "position")
-    )
+    ordered = plan_mix(docs).orderBy("position", "order_key")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def oracle() -> str:

@@ -132,6 +132,31 @@ def test_training_order(spark):
     assert sum(r.words for r in rows) == plan.agg({"taken": "sum"}).first()[0]
 
 
+def test_schedules_set_targets(spark):
+    """A schedule's integral is the demand: a source that is there for half of training gets half of its weight."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(10))
+    docs = documents(spark, [(100 * "abc".index(s) + i, words(i), s) for s in "abc" for i in range(40)])
+    target = lambda plan: {r.source: r.target for r in plan.select("source", "target").distinct().collect()}
+    assert target(mixing.plan_mix(docs)) == {"a": 200.0, "b": 400.0, "c": 600.0}
+    half = {2.0: ((0.0, 0.0), (1.0, 1.0)), 3.0: ((0.0, 1.0), (1.0, 1.0))}
+    assert target(mixing.plan_mix(docs, schedules=half)) == {"a": 240.0, "b": 240.0, "c": 720.0}
+
+
+def test_mix_leaves_in_training_order(spark):
+    """Copies of one document are a pass apart, and a source that comes in late is rare in the first half."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(10))
+    docs = documents(spark, [(100 * "abc".index(s) + i, words(i), s) for s in "abc" for i in range(40)])
+    rows = mixing.mix_documents(docs).collect()
+    ids, plan = [r.doc_id for r in rows], mixing.plan_mix(docs)
+    placed = mixing.training_order(plan, mixing.CURRICULUM).collect()
+    assert ids == [r.doc_id for r in placed] and len(ids) == 120
+    assert all(a != b for a, b in zip(ids, ids[1:]))
+    late = [r.source for r in rows]
+    assert late[:60].count("c") < 25 < 35 < late[60:].count("c")
+    first = {r.doc_id: r.position for r in placed if r.copy == 0}
+    assert all(abs(r.position - first[r.doc_id]) < 1e-12 for r in plan.collect() if r.doc_id in first)
+
+
 def test_urls(spark):
     from pagewatch.llm.url_terms import judge_urls
 
