@@ -90,6 +90,38 @@ def test_spaced_words():
     assert de.spaced_words("a b c") == []
 
 
+@pytest.mark.parametrize(
+    ("written", "meant"),
+    [("s_t_u_p_i_d", "stupid"), ("st_upid", "stupid"), ("stuupid", "stupid"), ("looser", "loser"), ("i__diot", "idiot"), ("letter", "letter")],
+)
+def test_restore_behind_underlines_and_doubled_letters(written, meant):
+    grams = {f"^^{w}$"[i : i + 3]: 0 for w in WORDS for i in range(len(w) + 1)}
+    for word in WORDS:
+        for i in range(len(word) + 1):
+            grams[f"^^{word}$"[i : i + 3]] += 5
+    assert de.readings(written, de.CharModel(grams))[-1] == meant
+
+
+def test_spaced_by_any_white_space():
+    for text in ("so s  t  u  p  i  d it is", "so s\tt\tu\tp\ti\td it is", "so s\nt\nu\np\ni\nd it is", "so s t u p i d"):
+        assert "stupid" in de.spaced_words(text), text
+    assert "pig" in de.spaced_words("a fat p i g", 3)
+    assert {"fat", "pigs"} <= {*de.spaced_words("so f a t  p i g s it is", 3)}
+
+
+def test_each_disguise_is_toxic(spark):
+    """Spellings that no training document holds."""
+    rows = [(i, f"calm words number n{i} here", "a") for i in range(100)]
+    rows += [(100 + i, f"you are n{i} {('stupid', 'pig')[i % 2]} x{i} indeed", "a") for i in range(200)]
+    written = ["stupid", "s_t_u_p_i_d", "st_upid", "stuupid", "stuuupid", "st.upid", "5tup1d", "s t u p i d", "s  t  u  p  i  d"]
+    written += ["s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "pig", "p i g", "p  i  g", "p_i_g"]
+    asked = [(1000 + i, f"calm z {w} here", "a") for i, w in enumerate(written)]
+    labels = spark.createDataFrame([(d, int(d >= 100)) for d, _, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in de.score_documents(documents(spark, rows + asked), labels).collect()}
+    assert [w for i, w in enumerate(written) if not got[1000 + i]] == []
+    assert not any(got[i] for i in range(100))
+
+
 def test_rules_equal_column(spark):
     """The compiled column scores as the rules do in numpy."""
     import numpy as np
