@@ -1,10 +1,11 @@
 """Licence notices in documents, in DataFrame expressions only.
 
-Each line is a paragraph. A logistic regression over its word pairs and triples tells
-licence families apart, with a class for everything else; it is trained on notices and
+Each line is judged, and so is each run of lines over a line end: the end of a line and
+what follows it in its paragraph, as far as the longest notice reaches. A logistic
+regression over word pairs and triples tells licence families apart, with a class for everything else; it is trained on notices and
 on variants of them, and its temperature is set on other variants. Documents are scored
 by joining their hashed word pairs and triples with the sparse weights. A predicted
-family is confirmed if the line holds most of the pairs and triples of one of its notices.
+family is confirmed if the line or run holds most of the pairs and triples of one of its notices.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import random
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewatch.llm.tables import whole_text
@@ -109,6 +110,22 @@ def grams(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)]
 
 
+LONGEST = max(len(words_of(t)) for notices in NOTICES.values() for t in notices)
+
+
+@lru_cache(1)
+def telling_words() -> tuple[str, ...]:
+    """Words of which each run that confirms a notice holds one: without them, too few of any notice's pairs and triples are left."""
+    chosen: set[str] = set()
+    for notice in (t for notices in NOTICES.values() for t in notices):
+        every = {*grams(words_of(notice))}
+        for word in sorted({*words_of(notice)}, key=lambda w: (-len(w), w)):
+            if len([g for g in every if not chosen & {*g.split()}]) < COVERED * len(every):
+                break
+            chosen.add(word)
+    return tuple(sorted(chosen))
+
+
 def variants(rng: random.Random) -> tuple[list[list[str]], list[int]]:
     """Notices with words left out, cut short or among other words; short scraps of them count as other."""
     texts, labels = [], []
@@ -199,35 +216,79 @@ def notice_table(spark: SparkSession) -> DataFrame:
 
 def licence_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, family, probability, coverage, confirmed) of every line with a weighed pair or triple
-    that is not plainly something else.
+    that is not plainly something else, and of every confirmed run of lines whose family none of its lines confirms.
 
     ``family`` is "unknown" where no family reaches ``CERTAIN``. Both broadcast tables hold
     the notices above, a fixed number of rows.
     """
     spark = docs.sparkSession
     _, _, intercepts = trained()
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(whole_text(), "\n")).alias("line_no", "line"))
-    hashed = numbered.select("doc_id", "row", "line_no", "line", word_hashes(F.col("line")).alias("h"))
-    pairs = hashed.select("doc_id", "row", "line_no", "line", gram_hashes(F.col("h")).alias("grams"))
+    split = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(whole_text(), "\n").alias("lines"), _tells(whole_text()).alias("tells"))
+    numbered = split.select("doc_id", "row", F.posexplode(_with_next("lines", F.col("tells"))).alias("line_no", "x"))
+    # a line alone, then with what follows it
+    units = F.array(F.lit(""), F.when(_tells(F.concat_ws(" ", "x.line", "x.next")), F.col("x.next")).otherwise(""))
+    numbered = numbered.select("doc_id", "row", "line_no", "x.line", F.posexplode(units).alias("run", "next")).filter("run = 0 or next <> ''")
+    hashed = numbered.select("doc_id", "row", "line_no", "run", "line", "next", _unit_hashes().alias("h"))
+    pairs = hashed.select("doc_id", "row", "line_no", "run", "line", "next", gram_hashes(F.col("h")).alias("grams"))
     # explode_outer: for explode Spark adds a filter that works out all pairs once more
-    each = pairs.select("doc_id", "row", "line_no", "line", F.explode_outer("grams").alias("gram"))
+    each = pairs.select("doc_id", "row", "line_no", "run", "line", "next", F.explode_outer("grams").alias("gram"))
     met = each.join(F.broadcast(weight_table(spark)), "gram")
     sums = [(F.sum(f"w{k}") + float(b)).alias(f"z{k}") for k, b in enumerate(intercepts)]
-    scored = met.groupBy("doc_id", "row", "line_no").agg(F.first("line").alias("line"), *sums)
+    scored = met.groupBy("doc_id", "row", "line_no", "run").agg(F.first("line").alias("line"), F.first("next").alias("next"), *sums)
     # the sums as one array: as columns of their own, the optimizer's inferred filters fill the driver
-    scored = scored.select("doc_id", "line_no", "line", F.array(*[F.col(f"z{k}") for k in range(len(FAMILIES))]).alias("z"))
+    where = ("doc_id", "row", "line_no", "run", "line", "next")
+    scored = scored.select(*where, F.array(*[F.col(f"z{k}") for k in range(len(FAMILIES))]).alias("z"))
     top = F.array_max("z")
     odds = F.aggregate("z", F.lit(0.0), lambda total, z: total + F.exp(z - top))
     likely = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", top).cast("int"))
-    scored = scored.select("doc_id", "line_no", "line", likely.alias("likely"), (1 / odds).alias("probability"))
+    scored = scored.select(*where, likely.alias("likely"), (1 / odds).alias("probability"))
     sure = F.when(F.col("probability") >= CERTAIN, F.col("likely")).otherwise(OTHER)
-    scored = scored.filter(F.col("likely") != OTHER).select("doc_id", "line_no", "line", sure.alias("family"), "probability")
-    own = gram_hashes(F.col("h"))
-    scored = scored.withColumn("h", word_hashes(F.col("line"))).withColumn("own", own)
+    scored = scored.filter(F.col("likely") != OTHER).select(*where, sure.alias("family"), "probability")
+    scored = scored.withColumn("h", _unit_hashes()).withColumn("own", gram_hashes(F.col("h")))
     scored = scored.join(F.broadcast(notice_table(spark)), "family", "left")
     covered = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, F.col("own"))) / F.size(n)))
     scored = scored.withColumn("coverage", F.coalesce(covered, F.lit(0.0)))
-    return scored.select("doc_id", "line_no", "line", "family", "probability", "coverage", (F.col("coverage") >= COVERED).alias("confirmed"))
+    scored = scored.select(*where, "family", "probability", "coverage", (F.col("coverage") >= COVERED).alias("confirmed"))
+    kept = _own_runs(scored.filter("run = 0 or confirmed"))
+    line = F.when(F.col("run") == 1, F.concat_ws("\n", "line", "next")).otherwise(F.col("line"))
+    return kept.select("doc_id", "line_no", line.alias("line"), "family", "probability", "coverage", "confirmed")
+
+
+def _tells(text: Column) -> Column:
+    return F.lower(text).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(telling_words()) + r")(?![\p{L}\p{N}])")
+
+
+def _with_next(lines: str, tells: Column) -> Column:
+    """(line, next) of each line: ``next`` is what follows up to a line without words, at most as many words as the longest notice.
+
+    ``lines`` is a column of its own, as a lambda would work out an expression once per line.
+    """
+    gap, word = r"[^\p{L}\p{N}\n]*+", r"[\p{L}\p{N}]++"
+    start = rf"^{gap}{word}(?:{gap}\n?+{gap}{word}){{0,{LONGEST - 1}}}+"
+
+    def pair(line: Column, i: Column) -> Column:
+        after = F.array_join(F.slice(lines, i + 2, F.lit(LONGEST)), "\n")
+        return F.struct(line.alias("line"), F.regexp_extract(after, start, 0).alias("next"))
+
+    return F.when(tells, F.transform(lines, pair)).otherwise(F.transform(lines, lambda x: F.struct(x.alias("line"), F.lit("").alias("next"))))
+
+
+def _unit_hashes() -> Column:
+    """Word hashes of a line, or of a run: the line's last words, as many as the longest notice has, and what follows."""
+    own = word_hashes(F.col("line"))
+    tail = F.slice(own, F.greatest(F.size(own) - LONGEST + 1, F.lit(1)), F.lit(LONGEST))
+    return F.when(F.col("run") == 0, own).otherwise(F.concat(tail, word_hashes(F.col("next"))))
+
+
+def _own_runs(found: DataFrame) -> DataFrame:
+    """Without the runs whose family one of their lines confirms, and of runs next to each other only the best, the last of equals."""
+    by = Window.partitionBy("doc_id", "row", "family").orderBy("line_no")
+    line = F.min(F.when(F.col("confirmed") & (F.col("run") == 0), F.col("line_no"))).over(by.rangeBetween(0, LONGEST))
+    last = F.col("line_no") + 1 + F.regexp_count("next", F.lit("\n"))
+    place = F.when(F.col("run") == 1, F.struct("coverage", "line_no"))
+    best = F.max(place).over(by.rangeBetween(-1, 1))
+    marked = found.withColumn("_line", line).withColumn("_best", best == place)
+    return marked.filter((F.col("run") == 0) | (F.coalesce(F.col("_line") > last, F.lit(True)) & F.col("_best"))).drop("_line", "_best")
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

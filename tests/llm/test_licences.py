@@ -58,3 +58,44 @@ def test_awkward_texts(spark):
     got = li.scan_documents(documents(spark, rows)).collect()
     assert sorted(((r.doc_id, r.families) for r in got), key=repr) == sorted(((d, ["mit"] if d == 8 else []) for d, _, _ in rows), key=repr)
     assert li.scan_documents(documents(spark, [])).collect() == []
+
+
+HEADERS = {
+    "gpl": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+ as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "lgpl": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+ License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+ files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+ conditions are met: redistributions of source code must retain the above copyright notice.""",
+}
+
+
+def test_wrapped_headers(spark):
+    """Headers wrapped at several widths, bare and in comments, alone and among other lines; each is found once."""
+    import textwrap
+
+    rows, want = [], {}
+    for family, header in HEADERS.items():
+        for width in (30, 40, 60, 72, 79):
+            lines = textwrap.wrap(" ".join(header.split()), width)
+            for text in ("\n".join(lines), "/*\n * Some file of ours.\n *\n" + "\n".join(f" * {x}" for x in lines) + "\n */\nint x;"):
+                want[len(rows)] = family
+                rows.append((len(rows), text, "a"))
+    got = {r.doc_id: r for r in li.scan_documents(documents(spark, rows)).collect()}
+    assert {i: got[i].families for i in want} == {i: [f] for i, f in want.items()}
+    assert {r.n_confirmed for r in got.values()} == {1}
+
+
+def test_runs_end_at_blank_lines(spark):
+    halves = "Licensed under the Apache", "License, Version 2.0."
+    rows = [(i, f"x\n{halves[0]}{gap}{halves[1]}\ny", "a") for i, gap in enumerate(("\n", "\r\n# ", "\n\n", "\n * \n"))]
+    got = {r.doc_id: r.families for r in li.scan_documents(documents(spark, rows)).collect()}
+    assert got[0] == got[1] == ["apache"] and "next" not in li.licence_lines(documents(spark, rows)).columns
+
+
+def test_telling_words():
+    for notice in (t for notices in li.NOTICES.values() for t in notices):
+        every = {*li.grams(li.words_of(notice))}
+        assert len([g for g in every if not {*li.telling_words()} & {*g.split()}]) < li.COVERED * len(every)
