@@ -2,12 +2,12 @@
 
 A document's 64-bit fingerprint comes from its 4-word shingles. Two fingerprints at most
 ``radius`` bits apart agree in at least two of six bit blocks, so each of the fifteen
-pairs of blocks deals the different fingerprints to shards that miss no link. In a shard
-they stand in a BK-tree: a node's children are keyed by their Hamming distance to it,
+pairs of blocks deals the different fingerprints to shards that miss no link. Shards of up
+to ``LEAF`` are compared row by row; in a larger one they stand in a BK-tree: a node's children are keyed by their Hamming distance to it,
 and a search follows only the edges whose distance is within the radius of its own.
 
-Shards above a size are cut into pieces; each piece's tree goes to the tasks of the
-other pieces, so a shard that many fingerprints share is worked on by many tasks. What
+Shards above a size are cut into pieces; each pair of pieces is a task that builds a tree
+over both, so a shard that many fingerprints share is worked on by many tasks. What
 leaves a shard is its components, one row per fingerprint at most, not its pairs.
 """
 
