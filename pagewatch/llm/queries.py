@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pagewatch.llm import bk_dedup, decontaminate, deobfuscate, licences, mixing, rule_ensemble, simhash, suffix_dedup, token_pack, url_terms
+from pagewatch.llm import (
+    bk_dedup, cover_tree, decontaminate, deobfuscate, licences, mixing, rule_ensemble, simhash, simplex_clusters, suffix_dedup, token_pack,
+    trie_codes, url_terms,
+)
 from pagewatch.llm.tables import table
 
 
@@ -46,11 +49,29 @@ def op10_bk_dedup(spark, folder):
     return bk_dedup.near_components(table(spark, folder, "documents"))
 
 
+def op11_simplex_clusters(spark, folder):
+    return simplex_clusters.cluster(table(spark, folder, "embeddings")).drop("n_compared")
+
+
+def op12_trie_codes(spark, folder):
+    return trie_codes.compress(table(spark, folder, "embeddings"))
+
+
+def op13_cover_tree(spark, folder):
+    return cover_tree.near_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_token_pack, op3_decontaminate, op4_licences, op5_suffix_dedup, op6_rule_ensemble, op7_url_terms, op8_simhash, op9_deobfuscate,
-        op10_bk_dedup,
+        op10_bk_dedup, op11_simplex_clusters, op12_trie_codes, op13_cover_tree,
     )
 }
-ORACLE_SQL = {"op1_mixing": mixing.oracle(), "op7_url_terms": url_terms.oracle()}
+ORACLE_SQL = {
+    "op1_mixing": mixing.oracle(),
+    "op7_url_terms": url_terms.oracle(),
+    "op11_simplex_clusters": simplex_clusters.oracle(),
+    "op12_trie_codes": trie_codes.oracle(),
+    "op13_cover_tree": cover_tree.oracle(),
+}
