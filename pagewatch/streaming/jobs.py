@@ -23,11 +23,15 @@ def table_stream(spark: SparkSession, folder: str, file_name: str, max_files: in
 
 
 def run_available(df: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Process everything available, append it to a parquet table, read the table back."""
+    """Process everything available, append it to a parquet table, read the table back.
+
+    Batches without data are off: state with a time to live would ask for them for ever.
+    """
     spark = df.sparkSession
     root = f"{scratch_root(spark)}/pagewatch-stream-{uuid.uuid4().hex}"
     out, checkpoint = out or f"{root}/out", checkpoint or f"{root}/state"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     query = (
         df.writeStream.format("parquet")
         .option("path", out)
