@@ -9,18 +9,22 @@ from pagewatch.session import write_through
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b): the component's last local minimum.
+    """(node, root) for every node of ``links`` (a, b): a node of its component, the same for all of it.
 
-    Each round every node moves to its smallest neighbour's own choice, links between
-    nodes of one place vanish, and what is left is at most half. Rounds are logarithmic
-    in the nodes. Sums per node are taken before the shuffle, so a node with very many
+    Each round orders the nodes anew by a hash of node and round; every node moves to the choice of its
+    least neighbour, and links between nodes of one place vanish. As the order is new
+    each time, no arrangement of ids is slow: a fixed share of the nodes is left, so rounds are
+    logarithmic, on chains in id order too. Sums per node are taken before the shuffle, so a node with very many
     links is no hot key; joins to such a node are cut by the skew-join rule. Each round
     is written, and only the count of links comes to the driver.
     """
     both = links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct()
-    edges, places = write_through(both, "cc-edges"), None
+    edges, places, turn = write_through(both, "cc-edges"), None, 0
     while True:
-        choice = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("to"))
+        turn += 1
+        rank_a, rank_b, rank_to = (F.xxhash64(name, F.lit(turn)) for name in ("a", "b", "to"))
+        choice = edges.groupBy("a").agg(F.min_by("b", rank_b).alias("to"))
+        choice = choice.select(F.col("a").alias("node"), F.when(rank_a <= rank_to, F.col("a")).otherwise(F.col("to")).alias("to"))
         choice = write_through(choice, "cc-choice")
         onward = choice.select(F.col("node").alias("to"), F.col("to").alias("next"))
         moved = choice.join(onward, "to").select("node", F.col("next").alias("root"))
