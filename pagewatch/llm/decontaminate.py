@@ -10,79 +10,121 @@ hit agrees in at least the given share of its words.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.tables import whole_text
+from pagewatch.llm.tables import KEY, row_key, whole_text
 from pagewatch.session import write_through
 
-# Together these meet every window of 15 words with up to 3 substitutions.
+# These meet every full window with the substitutions it allows; the short ones are for items that they cannot meet.
 MASKS = ("11111", "1110101", "1101011")
+SHORT = ("1111", "111", "1101", "11", "1")
 WINDOW, AGREE = 13, 0.8
 BROADCAST_SEEDS = 1_000_000
 
 
+def covered(masks: Sequence[str], n: int, gone: int) -> bool:
+    """Whether every way to substitute ``gone`` of ``n`` words leaves some mask whole."""
+    places = [{i + j for j, c in enumerate(m) if c == "1"} for m in masks for i in range(n - len(m) + 1)]
+    return all(any(not p & {*out} for p in places) for out in combinations(range(n), gone))
+
+
+def masks_of(n: int, masks: Sequence[str], window: int, agree: float) -> list[int]:
+    """Numbers, in ``masks`` and then ``SHORT``, of the masks that miss no item of ``n`` words at the allowed agreement."""
+    width = min(n, window)
+    gone = max(g for g in range(width + 1) if (width - g) / width >= agree)
+    every = [*masks, *SHORT]
+    for last in range(len(masks), len(every) + 1):
+        if covered(every[:last], width, gone):
+            break
+    return [k for k, m in enumerate(every[:last]) if len(m) <= n]
+
+
 def word_hashes(text: Column) -> Column:
     """Hashes of the lower-cased runs of letters and digits."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds_at(hashes: Column, i: Column, masks: Sequence[str]) -> list[Column]:
+def seeds_at(hashes: Column, i: Column, masks: dict[int, str]) -> list[Column]:
     """The seed of each mask at position ``i``; the mask's number is part of it."""
-    return [F.xxhash64(F.lit(n), *[F.get(hashes, i + j) for j, c in enumerate(m) if c == "1"]) for n, m in enumerate(masks)]
+    return [F.xxhash64(F.lit(k), *[F.get(hashes, i + j) for j, c in enumerate(m) if c == "1"]) for k, m in masks.items()]
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
-    """item_id and the hashes of its words; items without words are left out."""
-    bare = F.regexp_replace(whole_text(), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return benchmark.select("item_id", bare.alias("_t")).filter("_t <> ''").select("item_id", word_hashes(F.col("_t")).alias("item"))
-
+    """(item_key, item_id, item): the word hashes of each different item and its smallest id, null if it has none.
 
-def item_seeds(items: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """(seed, item_id, at) of every full window of every mask; equal items count once."""
-    n = F.size("item")
-    rows = items.groupBy("item").agg(F.min("item_id").alias("item_id"))
-    at = rows.select("item_id", "item", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
-    each = [F.when(F.col("at") + len(m) <= F.size("item"), s) for m, s in zip(masks, seeds_at(F.col("item"), F.col("at"), masks))]
-    return at.select("item_id", "at", F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, window: int = WINDOW, agree: float = AGREE) -> DataFrame:
-    """(doc_id, item_id, n_words, n_agree, agreement) of each verified overlap, the best per document and item.
-
-    The seed table goes to all executors if its counted size allows, else both sides
-    are shuffled by seed. Windows that run over a document's end have a shorter hash and
-    meet no seed. Items of fewer words than a mask has room for meet only shorter masks;
-    items under five words cannot be met.
+    Items without words are left out.
+    """
+    bare = F.regexp_replace(whole_text(), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    items = benchmark.select("item_id", bare.alias("_t")).filter("_t <> ''").groupBy(word_hashes(F.col("_t")).alias("item"))
+    return items.agg(F.min("item_id").alias("item_id")).select(F.monotonically_increasing_id().alias("item_key"), "item_id", "item")
+
+
+def item_seeds(items: DataFrame, by_length: dict[int, list[int]], masks: Sequence[str]) -> DataFrame:
+    """(seed, item_key, at) of every window of the masks that an item's length asks for."""
+    n, every = F.size("item"), [*masks, *SHORT]
+    at = items.select("item_key", "item", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    used = {k: every[k] for numbers in by_length.values() for k in numbers}
+    longest = max(by_length)
+    each = []
+    for (k, m), seed in zip(used.items(), seeds_at(F.col("item"), F.col("at"), used)):
+        asked = F.least(n, F.lit(longest)).isin(*[length for length, numbers in by_length.items() if k in numbers])
+        each.append(F.when(asked & (F.col("at") + len(m) <= n), seed))
+    return at.select("item_key", "at", F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
+
+
+def hits(
+    docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, window: int = WINDOW, agree: float = AGREE, broadcast: int = BROADCAST_SEEDS
+) -> DataFrame:
+    """(doc_id, item_id, n_words, n_agree, agreement) of each verified overlap, the best per document and different item.
+
+    Every item is met that agrees in the given share of a window, short ones too: for each length in the
+    benchmark the masks are chosen that leave no substitution it allows unmet, down to the whole item where
+    none is allowed. An item with a null id is an item like any other.
+
+    The seed table goes to all executors if its counted size allows. Else narrow rows (row key,
+    place, seed) are shuffled by seed, and words are taken again only from the documents that
+    met one. Windows that run over a document's end have a shorter hash and meet no seed.
     """
     items = write_through(item_words(benchmark), "decon-items")
-    seeds = write_through(item_seeds(items, masks), "decon-seeds")
-    small = seeds.count() <= BROADCAST_SEEDS
-    hashed = docs.select("doc_id", word_hashes(whole_text()).alias("words"))
-    k = len(masks)  # posexplode_outer: for posexplode Spark adds a filter that works out all seeds once more
+    lengths = [r.n for r in items.select(F.least(F.size("item"), F.lit(window)).alias("n")).distinct().collect()]
+    by_length = {n: masks_of(n, masks, window, agree) for n in sorted(lengths)} or {window: [0]}
+    seeds = write_through(item_seeds(items, by_length, masks), "decon-seeds")
+    small = seeds.count() <= broadcast
+    used = {k: [*masks, *SHORT][k] for k in sorted({k for numbers in by_length.values() for k in numbers})}
+    words = word_hashes(whole_text())
     every = F.flatten(
-        F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array(*seeds_at(F.col("words"), i, masks)))
+        F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array(*seeds_at(F.col("words"), i, used)))
     )
-    placed = hashed.select("doc_id", "words", every.alias("seeds")).select("doc_id", "words", F.posexplode_outer("seeds").alias("place", "seed"))
-    met = placed.join(F.broadcast(seeds) if small else seeds, "seed")
-    shift = F.floor(F.col("place") / k).cast("int") - F.col("at")
-    found = met.select("doc_id", "item_id", "at", shift.alias("shift"), "words")
-    found = found.join(F.broadcast(items) if small else items, "item_id")
+    # posexplode_outer: for posexplode Spark adds a filter that works out all seeds once more
+    seeded = F.posexplode_outer("seeds").alias("place", "seed")
+    shift = (F.floor(F.col("place") / len(used)).cast("int") - F.col("at")).alias("shift")
+    if small:
+        hashed = docs.select("doc_id", words.alias("words"))
+        placed = hashed.select("doc_id", "words", every.alias("seeds")).select("doc_id", "words", seeded)
+        found = placed.join(F.broadcast(seeds), "seed").select("doc_id", "item_key", "at", shift, "words")
+    else:
+        keyed = docs.withColumns(row_key(docs))
+        placed = keyed.select(*KEY, words.alias("words")).select(*KEY, every.alias("seeds")).select(*KEY, seeded)
+        met = placed.join(seeds, "seed").select(*KEY, "item_key", "at", shift).distinct()
+        found = write_through(met, "decon-met").join(keyed.select("doc_id", words.alias("words"), *KEY).dropDuplicates(KEY), KEY)
+    found = found.join(F.broadcast(items) if small else items, "item_key")
     n = F.size("item")
     same = F.transform(F.sequence(F.lit(0), n - 1), lambda j: (F.get("words", j + F.col("shift")) == F.get("item", j)).eqNullSafe(True))
-    found = found.select("doc_id", "item_id", "at", n.alias("n_words"), same.alias("same"))
+    found = found.select("doc_id", "item_key", "item_id", "at", n.alias("n_words"), same.alias("same"))
     width = F.least(F.lit(window), F.col("n_words"))
     first = F.greatest(F.col("at") - width + 1, F.lit(0))
     last = F.least(F.col("at"), F.col("n_words") - width)
     best = F.array_max(F.transform(F.sequence(first, last), lambda s: F.size(F.filter(F.slice("same", s + 1, width), lambda x: x))))
     found = found.select(
-        "doc_id", "item_id", "n_words", F.size(F.filter("same", lambda x: x)).alias("n_agree"), (best / width).alias("agreement")
+        "doc_id", "item_key", "item_id", "n_words", F.size(F.filter("same", lambda x: x)).alias("n_agree"), (best / width).alias("agreement")
     )
     # kept by the aggregate, as a filter would be moved into the join with its expressions spelled out
     verified = F.when(F.col("agreement") >= agree, F.struct("n_agree", "agreement", "n_words"))
-    found = found.groupBy("doc_id", "item_id").agg(F.max(verified).alias("best")).filter("best is not null")
+    found = found.groupBy("doc_id", "item_key", "item_id").agg(F.max(verified).alias("best")).filter("best is not null")
     return found.select("doc_id", "item_id", "best.*")
 
 
@@ -91,7 +133,7 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts are clean. Rows with the same doc_id, null included, share one
     verdict. An empty benchmark leaves all clean. Of equal items the smallest id stands
-    for all.
+    for all; if none has one, ``item_id`` is null and the document is flagged all the same.
     """
     order = F.struct("n_agree", "agreement", (-F.col("item_id")).alias("low"), "n_words")
     per = hits(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.max(order).alias("best"))
