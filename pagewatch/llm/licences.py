@@ -1,9 +1,9 @@
 """Licence notices in documents, in DataFrame expressions only.
 
-Each line is judged, and so is each run of lines over a line end: the end of a line and
+Each sentence of a line is judged, and so is each run over a sentence's or line's end: its last words and
 what follows it in its paragraph, as far as the longest notice reaches. A logistic
-regression over word pairs and triples tells licence families apart, with a class for everything else; it is trained on notices and
-on variants of them, and its temperature is set on other variants. Documents are scored
+regression over word pairs and triples tells licence families apart, with a class for licences of other names and
+one for everything else; it is trained on notices and on variants of them, and its temperature is set on other variants. Documents are scored
 by joining their hashed word pairs and triples with the sparse weights. A predicted
 family is confirmed if the line or run holds most of the pairs and triples of one of its notices.
 """
@@ -25,18 +25,27 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "License: AGPL-3.0",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "Released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
+        "License: Apache-2.0",
+        "Licensed under the Apache 2.0 license.",
+        "Available under the terms of the Apache License 2.0.",
+        "Distributed under the Apache License, Version 2.0.",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "License: BSD-3-Clause",
+        "Licensed under the BSD license.",
+        "Available under the terms of the BSD license.",
+        "Distributed under the BSD license.",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
@@ -59,29 +68,61 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "Licensed under the GNU GPL, version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "License: GPL-3.0",
+        "Licensed under the GPL.",
+        "Available under the terms of the GNU General Public License.",
+        "Distributed under the GNU General Public License, version 2.",
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
         "Released under the ISC License.",
+        "License: ISC",
+        "Licensed under the ISC license.",
     ),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "License: LGPL-2.1",
+        "Available under the terms of the GNU Lesser General Public License.",
     ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
+        "Available under the terms of the MIT license.",
+        "Distributed under the MIT license.",
+        "Licensed under MIT.",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "License: MPL-2.0",
+        "Available under the terms of the Mozilla Public License.",
     ),
 }
 OTHER = "unknown"
+# Notices of licences whatever their names; a name is one or two words that no notice holds.
+UNLISTED = "unlisted"
+UNLISTED_TEXTS = (
+    "Licensed under the {} License, version 1.0.",
+    "Licensed under the {} Public License, version 2.0.",
+    "Licensed under the {} license.",
+    "Distributed under the {} License, Version 1.0.",
+    "Distributed under the {} Software License, version 2.0.",
+    "Released under the {} License.",
+    "Released under the {} Public License, Version 2.",
+    "Available under the terms of the {} License.",
+    "This program and the accompanying materials are made available under the terms of the {} Public License v1.0",
+    "This software is released into the public domain.",
+    "The author places this work in the public domain and disclaims copyright to this source code.",
+    "This is free software, dedicated to the public domain.",
+    "Anyone is free to use, copy, modify or distribute this software for any purpose.",
+    "SPDX-License-Identifier: {}",
+)
 OTHER_TEXTS = (
     "All rights reserved. No part of this publication may be reproduced without written permission.",
     "Licensed under the terms of the customer agreement between the parties.",
@@ -92,12 +133,21 @@ OTHER_TEXTS = (
     "The general public was admitted to the library free of charge.",
     "Permission is granted to park in the marked places with or without a card.",
     "The source of the river and the terms of the treaty were discussed.",
+    "The park is free and open to the public at any time.",
+    "The book was released under the title of the film in the public library.",
+    "Tickets are available under the terms of the offer.",
+    "The leaflets were distributed under the doors of the village.",
+    "The work of the author was placed in the museum.",
+    "The prisoners were released into the care of the town.",
+    "Anyone is free to use the hall for any purpose.",
     "This program is subject to change; you can modify it under the terms of your contract.",
     "",
 )
-FAMILIES = (*sorted(NOTICES), OTHER)
+FAMILIES = (*sorted(NOTICES), UNLISTED, OTHER)
 SEED, VARIANTS = 11, 12
 CERTAIN, COVERED = 0.5, 0.5
+# A line's end, or a sentence's: a stop and a space.
+ENDS = r"\n|(?<=[.!?])[ \t]+"
 
 
 def words_of(text: str) -> list[str]:
@@ -135,10 +185,17 @@ def variants(rng: random.Random) -> tuple[list[list[str]], list[int]]:
                 kept = [w for w in words if rng.random() > rng.choice([0, 0, 0.08])]
                 texts.append(["q"] * rng.randrange(5) + kept + ["q"] * rng.randrange(5))
                 labels.append(FAMILIES.index(family))
+                if len(words) < 3:
+                    continue
                 size = max(2, len(words) // 4)
                 start = rng.randrange(max(1, len(words) - size + 1))
                 texts.append(["q"] * 4 + words[start : start + size])
                 labels.append(FAMILIES.index(OTHER))
+    for text in UNLISTED_TEXTS:
+        for _ in range(VARIANTS):
+            words = words_of(text.format(" ".join(["q"] * rng.randrange(1, 3))))
+            texts.append(["q"] * rng.randrange(5) + [w for w in words if rng.random() > 0.03] + ["q"] * rng.randrange(5))
+            labels.append(FAMILIES.index(UNLISTED))
     for text in OTHER_TEXTS:
         for _ in range(VARIANTS):
             texts.append([w for w in words_of(text) if rng.random() > 0.05])
@@ -154,7 +211,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
 @lru_cache(1)
 def trained() -> tuple[list[str], np.ndarray, np.ndarray]:
     """The vocabulary, its weights by family over the temperature, and the intercepts."""
-    vocabulary = sorted({g for notices in NOTICES.values() for t in notices for g in grams(words_of(t))})
+    unlisted = (g for t in UNLISTED_TEXTS for g in grams(words_of(t.format("q"))) if "q" not in g.split())
+    vocabulary = sorted({*unlisted, *(g for notices in NOTICES.values() for t in notices for g in grams(words_of(t)))})
     number = {g: i for i, g in enumerate(vocabulary)}
 
     def counted(texts: list[list[str]]) -> np.ndarray:
@@ -218,12 +276,13 @@ def licence_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, family, probability, coverage, confirmed) of every line with a weighed pair or triple
     that is not plainly something else, and of every confirmed run of lines whose family none of its lines confirms.
 
-    ``family`` is "unknown" where no family reaches ``CERTAIN``. Both broadcast tables hold
+    The end of a sentence counts as the end of a line, so each notice of a line is judged on its own.
+    ``family`` is "unknown" where no family reaches ``CERTAIN``, or the licence is of another name. Both broadcast tables hold
     the notices above, a fixed number of rows.
     """
     spark = docs.sparkSession
     _, _, intercepts = trained()
-    split = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(whole_text(), "\n").alias("lines"), _tells(whole_text()).alias("tells"))
+    split = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(whole_text(), ENDS).alias("lines"), _tells(whole_text()).alias("tells"))
     numbered = split.select("doc_id", "row", F.posexplode(_with_next("lines", F.col("tells"))).alias("line_no", "x"))
     # a line alone, then with what follows it
     units = F.array(F.lit(""), F.when(_tells(F.concat_ws(" ", "x.line", "x.next")), F.col("x.next")).otherwise(""))
@@ -242,7 +301,8 @@ def licence_lines(docs: DataFrame) -> DataFrame:
     odds = F.aggregate("z", F.lit(0.0), lambda total, z: total + F.exp(z - top))
     likely = F.element_at(F.array(*map(F.lit, FAMILIES)), F.array_position("z", top).cast("int"))
     scored = scored.select(*where, likely.alias("likely"), (1 / odds).alias("probability"))
-    sure = F.when(F.col("probability") >= CERTAIN, F.col("likely")).otherwise(OTHER)
+    certain = (F.col("probability") >= CERTAIN) & (F.col("likely") != UNLISTED)
+    sure = F.when(certain, F.col("likely")).otherwise(OTHER)
     scored = scored.filter(F.col("likely") != OTHER).select(*where, sure.alias("family"), "probability")
     scored = scored.withColumn("h", _unit_hashes()).withColumn("own", gram_hashes(F.col("h")))
     scored = scored.join(F.broadcast(notice_table(spark)), "family", "left")
@@ -281,14 +341,19 @@ def _unit_hashes() -> Column:
 
 
 def _own_runs(found: DataFrame) -> DataFrame:
-    """Without the runs whose family one of their lines confirms, and of runs next to each other only the best, the last of equals."""
+    """Without the runs whose family one of their lines confirms, and those that share lines with a better run, the last of equals."""
     by = Window.partitionBy("doc_id", "row", "family").orderBy("line_no")
     line = F.min(F.when(F.col("confirmed") & (F.col("run") == 0), F.col("line_no"))).over(by.rangeBetween(0, LONGEST))
     last = F.col("line_no") + 1 + F.regexp_count("next", F.lit("\n"))
     place = F.when(F.col("run") == 1, F.struct("coverage", "line_no"))
-    best = F.max(place).over(by.rangeBetween(-1, 1))
-    marked = found.withColumn("_line", line).withColumn("_best", best == place)
-    return marked.filter((F.col("run") == 0) | (F.coalesce(F.col("_line") > last, F.lit(True)) & F.col("_best"))).drop("_line", "_best")
+    span = F.when(F.col("run") == 1, F.struct("coverage", "line_no", last.alias("last")))
+    near = F.collect_list(span).over(by.rangeBetween(-LONGEST, LONGEST))
+    marked = found.withColumns({"_line": line, "_last": last, "_place": place, "_near": near})
+    better = F.exists(
+        "_near", lambda x: (F.struct(x["coverage"], x["line_no"]) > F.col("_place")) & (x["line_no"] <= F.col("_last")) & (x["last"] >= F.col("line_no"))
+    )
+    kept = (F.col("run") == 0) | (F.coalesce(F.col("_line") > F.col("_last"), F.lit(True)) & ~better)
+    return marked.filter(kept).drop("_line", "_last", "_place", "_near")
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
