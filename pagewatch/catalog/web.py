@@ -18,7 +18,7 @@ from pagewatch.operators import corpus as W
 from pagewatch.operators import evaluate as E
 from pagewatch.schemas import evolve_schema
 from pagewatch.session import scratch_root
-from pagewatch.sources import readers, tables
+from pagewatch.sources import partitioned, readers, tables
 from pagewatch.sources.sinks import universe_csv_rows, write_universe_csv
 from pagewatch.streaming import stateful
 from pagewatch.streaming.jobs import run_available, stream_feed_delta, table_stream
@@ -526,6 +526,22 @@ def _replace(t: Tables):
     return tables.replace_partition(f, new, ["candidate_id", "cycle"]).select("candidate_id", "transaction_id")
 
 
+@case(
+    "replace_partition_written",
+    with_views(
+        "select candidate_id, transaction_id from ie_filings_v where candidate_id not in (select candidate_id from candidates_v where office='S') union all select candidate_id, 'new' from candidates_v where office='S'",
+        "ie_filings_v", "candidates_v",
+    ),
+)
+def _replace_written(t: Tables):
+    f = t("ie_filings_v").select("candidate_id", "cycle", "transaction_id")
+    new = t("candidates_v").filter("office = 'S'").select("candidate_id", "cycle", F.lit("new").alias("transaction_id"))
+    path, keys = scratch(t, "ie-table"), ["candidate_id", "cycle"]
+    partitioned.write_partitioned(f, path, keys, ["cycle"], 16)
+    partitioned.replace_groups(t.spark, path, new, keys, ["cycle"], 16)
+    return partitioned.read_partitioned(t.spark, path).select("candidate_id", "transaction_id")
+
+
 @case(
     "dedupe_ie",
     with_views(

@@ -124,14 +124,29 @@ def body_first_seen(scans: DataFrame, detections: DataFrame) -> DataFrame:
     return scans.join(bodies, BODY, "left_semi").groupBy(*BODY).agg(F.min("fetched_at").alias("first_seen"))
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def watched_addresses(ranked: DataFrame) -> DataFrame:
+    """Addresses on which guidance was ever found."""
+    return ranked.filter(is_positive(F.col("classification"))).select(*ADDRESS).distinct()
+
+
 def url_live_state(scans: DataFrame, ranked: DataFrame, events: DataFrame) -> DataFrame:
-    """(candidate_id, url, gone_on): NULL while the guidance is still up."""
-    watched = ranked.filter(is_positive(F.col("classification"))).select(*ADDRESS).distinct()
-    usable = scans.filter(usable_scan(F.col("http_status"), F.col("raw_text")))
+    """(candidate_id, url, gone_on): NULL while the guidance is still up.
+
+    Scans may bring ``usable`` instead of their text. The test of a text is part of the aggregate, as a
+    filter would be moved ahead of the semi-join and read every text.
+    """
+    if "usable" in scans.columns:
+        usable = F.col("usable")
+    else:
+        usable = usable_scan(F.col("http_status"), F.col("raw_text"))
     last_scan = (
-        usable.join(watched, ADDRESS, "left_semi")
+        scans.join(watched_addresses(ranked), ADDRESS, "left_semi")
         .groupBy(*ADDRESS)
-        .agg(F.max_by(F.struct("scan_id", "text_hash", "fetched_at"), "scan_id").alias("s"))
+        .agg(F.max_by(F.struct("scan_id", "text_hash", "fetched_at"), F.when(usable, F.col("scan_id"))).alias("s"))
+        .filter("s is not null")
         .select(*ADDRESS, "s.*")
     )
     verdicts = latest_per_key(ranked, BODY, rank_order()).select(*BODY, "classification")
@@ -203,21 +218,34 @@ def exhibit_versions(exhibits: DataFrame, urls: DataFrame, bodies: DataFrame, se
     )
 
 
+def compared_scans(events: DataFrame) -> DataFrame:
+    """The different scan ids that modified events name."""
+    return events.filter("event_type = 'modified'").select(F.explode(F.array("prev_scan_id", "new_scan_id")).alias("scan_id")).filter("scan_id is not null").distinct()
+
+
+def scans_of(ids: DataFrame, scans: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the scans with these ids (different ones). They go to every task if few by count.
+
+    With more, both sides are shuffled, where Spark's runtime bloom filter drops other scans first.
+    """
+    ids = write_through(ids, "scan-ids")
+    few = ids.count() <= BROADCAST_IDS
+    return scans.select("scan_id", *columns).join(F.broadcast(ids) if few else ids, "scan_id")
+
+
 def modified_event_context(events: DataFrame, scans: DataFrame, detections: DataFrame) -> DataFrame:
-    """Modified events with both texts, the latest evidence of both scans and ``guidance_same``."""
-    evidence = detections.groupBy("scan_id").agg(F.max_by("evidence", "detection_id").alias("evidence"))
-
-    def side(name: str) -> tuple[DataFrame, DataFrame]:
-        key = F.col("scan_id").alias(f"{name}_scan_id")
-        return (
-            scans.select(key, F.col("raw_text").alias(f"{name}_text")),
-            evidence.select(key, F.col("evidence").alias(f"{name}_evidence")),
-        )
+    """Modified events with both texts, the latest evidence of both scans and ``guidance_same``.
 
+    The scans that events name are taken from ``scans`` in one pass and written; only those texts are joined.
+    """
     out = events.filter("event_type = 'modified'")
+    ids = compared_scans(out)
+    evidence = ids.join(detections, "scan_id").groupBy("scan_id").agg(F.max_by("evidence", "detection_id").alias("evidence"))
+    texts = scans_of(ids, scans, "raw_text").join(evidence, "scan_id", "left")
+    texts = write_through(texts.select("scan_id", "raw_text", "evidence"), "event-texts")
     for name in ("prev", "new"):
-        texts, quotes = side(name)
-        out = out.join(texts, f"{name}_scan_id", "left").join(quotes, f"{name}_scan_id", "left")
+        side = texts.select(*[F.col(c).alias(f"{name}_{n}") for c, n in (("scan_id", "scan_id"), ("raw_text", "text"), ("evidence", "evidence"))])
+        out = out.join(side, f"{name}_scan_id", "left")
     none = F.array().cast(EVIDENCE)
     return out.withColumn(
         "guidance_same",

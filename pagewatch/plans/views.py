@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewatch.functions.status import usable_scan
 from pagewatch.operators.ordered import latest_per_key
 from pagewatch.operators.publish import (
-    BODY, body_detections, body_first_seen, collapse_aliases, exhibit_detections, exhibit_timeline, exhibit_urls,
-    exhibit_versions, gone_since, lastmod, modified_event_context, publishable, top_detection, url_live_state,
-    view_label, view_status,
+    ADDRESS, BODY, body_detections, body_first_seen, collapse_aliases, compared_scans, exhibit_detections, exhibit_timeline,
+    exhibit_urls, exhibit_versions, gone_since, lastmod, modified_event_context, publishable, scans_of, top_detection,
+    url_live_state, view_label, view_status, watched_addresses,
 )
 from pagewatch.operators.review import ranked_detections
 from pagewatch.operators.schedule import scan_counts
@@ -38,7 +39,10 @@ def candidate_views(
     corroboration: DataFrame,
     events: DataFrame,
 ) -> Views:
-    ranked = write_through(ranked_detections(detections, scans, reviews), "ranked")
+    """``scans`` is read twice: its narrow columns, written for all branches, and the texts of the few scans that need them."""
+    facts = scans.select("scan_id", "candidate_id", "url", "text_hash", "fetched_at", "http_status")
+    facts = write_through(facts, "facts")
+    ranked = write_through(ranked_detections(detections, facts, reviews), "ranked")
     newest_archive = latest_per_key(
         archives.filter("detection_id is not null"),
         ["detection_id"],
@@ -51,9 +55,17 @@ def candidate_views(
     exhibit_rows = exhibit_detections(ranked)
     exhibits = write_through(collapse_aliases(exhibit_rows), "exhibits")
     urls = write_through(exhibit_urls(exhibit_rows, exhibits), "addresses")
-    gone = gone_since(urls, url_live_state(scans, ranked, events))
-    versions = exhibit_versions(exhibits, urls, body_detections(ranked), body_first_seen(scans, detections))
-    context = modified_event_context(events, scans, detections).select("change_id", "guidance_same")
+    watched = facts.join(watched_addresses(ranked), ADDRESS, "left_semi")
+    compared = compared_scans(events).withColumn("compared", F.lit(True))
+    needed = watched.select("scan_id").join(compared, "scan_id", "full_outer")
+    texts = scans_of(needed, scans, "http_status", "raw_text").select(
+        "scan_id", usable_scan(F.col("http_status"), F.col("raw_text")).alias("usable"), F.when(F.col("compared"), F.col("raw_text")).alias("raw_text")
+    )
+    texts = write_through(texts, "texts")
+    live = watched.join(texts.select("scan_id", "usable"), "scan_id")
+    gone = gone_since(urls, url_live_state(live, ranked, events))
+    versions = exhibit_versions(exhibits, urls, body_detections(ranked), body_first_seen(facts, detections))
+    context = modified_event_context(events, texts, detections).select("change_id", "guidance_same")
     changes = events.join(context, "change_id", "left")
     timeline = exhibit_timeline(exhibits, urls, changes, versions, gone)
     exhibits = write_through(
@@ -69,7 +81,7 @@ def candidate_views(
     )
     views = (
         publishable(candidates, detections, reviews)
-        .join(scan_counts(scans), "candidate_id", "left")
+        .join(scan_counts(facts), "candidate_id", "left")
         .withColumn("scan_count", F.coalesce("scan_count", F.lit(0)))
         .join(top, "candidate_id", "left")
         .join(newest_archive, "detection_id", "left")
