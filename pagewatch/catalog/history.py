@@ -402,29 +402,42 @@ def _siblings(t: Tables):
 @case(
     "siblings_of",
     with_views(
-        "select detection_id, action as review_action, decided_by from pbod left join lr using (detection_id) where (candidate_id, text_hash) in (select (candidate_id, text_hash) from pbod where detection_id%10=0)",
+        "select detection_id, action as review_action, decided_by from pbod left join lr using (detection_id)",
         *RV, extra=(LR, PB),
     ),
 )
 def _siblings_of(t: Tables):
     d, s, _, r = _rv(t)
-    asked = d.filter("detection_id % 10 = 0")
-    return V.siblings_of(asked, V.template_siblings(d, s, r)).select("detection_id", "review_action", "decided_by")
+    return V.siblings_of(d, V.template_siblings(d, s, r)).select("detection_id", "review_action", "decided_by")
 
 
 @case(
     "twins_of",
     with_views(
-        "select a.detection_id as asked_id, b.detection_id from pbod a join pbod b on a.text_hash=b.text_hash and a.candidate_id<>b.candidate_id join candidates_v c on c.candidate_id=b.candidate_id where a.detection_id%10=0",
+        "select a.detection_id as asked_id, b.detection_id from pbod a join pbod b on a.text_hash=b.text_hash and a.candidate_id<>b.candidate_id join candidates_v c on c.candidate_id=b.candidate_id where a.detection_id%20=0",
         *RV, extra=(LR, PB, MULTI),
     ),
 )
 def _twins_of(t: Tables):
     d, s, c, r = _rv(t)
-    asked = d.filter("detection_id % 10 = 0")
+    asked = d.filter("detection_id % 20 = 0")  # a search's stated query set, against all rows
     return V.twins_of(asked, V.cross_attribution_twins(d, s, c, r)).select("asked_id", "detection_id")
 
 
+@case(
+    "twin_bodies",
+    with_views(
+        "select a.detection_id, a.text_hash, count(case when b.candidate_id<>a.candidate_id then 1 end) as n_twins, count(distinct b.candidate_id) as n_candidates from "
+        "(select p.* from pbod p join candidates_v c using (candidate_id) where text_hash in (select text_hash from multi)) a join (select p.* from pbod p join candidates_v c using (candidate_id)) b "
+        "on a.text_hash=b.text_hash group by a.detection_id, a.text_hash",
+        *RV, extra=(LR, PB, MULTI),
+    ),
+)
+def _twin_bodies(t: Tables):
+    d, s, c, r = _rv(t)
+    return V.twin_bodies(V.cross_attribution_twins(d, s, c, r))
+
+
 @case("multi_attribution_hashes", with_views("select * from multi", *RV, extra=(PB, MULTI)))
 def _multi(t: Tables):
     d, s, _, _ = _rv(t)

@@ -99,6 +99,22 @@ def cross_attribution_twins(
     )
 
 
+def twin_bodies(twins: DataFrame) -> DataFrame:
+    """A row per detection of a shared body: how many twins it has, those of other candidates.
+
+    The twins themselves are the rows of ``twins`` with the same ``text_hash``, listed once a body: nothing grows
+    with the square of a body's size.
+    """
+    body = twins.groupBy("text_hash").agg(F.count("*").alias("members"), F.count_distinct("candidate_id").alias("n_candidates"))
+    own = twins.groupBy("text_hash", "candidate_id").agg(F.count("*").alias("own"))
+    return (
+        twins.select("detection_id", "text_hash", "candidate_id")
+        .join(body, "text_hash")
+        .join(own, ["text_hash", "candidate_id"])
+        .select("detection_id", "text_hash", (F.col("members") - F.col("own")).alias("n_twins"), "n_candidates")
+    )
+
+
 def twins_of(requested: DataFrame, twins: DataFrame) -> DataFrame:
     """(asked_id, twin rows) for the requested detections (column ``detection_id``)."""
     asked = twins.join(requested.select("detection_id"), "detection_id", "left_semi").select(
