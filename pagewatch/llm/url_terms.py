@@ -88,8 +88,8 @@ def judge_urls(
 ) -> DataFrame:
     """A verdict per row of ``pages`` (page_id, url).
 
-    A null or empty URL, or one without ``://``, has an empty host and path, fits no
-    rule and holds no term, so it is allowed. Repeated rows are judged row by row;
+    A null or empty URL, or one without ``://``, has an empty host and path and fits no
+    rule. Terms are looked for in the whole URL, with or without ``://``; a null or empty one holds none and is allowed. Repeated rows are judged row by row;
     other columns are not returned.
     """
     judged = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
