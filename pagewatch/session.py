@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,7 +60,8 @@ def read_spread(spark: SparkSession, path: str, min_bytes: int = 1_000_000) -> D
     return df
 
 
-_written: list[str] = []
+# What the current job has written; each thread and each job has a list of its own.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 @contextmanager
@@ -67,15 +69,17 @@ def scratch_job(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, every intermediate written inside it.
 
     Write or collect the job's results inside: DataFrames still read the intermediates.
+    Jobs of other threads, and a job around this one, keep theirs.
     """
-    start = len(_written)
+    own: list[str] = []
+    outer = _written.set(own)
     try:
         yield
     finally:
-        for path in _written[start:]:
+        _written.reset(outer)
+        for path in own:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        del _written[start:]
 
 
 def write_through(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -86,6 +90,7 @@ def write_through(df: DataFrame, label: str = "stage") -> DataFrame:
     instead of replaying the lineage.
     """
     path = f"{scratch_root(df.sparkSession)}/pagewatch-{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if (own := _written.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

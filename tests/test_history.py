@@ -191,6 +191,30 @@ def test_scratch_job_deletes_its_intermediates(spark):
     assert not os.path.exists(folder)
 
 
+def test_scratch_jobs_of_two_threads_keep_to_their_own(spark):
+    import threading
+
+    from pagewatch import session
+
+    ready, done, seen = threading.Event(), threading.Event(), {}
+
+    def other():
+        with session.scratch_job(spark):
+            kept = session.write_through(spark.range(7), "other")
+            ready.set()
+            done.wait(60)
+            seen["rows"] = kept.count()
+
+    thread = threading.Thread(target=other)
+    with session.scratch_job(spark):
+        session.write_through(spark.range(3), "mine").count()
+        thread.start()
+        assert ready.wait(60)
+    done.set()
+    thread.join(60)
+    assert seen == {"rows": 7}
+
+
 def test_global_rank_spreads_and_counts(spark):
     df = spark.range(1000).withColumn("k", F.lit("same"))
     ranked = global_rank(df, [F.col("k"), F.col("id").desc()])
