@@ -179,4 +179,4 @@ def test_urls(spark):
     got = {tuple(r)[:5] for r in judge_urls(pages).collect()}
     assert got == {(i, h, p, r, v) for i, _, h, p, r, v in rows}
     assert judge_urls(pages.limit(0)).collect() == []
-    assert len(QUERIES) == 10
+    assert len(QUERIES) == 13
