@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewatch.catalog.core import Tables, case, with_views
 from pagewatch.catalog.history import PB, REPLAY, SP, UNCHANGED_SQL
 from pagewatch.catalog.people import race_documents
-from pagewatch.catalog.scalars import HOST_SQL, PROSE_PATTERNS, any_path_sql, signal_sql
+from pagewatch.catalog.scalars import CANON_SQL, HOST_SQL, PROSE_PATTERNS, any_path_sql, signal_sql
 from pagewatch.catalog.site import _ITEMS, _POSTED
 from pagewatch.catalog.sources import VIEWS
 from pagewatch.functions import urls
@@ -210,12 +210,69 @@ def crawl_inputs(t: Tables):
     return seeds, edges
 
 
-@case("crawl_plan", None)
+def crawl_sql(max_pages: int, blocked: str = "false", throttled: str = "false") -> str:
+    """One address after another, as a crawler would: a site's queue, visits, budgets and strikes are a row per step."""
+    high = "(" + any_path_sql("url", urls.HIGH_VALUE_PATHS) + " or ends_with(lower(url),'.pdf'))"
+    domain = "replace(regexp_extract({0},'^[a-z]+://([^/?#]*)',1),'www.','')"
+    address = "{'url':url,'key':key,'host':" + HOST_SQL.format("url") + f",'high':{high},'depth':0,'via':via}}"
+    spent = f"case when papers then n_pdf when x.high then n_high else n_low end < {max_pages}"
+    fetched = "(head is not null)"
+    steps = (
+        ("sites", "select distinct 'https://'||" + HOST_SQL.format("url") + " as site from pages"),
+        (
+            "listed",
+            "select site, 0 as pos, site as url, 'seed' as via from sites union all select site, i, site||p, 'common_path' from sites, (values (1,'/media'),(2,'/press')) v(i,p) "
+            "union all select 'https://'||" + HOST_SQL.format("url") + ", page_id+3, url, 'sitemap' from pages",
+        ),
+        ("trimmed", "select site, pos, via, case when rtrim(u,'/')='' then u else rtrim(u,'/') end as url from (select *, split_part(url,'#',1) as u from listed) l"),
+        ("seeds", f"select *, {CANON_SQL.format('url')} as key from trimmed where {domain.format('url')}={domain.format('site')} qualify row_number() over (partition by site, key order by pos)=1"),
+        (
+            "hrefs",
+            "select site, page_key, pos, regexp_extract(url,'^(https?://[^/?#]*)',1)||h as url, 'link_crawl' as via from (select url, 'https://'||" + HOST_SQL.format("url") + f" as site, {CANON_SQL.format('url')} as page_key, "
+            "unnest(regexp_extract_all(html,'<a href=\"([^\"]*)\"',1)) as h, generate_subscripts(regexp_extract_all(html,'<a href=\"([^\"]*)\"',1),1) as pos from pages) p",
+        ),
+        ("edges", f"select *, {CANON_SQL.format('url')} as key from hrefs"),
+        (
+            "outs",
+            f"select site, page_key, list({address} order by not {high}, pos) filter (not ends_with(lower(url),'.pdf')) as links, "
+            f"list({address}) filter (ends_with(lower(url),'.pdf')) as papers_of from edges group by 1,2",
+        ),
+        (
+            "crawl",
+            f"select site, 0 as step, list({address} order by not {high}, pos) as queue, cast([] as varchar[]) as visited, 0 as n_high, 0 as n_low, 0 as n_pdf, false as papers, false as ended, "
+            f"list_filter(list({address}), lambda x: false) as found, cast(map() as map(varchar,int)) as strikes, list({address})[0] as got from seeds group by site "
+            "union all select c.site, step+1, "
+            f"case when {fetched} and not papers and head.depth<2 then list_concat(live[2:], list_transform(coalesce(links,[]), lambda x: struct_update(x, depth := head.depth+1))) when {fetched} then live[2:] "
+            "when not papers then list_sort(list_transform(found, lambda x: struct_update(x, depth := -1, via := 'pdf_link', high := true))) else [] end, "
+            f"case when {fetched} then list_append(visited, head.key) else visited end, "
+            f"n_high+cast({fetched} and not papers and head.high as int), n_low+cast({fetched} and not papers and not head.high as int), n_pdf+cast({fetched} and papers as int), "
+            f"papers or not {fetched}, papers and not {fetched}, "
+            f"case when {fetched} and not papers and head.depth<2 then list_concat(found, coalesce(papers_of,[])) else found end, "
+            f"case when {fetched} then map_concat(strikes, map([head.host],[cast(case when {throttled.format('head.key')} then coalesce(strikes[head.host],0)+1 else 0 end as int)])) else strikes end, head "
+            "from (select *, live[1] as head from (select *, list_filter(queue, lambda x: not list_contains(visited, x.key) and coalesce(strikes[x.host],0)<3 "
+            f"and not ({blocked.format('x.key')}) and {spent}) as live from crawl where not ended) l) c left join outs o on o.site=c.site and o.page_key=c.head.key",
+        ),
+    )
+    return "with recursive " + ", ".join(f"{n} as ({q})" for n, q in steps) + " select site, cast(got.depth as int) as depth, got.url as url, got.via as via, got.high as high from crawl where got is not null"
+
+
+@case("crawl_plan", crawl_sql(5))
 def _crawl(t: Tables):
     seeds, edges = crawl_inputs(t)
     return W.crawl_plan(seeds, edges, max_pages=5).select("site", "depth", "url", "via", "high")
 
 
+@case("crawl_plan_throttled", crawl_sql(6, "length({0})%11=0", "length({0})%3<>0"))
+def _crawl_throttled(t: Tables):
+    """Pages that answer 503 or are disallowed, by the length of their keys."""
+    seeds, edges = crawl_inputs(t)
+    known = seeds.select("site", "page_key").unionByName(edges.select("site", urls.canon_url(F.col("href")).alias("page_key"))).distinct()
+    size = F.length("page_key")
+    responses = known.withColumn("http_status", F.when(size % 3 != 0, 503).otherwise(200))
+    plan = W.crawl_plan(seeds, edges, known.filter(size % 11 == 0), max_pages=6, responses=responses)
+    return plan.select("site", "depth", "url", "via", "high")
+
+
 @case(
     "robots_audit",
     "select page_id, case when h like 'blog.%' then 'override' else 'respect' end as posture, case when h like 'blog.%' then true when length(h)%4=0 then false when length(h)%4=1 then true "

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pagewatch.functions.status import THROTTLE_STATUSES, parse_verdict, severity, should_escalate
 from pagewatch.functions.text import SIGNAL_PATTERNS, bind, signal_hits, signal_score, strip
 from pagewatch.functions.urls import (
-    COMMON_PATHS, canon_url, is_boilerplate, is_high_value, is_media, is_pdf, same_domain, url_host,
+    COMMON_PATHS, canon_url, host_key, is_boilerplate, is_high_value, is_media, is_pdf, same_domain, url_host,
 )
 from pagewatch.operators.markup import chunks_of, links_of, parse_robots, robots_path, text_of
 from pagewatch.operators.ordered import BLOCK_ROWS, running_streak, top_per_key
@@ -21,6 +21,8 @@ from pagewatch.session import write_through
 
 Scorer = Callable[[DataFrame], DataFrame]
 
+STRIKES = 3  # throttled fetches in a row after which a host is given up
+
 
 def prefilter(pages: DataFrame, patterns: Sequence[str] = SIGNAL_PATTERNS) -> DataFrame:
     """Add ``scan``, ``reason`` and ``score``. Needs url, raw_text and content_type."""
@@ -304,40 +306,103 @@ def crawl_budget(frontier: DataFrame, max_pages: int = 150, order: Sequence[Colu
     return top_per_key(frontier, ["site", "high"], order or [F.col("pos")], max_pages, "budget_rank")
 
 
+def given_up(fetched: DataFrame, responses: DataFrame) -> DataFrame:
+    """(site, host, gone): where in a site's crawl a host has answered ``STRIKES`` times in a row by throttling.
+
+    ``fetched``: site, page_key, host, at. Its rows of a site are bounded by the crawl's budgets.
+    """
+    hit = F.coalesce(F.col("http_status").isin(*THROTTLE_STATUSES), F.lit(False))
+    answers = responses.groupBy("site", "page_key").agg(F.bool_or(hit).alias("hit"))
+    last = Window.partitionBy("site", "host").orderBy("at").rowsBetween(1 - STRIKES, 0)
+    return (
+        fetched.join(answers, ["site", "page_key"], "left")
+        .withColumn("strikes", F.sum(F.coalesce("hit", F.lit(False)).cast("int")).over(last))
+        .filter(F.col("strikes") == STRIKES)
+        .groupBy("site", "host")
+        .agg(F.min("at").alias("gone"))
+    )
+
+
+def within_budget(fresh: DataFrame, seen: DataFrame | None, max_pages: int) -> DataFrame:
+    """The first rows of each site's classes that what ``seen`` has spent leaves room for."""
+    taken = crawl_budget(fresh, max_pages, [F.col("at")])
+    if seen is not None:
+        spent = seen.groupBy("site", "high").agg(F.count("*").alias("spent"))
+        taken = taken.join(spent, ["site", "high"], "left").filter(
+            F.col("budget_rank") + F.coalesce("spent", F.lit(0)) <= max_pages
+        )
+    return taken.select(*fresh.columns)
+
+
+def fetch_level(
+    fresh: DataFrame, seen: DataFrame | None, responses: DataFrame | None, max_pages: int, label: str, own_budget: bool = False
+) -> DataFrame:
+    """The rows of ``fresh`` that are fetched, written.
+
+    Which pages are fetched decides when a host is given up, and that decides which later pages have
+    the budget. Both are computed in turn until the given up hosts stay the same. A page depends on
+    earlier ones only, so each turn settles at least one more host of every site, and what stays the
+    same is what fetching one by one gives. As budgets bound a site's fetches, they bound the turns.
+    """
+    spent = None if own_budget else seen
+    if responses is None:
+        return write_through(within_budget(fresh, spent, max_pages), label)
+    narrow = ["site", "page_key", "host", "at"]
+    earlier = seen.select(*narrow) if seen is not None else fresh.select(*narrow).limit(0)
+    fresh = write_through(fresh, f"{label}-frontier")
+    gone = write_through(given_up(earlier, responses), f"{label}-gone")
+    while True:
+        open_ = fresh.join(gone, ["site", "host"], "left").filter("gone is null or at <= gone").drop("gone")
+        done = write_through(within_budget(open_.select(*fresh.columns), spent, max_pages), label)
+        now = write_through(given_up(earlier.unionByName(done.select(*narrow)), responses), f"{label}-gone")
+        before = gone.withColumnRenamed("gone", "before")
+        if now.join(before, ["site", "host"], "full_outer").filter("not gone <=> before").isEmpty():
+            return done
+        gone = now
+
+
 def crawl_plan(
-    seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, depth: int = 2, max_pages: int = 150
+    seeds: DataFrame,
+    edges: DataFrame,
+    blocked: DataFrame | None = None,
+    depth: int = 2,
+    max_pages: int = 150,
+    responses: DataFrame | None = None,
 ) -> DataFrame:
     """(site, depth, place, url, via, high): what a crawl fetches, in order.
 
     ``seeds``: site, url, via, pos, page_key. ``edges``: site, page_key, pos,
     href, kind. ``blocked``: site, page_key of disallowed or failed pages.
+    ``responses``: site, page_key, http_status; a page with several rows is throttled if one says so,
+    one without a row is not.
     Level by level: budgets are spent in frontier order before links are
-    followed, so pages beyond the budget contribute no links. Linked PDFs come
-    last (depth -1), by address, on their own budget.
+    followed, so pages beyond the budget contribute no links. A host that throttles ``STRIKES``
+    fetches of a site in a row is given up: its later addresses, PDFs included, are left out and
+    spend no budget. Linked PDFs come last (depth -1), by address, on their own budget.
     """
     high = lambda: is_high_value(F.col("url"))
     frontier = seeds.withColumn("high", high()).withColumn(
         "place", F.array((~F.col("high")).cast("long"), F.col("pos").cast("long"))
     )
     links = edges.select("site", "page_key", F.col("pos").alias("link_pos"), F.col("href"), "kind")
-    columns = ["site", "page_key", "url", "via", "high", "place"]
+    columns = ["site", "page_key", "url", "via", "high", "place", "depth", "host", "at"]
+
+    def unseen(rows: DataFrame, seen: DataFrame | None) -> DataFrame:
+        for other in (seen, blocked):
+            if other is not None:
+                rows = rows.join(other.select("site", "page_key"), ["site", "page_key"], "left_anti")
+        return rows.withColumn("host", host_key(F.col("url")))
+
     levels: list[DataFrame] = []
     seen: DataFrame | None = None
     for level in range(depth + 1):
         fresh = frontier.groupBy("site", "page_key").agg(
             F.min_by(F.struct("url", "via", "high", "place"), "place").alias("r")
         ).select("site", "page_key", "r.*")
-        if seen is not None:
-            fresh = fresh.join(seen.select("site", "page_key"), ["site", "page_key"], "left_anti")
-        if blocked is not None:
-            fresh = fresh.join(blocked.select("site", "page_key"), ["site", "page_key"], "left_anti")
-        taken = crawl_budget(fresh.select(*columns), max_pages, [F.col("place")])
-        if seen is not None:
-            spent = seen.groupBy("site", "high").agg(F.count("*").alias("spent"))
-            taken = taken.join(spent, ["site", "high"], "left").filter(
-                F.col("budget_rank") + F.coalesce("spent", F.lit(0)) <= max_pages
-            )
-        done = write_through(taken.select(*columns, F.lit(level).alias("depth")), f"level{level}")
+        fresh = unseen(fresh, seen).withColumns(
+            {"depth": F.lit(level), "at": F.struct(F.lit(level).alias("level"), "place", F.lit("").alias("url"))}
+        )
+        done = fetch_level(fresh.select(*columns), seen, responses, max_pages, f"level{level}")
         levels.append(done)
         seen = done if seen is None else seen.unionByName(done)
         if level < depth:
@@ -361,14 +426,15 @@ def crawl_plan(
         .withColumn("page_key", canon_url(F.col("url")))
         .groupBy("site", "page_key")
         .agg(F.min("url").alias("url"))
-        .join(seen.select("site", "page_key"), ["site", "page_key"], "left_anti")
     )
-    if blocked is not None:
-        pdfs = pdfs.join(blocked.select("site", "page_key"), ["site", "page_key"], "left_anti")
-    documents = crawl_budget(pdfs.withColumn("high", F.lit(True)), max_pages, [F.col("url")]).select(
-        "site", "page_key", "url", F.lit("pdf_link").alias("via"), "high",
-        F.array(F.col("budget_rank").cast("long")).alias("place"), F.lit(-1).alias("depth"),
+    nowhere = F.array().cast("array<bigint>")
+    last = F.struct(F.lit(depth + 1).alias("level"), nowhere.alias("place"), "url")
+    pdfs = unseen(pdfs, seen).withColumns(
+        {"via": F.lit("pdf_link"), "high": F.lit(True), "place": nowhere, "depth": F.lit(-1), "at": last}
     )
+    documents = fetch_level(pdfs.select(*columns), seen, responses, max_pages, "documents", own_budget=True)
+    in_order = Window.partitionBy("site").orderBy("url")
+    documents = documents.withColumn("place", F.array(F.row_number().over(in_order).cast("long")))
     return seen.unionByName(documents).select("site", "depth", "place", "url", "via", "high")
 
 
@@ -423,7 +489,7 @@ def host_strikes(fetch_log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFram
     out = running_streak(fetch_log, "host", "seq", throttled, "strikes", block_rows)
     given = F.col("retry_after") if "retry_after" in fetch_log.columns else F.lit(None).cast("double")
     wait = F.least(F.coalesce(given, F.lit(30.0) * F.pow(F.lit(2.0), F.col("strikes") - 1)), F.lit(300.0))
-    gave_up = F.col("strikes") >= 3
+    gave_up = F.col("strikes") >= STRIKES
     return out.withColumns(
         {"backoff_seconds": F.when((F.col("strikes") > 0) & ~gave_up, wait), "abandoned": gave_up}
     )

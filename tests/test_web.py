@@ -1,5 +1,6 @@
 """Corpus jobs against plain code on small fixtures."""
 
+import collections
 import random
 
 import pytest
@@ -141,6 +142,70 @@ def test_crawl_plan_properties(spark, seed):
         assert u in seeds if d == 0 else any(u in edges[v] for v in before)
 
 
+def one_by_one(seeds, links, blocked, throttled, depth, budget):
+    """(depth, url) in the order in which a crawler with a queue and a counter per host would fetch them."""
+    high = lambda u: "media" in u
+    host = lambda u: u.split("/")[2]
+    order, strikes, spent, papers = [], collections.Counter(), collections.Counter(), set()
+
+    def fetch(url, level, purse):
+        if url in blocked or url in {u for _, u in order} or strikes[host(url)] == 3 or spent[purse] == budget:
+            return False
+        spent[purse] += 1
+        strikes[host(url)] = strikes[host(url)] + 1 if url in throttled else 0
+        order.append((level, url))
+        return True
+
+    level = sorted(seeds, key=lambda u: not high(u))
+    for d in range(depth + 1):
+        got = [u for u in level if fetch(u, d, high(u))]
+        if d < depth:
+            papers |= {v for u in got for v in links[u] if v.endswith(".pdf")}
+        level = [v for u in got for v in sorted((v for v in links[u] if not v.endswith(".pdf")), key=lambda v: not high(v))]
+    for u in sorted(papers):
+        fetch(u, -1, "papers")
+    return order
+
+
+def test_crawl_plan_gives_up_throttling_hosts(spark):
+    rng, want, given_up = random.Random(7), {}, 0
+    rows = {"seeds": [], "edges": [], "blocked": [], "responses": []}
+    for n in range(30):
+        site = f"https://s{n}.example"
+        pages = [f"https://{rng.choice('abc')}.s{n}.example/{rng.choice(('media', 'p', 'p'))}{i}" for i in range(40)]
+        papers = [f"https://{rng.choice('abc')}.s{n}.example/d{i}.pdf" for i in range(12)]
+        links = {u: rng.sample(pages + papers, 8) for u in pages}
+        seeds = rng.sample(pages, 6)
+        blocked = set(rng.sample(pages + papers, 5))
+        throttled = {u for u in pages + papers if rng.random() < rng.choice((0.3, 0.6, 0.8))}
+        budget, key = rng.choice((3, 8)), lambda u: u.removeprefix("https://")
+        want[site] = budget, one_by_one(seeds, links, blocked, throttled, 2, budget)
+        given_up += want[site][1] != one_by_one(seeds, links, blocked, set(), 2, budget)
+        rows["seeds"] += [(site, u, "seed", i, key(u), budget) for i, u in enumerate(seeds)]
+        rows["edges"] += [(site, key(u), i, v, "pdf" if v.endswith(".pdf") else "page") for u, vs in links.items() for i, v in enumerate(vs)]
+        rows["blocked"] += [(site, key(u)) for u in blocked]
+        # an answer may be listed twice; pages without an answer are not throttled
+        rows["responses"] += [(site, key(u), rng.choice((429, 503))) for u in throttled] + [(site, key(u), 200) for u in pages[::3]]
+    schemas = {
+        "seeds": "site string, url string, via string, pos int, page_key string, budget int", "edges": "site string, page_key string, pos int, href string, kind string",
+        "blocked": "site string, page_key string", "responses": "site string, page_key string, http_status int",
+    }
+    frames = {n: spark.createDataFrame(rows[n], schemas[n]) for n in rows}
+    for budget in (3, 8):
+        seeds = frames["seeds"].filter(F.col("budget") == budget).drop("budget")
+        got = collections.defaultdict(list)
+        plan = W.crawl_plan(seeds, frames["edges"], frames["blocked"], max_pages=budget, responses=frames["responses"])
+        for r in sorted(plan.collect(), key=lambda r: (r["depth"] < 0, r["depth"], r["place"])):
+            got[r["site"]].append((r["depth"], r["url"]))
+        assert got == {site: order for site, (b, order) in want.items() if b == budget}
+    assert given_up > 20
+
+
+def test_crawl_plan_without_rows(spark):
+    empty = {n: spark.createDataFrame([], s) for n, s in (("seeds", "site string, url string, via string, pos int, page_key string"), ("edges", "site string, page_key string, pos int, href string, kind string"), ("answers", "site string, page_key string, http_status int"))}
+    assert W.crawl_plan(empty["seeds"], empty["edges"], responses=empty["answers"]).count() == 0
+
+
 def test_robots(spark):
     urls = spark.createDataFrame(
         [("https://a.example/private/x",), ("https://a.example/ok",), ("https://down.example/",), ("https://none.example/z",), ("https://www.free.example:443/private",)],
