@@ -559,3 +559,34 @@ def _console(t: Tables):
         row = tables[part].agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@case(
+    "review_console_rows",
+    with_views(
+        "select 'queue' as part, detection_id as id, text_hash as content, alias_count as n from que union all select 'siblings', detection_id, text_hash, count(*) over (partition by candidate_id, text_hash) from pbod "
+        "union all select 'twins', detection_id, text_hash, cast(null as bigint) from pbod where text_hash in (select text_hash from multi) and candidate_id in (select candidate_id from candidates_v) "
+        "union all select 'shared_bodies', null, text_hash, null from multi union all select 'recent', review_id, action, detection_id from "
+        "(select * from reviews_v join detections_v using (detection_id) join candidates_v using (candidate_id) order by reviewed_at desc, review_id desc limit 20) r",
+        *RV, extra=(LR, PB, MULTI, QUEUE),
+    ),
+)
+def _console_rows(t: Tables):
+    d, s, c, r = _rv(t)
+    c = c.withColumns({"url_source": F.lit("none"), "universe_reason": F.lit(None).cast("string")})
+    tables = review_console_tables(d, s, c, r)
+    none = F.lit(None).cast("long")
+    shown = {
+        "queue": (F.col("detection_id"), F.col("text_hash"), F.col("alias_count")),
+        "siblings": (F.col("detection_id"), F.col("text_hash"), F.col("group_size")),
+        "twins": (F.col("detection_id"), F.col("text_hash"), none),
+        "shared_bodies": (none, F.col("text_hash"), none),
+        "recent": (F.col("review_id"), F.col("action"), F.col("detection_id")),
+    }
+    out = None
+    for part, (key, content, n) in shown.items():
+        rows = tables[part].select(
+            F.lit(part).alias("part"), key.cast("long").alias("id"), content.alias("content"), n.cast("long").alias("n")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out

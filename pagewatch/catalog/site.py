@@ -367,6 +367,50 @@ def _publish(t: Tables):
     return out
 
 
+SHOWN_EXHIBITS = f"select * from exa where approved and candidate_id in (select candidate_id from vw where {PUBLIC_SQL})"
+
+
+@case(
+    "public_view_rows",
+    with_views(
+        f"select 'view' as part, candidate_id, status as content, cast(null as varchar) as exhibit from vw where {PUBLIC_SQL} union all select 'exhibit', candidate_id, url, text_hash from ({SHOWN_EXHIBITS}) e union all "
+        f"select 'version', candidate_id, text_hash, exhibit_hash from vers where approved and (candidate_id,exhibit_hash) in (select (candidate_id,text_hash) from ({SHOWN_EXHIBITS}) e)",
+        *SITE_VIEWS, extra=VIEW_CHAIN,
+    ),
+)
+def _public_rows(t: Tables):
+    g = gathered(t)
+    views, exhibits, versions = P.public_view(g.views, g.exhibits, g.versions)
+    row = lambda part, content, exhibit: (F.lit(part).alias("part"), "candidate_id", F.col(content).alias("content"), exhibit.alias("exhibit"))
+    return (
+        views.select(*row("view", "status", F.lit(None).cast("string")))
+        .unionByName(exhibits.select(*row("exhibit", "url", F.col("text_hash"))))
+        .unionByName(versions.select(*row("version", "text_hash", F.col("exhibit_hash"))))
+    )
+
+
+@case(
+    "publish_tables_rows",
+    with_views(
+        "select 'index' as part, cast(candidate_id as varchar) as entry, position as n, cast((position-1)//500+1 as bigint) as page from idx union all select 'status_counts', status, count(*), null from vw group by status "
+        "union all select 'feed', id||' '||title, null, null from feed union all select 'exhibits', candidate_id||' '||text_hash, null, null from (" + SHOWN_EXHIBITS + ") e",
+        *SITE_VIEWS, extra=(*VIEW_CHAIN, FEED, (INDEX[0], INDEX[1].replace("from vw)", f"from vw where {PUBLIC_SQL})"))),
+    ),
+)
+def _publish_rows(t: Tables):
+    tables = publish_tables(gathered(t), True, F.lit("2026-06-01").cast("date"), site_url=SITE)
+    none = F.lit(None).cast("long")
+    entry = lambda part, text, n=none, page=none: tables[part].select(
+        F.lit(part).alias("part"), text.cast("string").alias("entry"), n.cast("long").alias("n"), page.cast("long").alias("page")
+    )
+    return (
+        entry("index", F.col("candidate_id"), F.col("position"), F.col("page"))
+        .unionByName(entry("status_counts", F.col("status"), F.col("n")))
+        .unionByName(entry("feed", F.concat_ws(" ", "id", "title")))
+        .unionByName(entry("exhibits", F.concat_ws(" ", "candidate_id", "text_hash")))
+    )
+
+
 @case(
     "write_feed_and_sitemap_rows",
     with_views(
