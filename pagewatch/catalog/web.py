@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.catalog.core import Tables, case, with_views
 from pagewatch.catalog.history import PB, REPLAY, SP, UNCHANGED_SQL
-from pagewatch.catalog.people import race_documents
+from pagewatch.catalog.people import CALL_COLUMNS, CALLS, race_documents
 from pagewatch.catalog.scalars import CANON_SQL, HOST_SQL, PROSE_PATTERNS, any_path_sql, signal_sql
 from pagewatch.catalog.site import _ITEMS, _POSTED
 from pagewatch.catalog.sources import VIEWS
@@ -478,6 +478,13 @@ def _feed_documents(t: Tables):
     return readers.read_results_feed(t.spark, path, 2026).groupBy("office").agg(F.count("*").alias("n"))
 
 
+@case("read_results_feed_document_rows", with_views(f"select {CALL_COLUMNS}, election_date from calls", "races_v", extra=(CALLS,)))
+def _feed_document_rows(t: Tables):
+    path = scratch(t, "feed")
+    race_documents(t).write.json(path)
+    return readers.read_results_feed(t.spark, path, 2026).select("office", "state", "district", "party", "winner_name", "election_date")
+
+
 @case(
     "normalize_ie",
     with_views(
