@@ -414,14 +414,14 @@ def _siblings_of(t: Tables):
 @case(
     "twins_of",
     with_views(
-        "select a.detection_id as asked_id, b.detection_id from pbod a join pbod b on a.text_hash=b.text_hash and a.candidate_id<>b.candidate_id join candidates_v c on c.candidate_id=b.candidate_id where a.detection_id%20=0",
+        "select * from (select detection_id as asked_id, min(detection_id) over body as body_id, min(detection_id) over claim as claim_id, count(*) over body - count(*) over claim as n_twins "
+        "from pbod join candidates_v using (candidate_id) where text_hash in (select text_hash from multi) window body as (partition by text_hash), claim as (partition by text_hash, candidate_id)) x where n_twins>0",
         *RV, extra=(LR, PB, MULTI),
     ),
 )
 def _twins_of(t: Tables):
     d, s, c, r = _rv(t)
-    asked = d.filter("detection_id % 20 = 0")  # a search's stated query set, against all rows
-    return V.twins_of(asked, V.cross_attribution_twins(d, s, c, r)).select("asked_id", "detection_id")
+    return V.twins_of(d, V.cross_attribution_twins(d, s, c, r))
 
 
 @case(
