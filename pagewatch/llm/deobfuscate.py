@@ -34,7 +34,6 @@ BETWEEN = set(".-_*·,'’~^`/\\:;=#%&")
 AROUND = ".,;:?\"'’‘()[]{}<>…«»“”„|*#%&!-_=~`/\\"
 COST = {"sign": 1.0, "between": 0.7, "repeat": 1.2, "kept": 14.0}
 STARTS = (4, 5, 6)
-TRAIN_ROWS = 8_000
 LEXICON_ROWS = 20_000
 TRIGRAMS = 60_000
 LEAST_EVIDENCE = 10.0
@@ -52,6 +51,7 @@ LONG = 64
 REACH = 20
 LEAST_SPACED = 3
 KNOWN = 200_000
+PLACES = 400_000
 
 
 @dataclass
@@ -179,8 +179,19 @@ def marks(word: str) -> list[str]:
     return [word + "$", *(word[:n] for n in STARTS if len(word) > n)] if len(word) > 2 else []
 
 
-def words_of(text: str, model: CharModel) -> list[str]:
-    return [w for t in tokens_of(text) for w in readings(t, model)]
+def words_of(text: str, model: CharModel, known: dict[str, list[str]]) -> list[str]:
+    """The readings of a text's tokens; ``known`` holds those of tokens met before."""
+    out = []
+    for token in tokens_of(text):
+        words = known.get(token)
+        if words is None:
+            words = readings(token, model)
+            if len(known) >= KNOWN:
+                known.clear()
+            if len(token) <= 64:
+                known[token] = words
+        out += words
+    return out
 
 
 @dataclass
@@ -215,6 +226,10 @@ class ToxicModel:
         return sigmoid(self.weights[0] + rows @ self.weights[1:])
 
 
+def _counted(seen: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"gram": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+
+
 def char_model(rows: DataFrame) -> CharModel:
     """Trigrams of the plain words of the training rows, the most frequent kept."""
 
@@ -227,7 +242,10 @@ def char_model(rows: DataFrame) -> CharModel:
                     if word.isalpha():
                         padded = f"^^{word}$"
                         seen.update(padded[i : i + 3] for i in range(len(padded) - 2))
-        yield pd.DataFrame({"gram": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+                if len(seen) >= PLACES:
+                    yield _counted(seen)
+                    seen.clear()
+        yield _counted(seen)
 
     grams = rows.select("text").mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return CharModel({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(TRIGRAMS).collect()})
@@ -248,16 +266,23 @@ def toxic_lexicon(rows: DataFrame, chars: CharModel) -> dict[str, float]:
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clean: Counter = Counter()
+        toxic: set[tuple[str, str]] = set()
+        known: dict[str, list[str]] = {}
         for batch in batches:
-            toxic: set[tuple[str, str]] = set()
             for text, y in zip(batch.text, batch.y):
-                words = words_of(text, chars)
+                words = words_of(text, chars, known)
                 places = {(m, before) for before, w in set(zip(["", *words], words)) for m in marks(w)}
                 if y:
                     toxic |= places
                 else:
                     clean.update(m for m, _ in places)
-            yield _marked([(m, b, 0) for m, b in toxic])
+                if len(toxic) >= PLACES:
+                    yield _marked([(m, b, 0) for m, b in toxic])
+                    toxic.clear()
+                if len(clean) >= PLACES:
+                    yield _marked([(m, None, n) for m, n in clean.items()])
+                    clean.clear()
+        yield _marked([(m, b, 0) for m, b in toxic])
         yield _marked([(m, None, n) for m, n in clean.items()])
 
     rows = rows.mapInPandas(seen, "mark string, before string, clean long").groupBy("mark", "before").agg(F.sum("clean").alias("clean"))
@@ -274,12 +299,12 @@ def toxic_lexicon(rows: DataFrame, chars: CharModel) -> dict[str, float]:
     return {r.mark: r.weight for r in kept.orderBy(F.desc("gain"), "mark").limit(LEXICON_ROWS).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_ROWS) -> ToxicModel:
-    """Fit on at most ``sample`` labelled rows that are not held out; only counts and features come to the driver.
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
+    """Fit on all labelled rows that are not held out; only the model's counts and the regression's sums come to the driver.
 
     Without toxic training rows nothing is toxic; without any rows likewise.
     """
-    rows = write_through(training_rows(docs, labels, "toxic", sample), "toxic-train")
+    rows = write_through(training_rows(docs, labels, "toxic"), "toxic-train")
     chars = char_model(rows)
     model = ToxicModel(chars, toxic_lexicon(rows, chars), np.array([-8.0, 0, 0, 0, 0]))
 
@@ -287,12 +312,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_ROWS) -> ToxicMo
         cache: dict[str, float] = {}
         for batch in batches:
             found = np.array([model.features(t, cache) for t in batch.text]).reshape(-1, 4)
-            yield pd.DataFrame(found, columns=list("abcd")).assign(y=batch.y.to_numpy(), doc_id=batch.doc_id.to_numpy())
+            yield pd.DataFrame(found, columns=list("abcd")).assign(y=batch.y.to_numpy())
 
-    seen = rows.mapInPandas(measure, "a double, b double, c double, d double, y int, doc_id long").orderBy("doc_id", "a").collect()
-    x, y = np.array([r[:4] for r in seen]).reshape(-1, 4), np.array([r.y for r in seen])
-    if len(y) and 0 < y.mean() < 1:
-        model.weights = fit_logistic(x, y)
+    seen = rows.select("text", "y").mapInPandas(measure, "a double, b double, c double, d double, y int")
+    seen = write_through(seen.groupBy("a", "b", "c", "d", "y").agg(F.count("*").alias("n")), "toxic-features")
+    weights = fit_logistic(seen, list("abcd"))
+    if weights is not None:
+        model.weights = weights
     return model
 
 
@@ -306,18 +332,18 @@ def scorer(model: ToxicModel):
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = TRAIN_ROWS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``.
 
     Null texts count as empty; empty texts have no finds and get the lowest score.
     Repeated rows are scored alike; a null doc_id is not held out.
     """
-    scored = docs.select("doc_id", held_out().alias("held_out"), scorer(fit(docs, labels, sample))(whole_text()).alias("score"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), scorer(fit(docs, labels))(whole_text()).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = TRAIN_ROWS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows scored at or above the threshold."""
-    return docs.filter(scorer(fit(docs, labels, sample))(whole_text()) < threshold)
+    return docs.filter(scorer(fit(docs, labels))(whole_text()) < threshold)
 
 

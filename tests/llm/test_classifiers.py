@@ -132,3 +132,34 @@ def test_rules_equal_column(spark):
     for r in re_.measured(docs, "doc_id").withColumn("score", model.column()).collect():
         total = model.intercept + sum(w for w, rule in model.rules if all((r[n] >= c) == above for n, c, above in rule))
         assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
+    """More labelled rows than the sample once held, and the toxic word in as few as the sample left out."""
+    from pagewatch.llm.labelled import training_rows
+    from pagewatch.llm.tables import held_out
+
+    n = 12_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("calm words").alias("text"))
+    labels = docs.select("doc_id", F.lit(0).alias("toxic"))
+    taken, write = {}, de.write_through
+    monkeypatch.setattr(de, "write_through", lambda df, label: taken.setdefault(label, write(df, label)))
+    de.fit(docs, labels)
+    assert taken["toxic-train"].count() == docs.filter(~held_out()).count() > 9_000
+    assert training_rows(docs, labels, "toxic").count() == taken["toxic-features"].agg(F.sum("n")).first()[0]
+
+
+def test_logistic_by_sums_is_newton(spark):
+    import numpy as np
+
+    from pagewatch.llm.labelled import fit_logistic, sigmoid
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(400, 2)), 1)
+    y = (rng.random(400) < sigmoid(0.5 + x @ [2.0, -1.0])).astype(int)
+    rows = spark.createDataFrame([(float(a), float(b), int(t), 1) for (a, b), t in zip(x, y)], "a double, b double, y int, n long")
+    w = fit_logistic(rows.groupBy("a", "b", "y").agg(F.sum("n").alias("n")), ["a", "b"])
+    ones = np.column_stack([np.ones(400), x])
+    slope = ones.T @ (sigmoid(ones @ w) - y) + np.array([1e-6, 0.4, 0.4]) * w
+    assert np.abs(slope).max() < 1e-3
+    assert fit_logistic(rows.withColumn("y", F.lit(1)), ["a", "b"]) is None
