@@ -135,7 +135,7 @@ def test_rules_equal_column(spark):
 
 
 def test_every_labelled_row_is_learnt_from(spark, monkeypatch):
-    """More labelled rows than the sample once held, and the toxic word in as few as the sample left out."""
+    """More labelled rows than the sample of 8,000 once held."""
     from pagewatch.llm.labelled import training_rows
     from pagewatch.llm.tables import held_out
 
