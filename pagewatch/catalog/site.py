@@ -312,7 +312,8 @@ INDEX = (
 
 @case("rank_index", with_views("select candidate_id, position from idx", *SITE_VIEWS, extra=(*VIEW_CHAIN, INDEX)))
 def _index(t: Tables):
-    return P.rank_index(gathered(t).views).select("candidate_id", "position")
+    standing = gathered(t).standing.select("candidate_id", "state", "district", "name", "status", "supporting_total")
+    return P.rank_index(standing).select("candidate_id", "position")
 
 
 @case(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +19,119 @@ from pagewatch.operators.schedule import scan_counts
 from pagewatch.session import write_through
 
 
-@dataclass(frozen=True)
 class Views:
-    """``views`` has one row per candidate; the rest hang off (candidate_id, text_hash)."""
+    """``views`` has one row per candidate; the rest hang off (candidate_id, text_hash).
 
-    views: DataFrame
-    exhibits: DataFrame
-    urls: DataFrame
-    versions: DataFrame
-    timeline: DataFrame
+    A table is worked out when it is first asked for, with only the intermediates that it needs; those that several tables need
+    are written once. ``scans`` is read twice for all of them: its narrow columns, and the texts of the few scans that need them.
+    """
+
+    def __init__(
+        self,
+        candidates: DataFrame,
+        scans: DataFrame,
+        detections: DataFrame,
+        reviews: DataFrame,
+        archives: DataFrame,
+        corroboration: DataFrame,
+        events: DataFrame,
+    ):
+        self.candidates, self.scans, self.detections, self.reviews = candidates, scans, detections, reviews
+        self.archives, self.corroboration, self.events = archives, corroboration, events
+
+    def _statuses(self, scans: DataFrame, top: DataFrame) -> DataFrame:
+        """Publishable candidates with scan counts, top verdict, money and status."""
+        money = latest_per_key(self.corroboration, ["candidate_id"], [F.col("computed_at").desc()]).select(
+            "candidate_id", "supporting_total"
+        )
+        return (
+            publishable(self.candidates, self.detections, self.reviews)
+            .join(scan_counts(scans), "candidate_id", "left")
+            .withColumn("scan_count", F.coalesce("scan_count", F.lit(0)))
+            .join(top, "candidate_id", "left")
+            .join(money, "candidate_id", "left")
+            .withColumn("status", view_status())
+        )
+
+    @cached_property
+    def standing(self) -> DataFrame:
+        """The candidates of ``views`` with their status and money alone: from narrow columns, nothing is written for it."""
+        top = top_detection(ranked_detections(self.detections, self.scans, self.reviews))
+        return self._statuses(self.scans, top.select("candidate_id", "classification", "action"))
+
+    @cached_property
+    def _facts(self) -> DataFrame:
+        return write_through(self.scans.select("scan_id", "candidate_id", "url", "text_hash", "fetched_at", "http_status"), "facts")
+
+    @cached_property
+    def _ranked(self) -> DataFrame:
+        return write_through(ranked_detections(self.detections, self._facts, self.reviews), "ranked")
+
+    @cached_property
+    def _newest_archive(self) -> DataFrame:
+        return latest_per_key(
+            self.archives.filter("detection_id is not null"),
+            ["detection_id"],
+            [F.col("archived_at").desc(), F.col("archive_id").desc()],
+        ).select("detection_id", "archive_id")
+
+    @cached_property
+    def _exhibit_rows(self) -> DataFrame:
+        return exhibit_detections(self._ranked)
+
+    @cached_property
+    def _collapsed(self) -> DataFrame:
+        return write_through(collapse_aliases(self._exhibit_rows), "exhibits")
+
+    @cached_property
+    def urls(self) -> DataFrame:
+        return write_through(exhibit_urls(self._exhibit_rows, self._collapsed), "addresses")
+
+    @cached_property
+    def _watched(self) -> DataFrame:
+        return self._facts.join(watched_addresses(self._ranked), ADDRESS, "left_semi")
+
+    @cached_property
+    def _texts(self) -> DataFrame:
+        compared = compared_scans(self.events).withColumn("compared", F.lit(True))
+        needed = self._watched.select("scan_id").join(compared, "scan_id", "full_outer")
+        texts = scans_of(needed, self.scans, "http_status", "raw_text").select(
+            "scan_id", usable_scan(F.col("http_status"), F.col("raw_text")).alias("usable"), F.when(F.col("compared"), F.col("raw_text")).alias("raw_text")
+        )
+        return write_through(texts, "texts")
+
+    @cached_property
+    def _gone(self) -> DataFrame:
+        live = self._watched.join(self._texts.select("scan_id", "usable"), "scan_id")
+        return write_through(gone_since(self.urls, url_live_state(live, self._ranked, self.events)), "gone")
+
+    @cached_property
+    def versions(self) -> DataFrame:
+        return exhibit_versions(self._collapsed, self.urls, body_detections(self._ranked), body_first_seen(self._facts, self._ranked))
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        context = modified_event_context(self.events, self._texts, self._ranked).select("change_id", "guidance_same")
+        changes = self.events.join(context, "change_id", "left")
+        return exhibit_timeline(self._collapsed, self.urls, changes, self.versions, self._gone)
+
+    @cached_property
+    def exhibits(self) -> DataFrame:
+        return write_through(
+            self._collapsed.join(self._gone, BODY, "left")
+            .join(self._newest_archive, "detection_id", "left")
+            .withColumn("approved", F.coalesce(F.col("action") == "approve", F.lit(False))),
+            "shown",
+        )
+
+    @cached_property
+    def views(self) -> DataFrame:
+        top = top_detection(self._ranked).select(
+            "candidate_id", "detection_id", "classification", "confidence", "evidence", "classified_at",
+            F.col("url").alias("page_url"), "action", "reviewed_at",
+        )
+        views = self._statuses(self._facts, top).join(self._newest_archive, "detection_id", "left").withColumn("label", view_label())
+        return lastmod(views, self.exhibits)
 
 
 def candidate_views(
@@ -39,54 +143,5 @@ def candidate_views(
     corroboration: DataFrame,
     events: DataFrame,
 ) -> Views:
-    """``scans`` is read twice: its narrow columns, written for all branches, and the texts of the few scans that need them."""
-    facts = scans.select("scan_id", "candidate_id", "url", "text_hash", "fetched_at", "http_status")
-    facts = write_through(facts, "facts")
-    ranked = write_through(ranked_detections(detections, facts, reviews), "ranked")
-    newest_archive = latest_per_key(
-        archives.filter("detection_id is not null"),
-        ["detection_id"],
-        [F.col("archived_at").desc(), F.col("archive_id").desc()],
-    ).select("detection_id", "archive_id")
-    money = latest_per_key(corroboration, ["candidate_id"], [F.col("computed_at").desc()]).select(
-        "candidate_id", "supporting_total"
-    )
-
-    exhibit_rows = exhibit_detections(ranked)
-    exhibits = write_through(collapse_aliases(exhibit_rows), "exhibits")
-    urls = write_through(exhibit_urls(exhibit_rows, exhibits), "addresses")
-    watched = facts.join(watched_addresses(ranked), ADDRESS, "left_semi")
-    compared = compared_scans(events).withColumn("compared", F.lit(True))
-    needed = watched.select("scan_id").join(compared, "scan_id", "full_outer")
-    texts = scans_of(needed, scans, "http_status", "raw_text").select(
-        "scan_id", usable_scan(F.col("http_status"), F.col("raw_text")).alias("usable"), F.when(F.col("compared"), F.col("raw_text")).alias("raw_text")
-    )
-    texts = write_through(texts, "texts")
-    live = watched.join(texts.select("scan_id", "usable"), "scan_id")
-    gone = gone_since(urls, url_live_state(live, ranked, events))
-    versions = exhibit_versions(exhibits, urls, body_detections(ranked), body_first_seen(facts, detections))
-    context = modified_event_context(events, texts, detections).select("change_id", "guidance_same")
-    changes = events.join(context, "change_id", "left")
-    timeline = exhibit_timeline(exhibits, urls, changes, versions, gone)
-    exhibits = write_through(
-        exhibits.join(gone, BODY, "left")
-        .join(newest_archive, "detection_id", "left")
-        .withColumn("approved", F.coalesce(F.col("action") == "approve", F.lit(False))),
-        "shown",
-    )
-
-    top = top_detection(ranked).select(
-        "candidate_id", "detection_id", "classification", "confidence", "evidence", "classified_at",
-        F.col("url").alias("page_url"), "action", "reviewed_at",
-    )
-    views = (
-        publishable(candidates, detections, reviews)
-        .join(scan_counts(facts), "candidate_id", "left")
-        .withColumn("scan_count", F.coalesce("scan_count", F.lit(0)))
-        .join(top, "candidate_id", "left")
-        .join(newest_archive, "detection_id", "left")
-        .join(money, "candidate_id", "left")
-        .withColumn("status", view_status())
-        .withColumn("label", view_label())
-    )
-    return Views(lastmod(views, exhibits), exhibits, urls, versions, timeline)
+    """The tables of the published pages; see ``Views``."""
+    return Views(candidates, scans, detections, reviews, archives, corroboration, events)

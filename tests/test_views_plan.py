@@ -48,3 +48,15 @@ def test_event_texts_are_read_once_behind_an_id_filter(spark, monkeypatch):
         got = {r.change_id: (r.prev_text, r.new_text) for r in publish.modified_event_context(events, scans, detections).collect()}
         assert got == {1: ("text 1", "text 2"), 2: ("text 2", None), 4: (None, "text 3")}
         assert sorted(r.scan_id for r in taken["event-texts"].collect()) == [1, 2, 3]
+
+
+def test_status_and_rank_need_no_written_views(spark, monkeypatch):
+    t, labels, write = Tables(spark, FOLDER), [], views.write_through
+    monkeypatch.setattr(views, "write_through", lambda df, label="stage": labels.append(label) or write(df, label))
+    corr = corroborate(t("ie_filings_v"), t("detections_v"), t("reviews_v"), 2026)
+    out = views.candidate_views(site_candidates(t), t("scans_v"), evidence_detections(t), t("reviews_v"), t("archives_v"), corr, t("change_events_v"))
+    standing = out.standing.select("candidate_id", "status", "supporting_total").collect()
+    assert labels == []
+    assert out.versions.columns and "gone" not in labels and "texts" not in labels
+    assert sorted(standing) == sorted(out.views.select("candidate_id", "status", "supporting_total").collect())
+    assert len(labels) == len(set(labels))
