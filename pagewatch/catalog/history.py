@@ -12,6 +12,7 @@ from pagewatch.operators import review as V
 from pagewatch.plans.changes import diff_scans, replay_and_reconcile, sweep_decisions, run_sweep
 from pagewatch.plans.console import review_console_tables
 from pagewatch.plans.money import corroborate
+from pagewatch.session import write_through
 
 NONE = "'no_guidance_detected'"
 POS = POSITIVE_SQL.format("classification")
@@ -183,14 +184,21 @@ SWEEP_CHAIN = (SP, SWEEP, HIST, HIST_LB, HIST_EV, BASE, PREV, DECIDE, LEAD, ACT)
 SWEEP_VIEWS = ("scans_v", "detections_v", "change_events_v")
 
 
-def _decisions(t: Tables):
-    scans = C.with_page_key(t("scans_v")).withColumn("content_type", F.lit("text/html"))
+def _last_sweep(t: Tables):
+    """The newest scan of each page as a sweep, with the history, events and detections before it. Scans are written, as a tracker's tables are."""
+    scans = write_through(C.with_page_key(t("scans_v")).withColumn("content_type", F.lit("text/html")), "scans")
     last = scans.groupBy("candidate_id", "page_key").agg(F.max("scan_id").alias("scan_id")).select("scan_id")
-    batch, history = scans.join(last, "scan_id", "left_semi"), scans.join(last, "scan_id", "left_anti")
-    seen = history.select("scan_id")
+    last = write_through(last, "last-scans")
+    batch = write_through(scans.drop("page_key").join(last, "scan_id", "left_semi"), "batch")
+    history = scans.drop("page_key").join(last, "scan_id", "left_anti")
+    seen = scans.select("scan_id").join(last, "scan_id", "left_anti")
     old_dets = t("detections_v").join(seen, "scan_id", "left_semi")
     old_events = t("change_events_v").join(seen.withColumnRenamed("scan_id", "new_scan_id"), "new_scan_id", "left_semi")
-    return sweep_decisions(batch.drop("page_key"), history.drop("page_key"), old_events, old_dets)
+    return batch, history, old_events, old_dets
+
+
+def _decisions(t: Tables):
+    return sweep_decisions(*_last_sweep(t))
 
 
 @case("sweep_decisions", with_views("select scan_id, action from act", *SWEEP_VIEWS, extra=SWEEP_CHAIN))
@@ -241,14 +249,8 @@ def _odd_reply(model: str):
 
 
 def _sweep(t: Tables):
-    scans = C.with_page_key(t("scans_v")).withColumn("content_type", F.lit("text/html"))
-    last = scans.groupBy("candidate_id", "page_key").agg(F.max("scan_id").alias("scan_id")).select("scan_id")
-    batch, history = scans.join(last, "scan_id", "left_semi"), scans.join(last, "scan_id", "left_anti")
-    seen = history.select("scan_id")
-    old_dets = t("detections_v").join(seen, "scan_id", "left_semi")
-    old_events = t("change_events_v").join(seen.withColumnRenamed("scan_id", "new_scan_id"), "new_scan_id", "left_semi")
     blocked = t("candidates_v").filter("c_custkey % 2 = 0")
-    return run_sweep(batch.drop("page_key"), history.drop("page_key"), old_events, old_dets, blocked, _odd_reply("m1"), _odd_reply("m2"))
+    return run_sweep(*_last_sweep(t), blocked, _odd_reply("m1"), _odd_reply("m2"))
 
 
 def _job(body: str) -> str:

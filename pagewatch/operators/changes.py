@@ -94,9 +94,13 @@ def baseline_state(scans: DataFrame, events: DataFrame, detections: DataFrame) -
 
     The newest usable scan, unless a change event at or after it says otherwise.
     """
-    usable = verdict_latest(
-        with_page_key(scans).filter(usable_scan(F.col("http_status"), F.col("raw_text"))), detections
-    )
+    paged = with_page_key(scans).withColumn("usable", usable_scan(F.col("http_status"), F.col("raw_text")))
+    return baseline_of(paged, events, detections)
+
+
+def baseline_of(paged: DataFrame, events: DataFrame, detections: DataFrame) -> DataFrame:
+    """``baseline_state`` for scans that carry their page key and whether they are usable."""
+    usable = verdict_latest(paged.filter("usable"), detections)
     last_scan = usable.groupBy(*PAGE).agg(
         F.max_by(F.struct("scan_id", "classification", "text_hash"), "scan_id").alias("u")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewatch.functions.status import NO_GUIDANCE, change_type, is_gone, is_positive, usable_scan
 from pagewatch.functions.text import strip
 from pagewatch.operators.changes import (
-    PAGE, apply_reconciliation, baseline_state, reconcile_events, replay_changes, with_page_key,
+    PAGE, apply_reconciliation, baseline_of, reconcile_events, replay_changes, with_page_key,
 )
 from pagewatch.operators.corpus import Scorer, classify_pages, prefilter, scan_outcome
 from pagewatch.session import write_through
@@ -26,12 +26,12 @@ def sweep_decisions(
     drop / unchanged / empty / prefiltered / reuse / classify. Texts are left out: join them
     by ``scan_id`` where a page is classified.
     """
-    last = (
-        with_page_key(history)
-        .groupBy(*PAGE)
-        .agg(F.max_by(F.struct("text_hash", "http_status"), "scan_id").alias("prev"))
+    facts = with_page_key(history).select(
+        "scan_id", *PAGE, "text_hash", "http_status", usable_scan(F.col("http_status"), F.col("raw_text")).alias("usable")
     )
-    base = baseline_state(history, events, detections).select(
+    facts = write_through(facts, "sweep-history")  # page keys are dear, and history is read three times
+    last = facts.groupBy(*PAGE).agg(F.max_by(F.struct("text_hash", "http_status"), "scan_id").alias("prev"))
+    base = baseline_of(facts, events, detections).select(
         *PAGE,
         F.col("ref_scan_id").alias("base_scan_id"),
         F.col("classification").alias("base_class"),
