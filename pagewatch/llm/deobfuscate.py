@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewatch.llm.labelled import fit_logistic, sigmoid, training_rows
+from pagewatch.llm.labelled import fit_logistic, known_labels, sigmoid, training_rows
 from pagewatch.llm.tables import held_out, whole_text
 from pagewatch.session import write_through
 
@@ -61,13 +61,20 @@ class CharModel:
     trigrams: dict[str, int]
     pairs: Counter = field(default_factory=Counter)
     known: dict[str, str] = field(default_factory=dict, repr=False)
+    logs: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         for gram, n in self.trigrams.items():
             self.pairs[gram[:2]] += n
 
     def log(self, before: str, char: str) -> float:
-        return math.log((self.trigrams.get(before + char, 0) + 0.05) / (self.pairs.get(before, 0) + 2.0))
+        gram = before + char
+        found = self.logs.get(gram)
+        if found is None:
+            if len(self.logs) >= KNOWN:
+                self.logs.clear()
+            found = self.logs[gram] = math.log((self.trigrams.get(gram, 0) + 0.05) / (self.pairs.get(before, 0) + 2.0))
+        return found
 
     def restored(self, token: str) -> str:
         word = self.known.get(token)
@@ -90,6 +97,14 @@ def restore(token: str, model: CharModel) -> str:
     token = token.lower()
     for at, char in enumerate(token):
         after: dict[str, tuple[float, str]] = {}
+        if char.isalpha() and char not in STANDS_FOR and not (at and token[at - 1] == char):
+            for state, (score, word) in best.items():  # only the letter itself
+                score += model.log(state, char)
+                state = state[1] + char
+                if state not in after or score > after[state][0]:
+                    after[state] = (score, word + char)
+            best = after
+            continue
 
         def offer(state: str, score: float, word: str) -> None:
             if state not in after or score > after[state][0]:
@@ -112,12 +127,16 @@ def restore(token: str, model: CharModel) -> str:
 
 def plain(token: str) -> str:
     word = token.lower().strip(AROUND)
+    if word.isalpha():
+        return word
     head = word.rstrip(ENDS)
     return (head if len(word) - len(head) > 1 else word).strip(AROUND)
 
 
 def disguised(word: str) -> bool:
     """Whether signs or digits stand among or before letters, or a letter is doubled; in time linear in the word."""
+    if word.isalpha():
+        return DOUBLED.search(word) is not None
     first = LETTER.search(word)
     if not first:
         return False
@@ -138,13 +157,16 @@ def readings(token: str, model: CharModel) -> list[str]:
     Of a token above ``LONG`` characters, its first ``LONG`` are restored: the lexicon knows words by
     their beginnings, and no longer words. What else stands in such a token, ``tokens_of`` takes apart.
     """
-    word = plain(token)
+    low = token.lower()
+    if low.isalpha() and not DOUBLED.search(low):
+        return [low]
+    whole = word = plain(token)
     if not disguised(word):
         head = token.lower().lstrip("\"'([{<«“„")  # a leading sign may be a letter: "!diot"
         if not (head[:1] in ("!", "|") and head[1:2].isalpha()):
             return [word]
         word = head.rstrip(AROUND)
-    return [plain(token), model.restored(word[:LONG])]
+    return [whole, model.restored(word[:LONG])]
 
 
 def spaced_words(text: str, least: int = 4) -> list[str]:
@@ -166,6 +188,8 @@ def tokens_of(text: str) -> list[str]:
     """A text's tokens and its joined runs; tokens above ``LONG`` also as the words that signs part in them."""
     tokens = text.split()
     out = [*tokens, *spaced_words(text, LEAST_SPACED)]
+    if max(map(len, tokens), default=0) <= LONG:
+        return out
     for token in tokens:
         if len(token) > LONG:
             inner = APART.sub(" ", token)
@@ -200,22 +224,22 @@ class ToxicModel:
     lexicon: dict[str, float]
     weights: np.ndarray
 
+    def __post_init__(self):
+        self.heads = {m[:4] for m in self.lexicon} | {m[:-1][:4] for m in self.lexicon if m.endswith("$")}
+
     def word_score(self, token: str) -> float:
-        known = [self.lexicon[m] for w in readings(token, self.chars) for m in marks(w) if m in self.lexicon]
-        return max(known, default=0.0)
+        words = [w for w in readings(token, self.chars) if w[:4] in self.heads]
+        return max((self.lexicon[m] for w in words for m in marks(w) if m in self.lexicon), default=0.0) if words else 0.0
 
     def features(self, text: str, cache: dict[str, float]) -> tuple[float, float, float, float]:
-        found, n = [], max(len(text.split()), 1)
-        for token in set(tokens_of(text)):
-            score = cache.get(token)
-            if score is None:
-                score = self.word_score(token)
-                if len(cache) >= KNOWN:
-                    cache.clear()
-                if len(token) <= 64:
-                    cache[token] = score
-            if score:
-                found.append(score)
+        n = max(len(text.split()), 1)
+        tokens = set(tokens_of(text))
+        new = {token: self.word_score(token) for token in tokens.difference(cache)}
+        found = [score for score in map(cache.get, tokens) if score]
+        found += [score for score in new.values() if score]
+        if len(cache) >= KNOWN:
+            cache.clear()
+        cache.update((token, score) for token, score in new.items() if len(token) <= 64)
         found.sort(reverse=True)
         return (
             found[0] if found else 0.0, sum(found[:5]), float(min(len(found), 5)),
@@ -230,22 +254,30 @@ def _counted(seen: Counter) -> pd.DataFrame:
     return pd.DataFrame({"gram": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
 
 
+def trigrams_of(tokens: Counter) -> Counter:
+    """Trigrams of the plain words among ``tokens``, each token counted as often as given."""
+    seen: Counter = Counter()
+    for token, n in tokens.items():
+        word = token.strip(AROUND)
+        if word.isalpha():
+            padded = f"^^{word}$"
+            for i in range(len(padded) - 2):
+                seen[padded[i : i + 3]] += n
+    return seen
+
+
 def char_model(rows: DataFrame) -> CharModel:
     """Trigrams of the plain words of the training rows, the most frequent kept."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        tokens: Counter = Counter()
         for batch in batches:
             for text in batch.text:
-                for token in set(text.lower().split()):
-                    word = token.strip(AROUND)
-                    if word.isalpha():
-                        padded = f"^^{word}$"
-                        seen.update(padded[i : i + 3] for i in range(len(padded) - 2))
-                if len(seen) >= PLACES:
-                    yield _counted(seen)
-                    seen.clear()
-        yield _counted(seen)
+                tokens.update(set(text.lower().split()))
+                if len(tokens) >= PLACES:
+                    yield _counted(trigrams_of(tokens))
+                    tokens.clear()
+        yield _counted(trigrams_of(tokens))
 
     grams = rows.select("text").mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return CharModel({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(TRIGRAMS).collect()})
@@ -255,6 +287,33 @@ def _marked(rows: list[tuple[str, str | None, int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["mark", "before", "clean"], dtype=object).astype({"clean": "int64"})
 
 
+def places_of(pairs: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    """The places of a document's pairs of neighbouring words: each mark of the second with the first."""
+    return {(m, before) for before, w in pairs for m in marks(w)}
+
+
+def add_clean(pairs: set[tuple[str, str]], words: Counter, clean: Counter) -> None:
+    """Count the places of a clean document: by word in ``words`` where its marks share no place, else by mark in ``clean``.
+
+    Two words after the same one share a place if they begin alike; beginnings of ``STARTS[0]`` letters tell.
+    """
+    begins = [(before, w[: STARTS[0]]) for before, w in pairs if len(w) > STARTS[0]]
+    if len(set(begins)) == len(begins):
+        words.update([w for _, w in pairs])
+        return
+    shared = {begin for begin, n in Counter(begins).items() if n > 1}
+    alike = {(before, w) for before, w in pairs if len(w) > STARTS[0] and (before, w[: STARTS[0]]) in shared}
+    words.update([w for _, w in pairs - alike])
+    clean.update(m for m, _ in places_of(alike))
+
+
+def _clean_marks(words: Counter, clean: Counter) -> pd.DataFrame:
+    for word, n in words.items():
+        for mark in marks(word):
+            clean[mark] += n
+    return _marked([(m, None, n) for m, n in clean.items()])
+
+
 def toxic_lexicon(rows: DataFrame, chars: CharModel) -> dict[str, float]:
     """Words and beginnings whose places are toxic far more often than chance.
 
@@ -266,24 +325,26 @@ def toxic_lexicon(rows: DataFrame, chars: CharModel) -> dict[str, float]:
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clean: Counter = Counter()
+        clean_words: Counter = Counter()
         toxic: set[tuple[str, str]] = set()
         known: dict[str, list[str]] = {}
         for batch in batches:
             for text, y in zip(batch.text, batch.y):
                 words = words_of(text, chars, known)
-                places = {(m, before) for before, w in set(zip(["", *words], words)) for m in marks(w)}
+                pairs = set(zip(["", *words], words))
                 if y:
-                    toxic |= places
+                    toxic |= places_of(pairs)
                 else:
-                    clean.update(m for m, _ in places)
+                    add_clean(pairs, clean_words, clean)
                 if len(toxic) >= PLACES:
                     yield _marked([(m, b, 0) for m, b in toxic])
                     toxic.clear()
-                if len(clean) >= PLACES:
-                    yield _marked([(m, None, n) for m, n in clean.items()])
+                if len(clean) + 4 * len(clean_words) >= PLACES:
+                    yield _clean_marks(clean_words, clean)
+                    clean_words.clear()
                     clean.clear()
         yield _marked([(m, b, 0) for m, b in toxic])
-        yield _marked([(m, None, n) for m, n in clean.items()])
+        yield _clean_marks(clean_words, clean)
 
     rows = rows.mapInPandas(seen, "mark string, before string, clean long").groupBy("mark", "before").agg(F.sum("clean").alias("clean"))
     counts = rows.groupBy("mark").agg(F.count("before").alias("t"), F.sum("clean").alias("c"))
@@ -299,29 +360,44 @@ def toxic_lexicon(rows: DataFrame, chars: CharModel) -> dict[str, float]:
     return {r.mark: r.weight for r in kept.orderBy(F.desc("gain"), "mark").limit(LEXICON_ROWS).collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    """Fit on all labelled rows that are not held out; only the model's counts and the regression's sums come to the driver.
-
-    Without toxic training rows nothing is toxic; without any rows likewise.
-    """
-    rows = write_through(training_rows(docs, labels, "toxic"), "toxic-train")
+def lexical_model(rows: DataFrame) -> ToxicModel:
+    """What the texts of the training rows teach; its weights call nothing toxic."""
     chars = char_model(rows)
-    model = ToxicModel(chars, toxic_lexicon(rows, chars), np.array([-8.0, 0, 0, 0, 0]))
+    return ToxicModel(chars, toxic_lexicon(rows, chars), np.array([-8.0, 0, 0, 0, 0]))
+
+
+def finds(rows: DataFrame, model: ToxicModel) -> DataFrame:
+    """``rows`` with the features a, b, c, d of ``text`` in its place."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, float] = {}
         for batch in batches:
-            found = np.array([model.features(t, cache) for t in batch.text]).reshape(-1, 4)
-            yield pd.DataFrame(found, columns=list("abcd")).assign(y=batch.y.to_numpy())
+            found = np.array([model.features(t, cache) for t in batch.pop("text")]).reshape(-1, 4)
+            yield batch.assign(**dict(zip("abcd", found.T)))
+
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
+    return rows.mapInPandas(measure, ", ".join([*kept, *(f"{c} double" for c in "abcd")]))
 
-    seen = rows.select("text", "y").mapInPandas(measure, "a double, b double, c double, d double, y int")
-    seen = write_through(seen.groupBy("a", "b", "c", "d", "y").agg(F.count("*").alias("n")), "toxic-features")
+
+def learn(model: ToxicModel, found: DataFrame) -> ToxicModel:
+    """``model`` with the weights of a regression of ``y`` on a, b, c, d; unchanged without rows of both kinds."""
+    seen = write_through(found.groupBy("a", "b", "c", "d", "y").agg(F.count("*").alias("n")), "toxic-features")
     weights = fit_logistic(seen, list("abcd"))
     if weights is not None:
         model.weights = weights
     return model
 
 
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
+    """Fit on all labelled rows that are not held out; only the model's counts and the regression's sums come to the driver.
+
+    Without toxic training rows nothing is toxic; without any rows likewise.
+    """
+    rows = write_through(training_rows(docs, labels, "toxic"), "toxic-train")
+    model = lexical_model(rows)
+    return learn(model, finds(rows.select("text", "y"), model))
+
+
 def scorer(model: ToxicModel):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -336,9 +412,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
     """doc_id, held_out, score and predicted of every row of ``docs``.
 
     Null texts count as empty; empty texts have no finds and get the lowest score.
-    Repeated rows are scored alike; a null doc_id is not held out.
+    Repeated rows are scored alike; a null doc_id is not held out. Each text is measured once, for
+    the fit and for its score.
     """
-    scored = docs.select("doc_id", held_out().alias("held_out"), scorer(fit(docs, labels))(whole_text()).alias("score"))
+    model = lexical_model(write_through(training_rows(docs, labels, "toxic"), "toxic-train"))
+    found = finds(docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text")), model)
+    found = write_through(found, "toxic-finds")
+    learn(model, found.join(known_labels(labels, "toxic"), "doc_id"))
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.column_stack([a, b, c, d])))
+
+    scored = found.select("doc_id", "held_out", score("a", "b", "c", "d").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -11,19 +11,22 @@ from pagewatch.llm.tables import held_out, whole_text
 BROADCAST_IDS = 1_000_000
 
 
+def known_labels(labels: DataFrame, label: str, sample: int | None = None) -> DataFrame:
+    """(doc_id, y) of the labelled ids that are not held out; see ``training_rows``."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    if sample is not None:
+        return F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    return F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int | None = None) -> DataFrame:
     """(doc_id, text, y) of all labelled documents that are not held out, or of at most ``sample``.
 
     A sample is drawn by the hash of the id, so reruns agree. Ids are broadcast if at most ``BROADCAST_IDS`` by
     count; beyond that, texts and ids are shuffled. Labels other than 0 and 1 and null ids are no labels; of several labels of one document the largest holds.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    if sample is not None:
-        known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    elif known.count() <= BROADCAST_IDS:
-        known = F.broadcast(known)
-    return docs.select("doc_id", whole_text().alias("text")).join(known, "doc_id")
+    return docs.select("doc_id", whole_text().alias("text")).join(known_labels(labels, label, sample), "doc_id")
 
 
 def sigmoid(x):

@@ -88,3 +88,21 @@ def test_lexicon_features_and_score(spark):
         assert np.allclose(got, want)
         z = model.weights[0] + sum(w * x for w, x in zip(model.weights[1:], want))
         assert abs(model.score(np.array([got]))[0] - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-12
+
+
+def test_clean_places_are_counted_as_one_by_one():
+    from collections import Counter
+
+    from pagewatch.llm import deobfuscate as D
+
+    texts = ["the house the housing the houses a house", "the reed the reeds of the reed", "one two three", ""]
+    words, clean, want = Counter(), Counter(), Counter()
+    for text in texts:
+        tokens = text.split()
+        pairs = set(zip(["", *tokens], tokens))
+        want.update(m for m, _ in {(m, before) for before, w in pairs for m in D.marks(w)})
+        D.add_clean(pairs, words, clean)
+    got = D._clean_marks(words, clean)
+    assert dict(zip(got.mark, got.clean)) == dict(want)
+    grams = D.trigrams_of(Counter({"reed,": 2, "x1": 1}))
+    assert grams == {"^^r": 2, "^re": 2, "ree": 2, "eed": 2, "ed$": 2}
