@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,13 +44,17 @@ DIGIT = re.compile(r"\d")
 SIGN = re.compile(r"[^\w\s]|_")
 STANDS = re.compile(r"[\d@$!+(€£¡]")
 DOUBLED = re.compile(r"([^\W\d_])\1")
+RUNS = re.compile(r"(.)\1+")
 ENDS = "$@!+*#%&"
+OPENING = "\"'([{<«“„"
+LEADING = OPENING + "!|"
 APART = re.compile(r"[^\w\s@$!+(€£¡|]|_")
 SPACED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
 WIDER = re.compile(r"\s{2,}|[^\S ]")
 LONG = 64
 REACH = 20
 LEAST_SPACED = 3
+SINGLES = bytes([1] * LEAST_SPACED)
 KNOWN = 200_000
 PLACES = 400_000
 
@@ -162,7 +167,7 @@ def readings(token: str, model: CharModel) -> list[str]:
         return [low]
     whole = word = plain(token)
     if not disguised(word):
-        head = token.lower().lstrip("\"'([{<«“„")  # a leading sign may be a letter: "!diot"
+        head = token.lower().lstrip(OPENING)  # a leading sign may be a letter: "!diot"
         if not (head[:1] in ("!", "|") and head[1:2].isalpha()):
             return [word]
         word = head.rstrip(AROUND)
@@ -184,12 +189,18 @@ def spaced_words(text: str, least: int = 4) -> list[str]:
     return out
 
 
-def tokens_of(text: str) -> list[str]:
-    """A text's tokens and its joined runs; tokens above ``LONG`` also as the words that signs part in them."""
-    tokens = text.split()
-    out = [*tokens, *spaced_words(text, LEAST_SPACED)]
-    if max(map(len, tokens), default=0) <= LONG:
+def tokens_of(text: str, tokens: list[str] | None = None) -> list[str]:
+    """A text's tokens and its joined runs; tokens above ``LONG`` also as the words that signs part in them.
+
+    ``tokens`` is the text's split, if it is at hand. Only a text with tokens of one character in a row has spaced words.
+    """
+    tokens = text.split() if tokens is None else tokens
+    sizes = list(map(len, tokens))
+    longest = max(sizes, default=0)
+    out = tokens if longest < 256 and SINGLES not in bytes(sizes) else [*tokens, *spaced_words(text, LEAST_SPACED)]
+    if longest <= LONG:
         return out
+    out = list(out)
     for token in tokens:
         if len(token) > LONG:
             inner = APART.sub(" ", token)
@@ -200,21 +211,21 @@ def tokens_of(text: str) -> list[str]:
 
 def marks(word: str) -> list[str]:
     """What the lexicon knows a word by: the whole of it and its beginnings."""
-    return [word + "$", *(word[:n] for n in STARTS if len(word) > n)] if len(word) > 2 else []
+    size = len(word)
+    return [word + "$", *[word[:n] for n in STARTS if size > n]] if size > 2 else []
 
 
 def words_of(text: str, model: CharModel, known: dict[str, list[str]]) -> list[str]:
     """The readings of a text's tokens; ``known`` holds those of tokens met before."""
-    out = []
-    for token in tokens_of(text):
-        words = known.get(token)
-        if words is None:
-            words = readings(token, model)
-            if len(known) >= KNOWN:
-                known.clear()
-            if len(token) <= 64:
-                known[token] = words
-        out += words
+    tokens = tokens_of(text)
+    if len(known) >= KNOWN:
+        known.clear()
+    fresh = set(tokens).difference(known)
+    known.update((token, readings(token, model)) for token in fresh)
+    out = list(chain.from_iterable(map(known.__getitem__, tokens)))
+    for token in fresh:
+        if len(token) > LONG:
+            del known[token]
     return out
 
 
@@ -226,24 +237,47 @@ class ToxicModel:
 
     def __post_init__(self):
         self.heads = {m[:4] for m in self.lexicon} | {m[:-1][:4] for m in self.lexicon if m.endswith("$")}
+        self.bare = {RUNS.sub(r"\1", head) for head in self.heads}
+
+    def may_mark(self, token: str) -> bool:
+        """False for most tokens that have no mark: words without signs, by how they begin.
+
+        Of letters alone, a restored word differs by fewer repeats only, so both begin alike without repeats.
+        """
+        word = token.lower()
+        if not word.isalpha():
+            if word[0] in LEADING:
+                return True
+            word = word.strip(AROUND)
+            if not word.isalpha():
+                return True
+        if word[:4] in self.heads:
+            return True
+        if not DOUBLED.search(word):
+            return False
+        bare = RUNS.sub(r"\1", word[:LONG])
+        return any(bare[:n] in self.bare for n in range(1, 5))
 
     def word_score(self, token: str) -> float:
         words = [w for w in readings(token, self.chars) if w[:4] in self.heads]
         return max((self.lexicon[m] for w in words for m in marks(w) if m in self.lexicon), default=0.0) if words else 0.0
 
     def features(self, text: str, cache: dict[str, float]) -> tuple[float, float, float, float]:
-        n = max(len(text.split()), 1)
-        tokens = set(tokens_of(text))
-        new = {token: self.word_score(token) for token in tokens.difference(cache)}
+        split = text.split()
+        tokens = set(tokens_of(text, split))
+        new = {token: self.word_score(token) if self.may_mark(token) else 0.0 for token in tokens.difference(cache)}
         found = [score for score in map(cache.get, tokens) if score]
         found += [score for score in new.values() if score]
         if len(cache) >= KNOWN:
             cache.clear()
-        cache.update((token, score) for token, score in new.items() if len(token) <= 64)
+        cache.update(new)
+        for token in new:
+            if len(token) > LONG:
+                del cache[token]
         found.sort(reverse=True)
         return (
             found[0] if found else 0.0, sum(found[:5]), float(min(len(found), 5)),
-            math.log1p(100 * len(found) / n),
+            math.log1p(100 * len(found) / max(len(split), 1)),
         )
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -283,8 +317,9 @@ def char_model(rows: DataFrame) -> CharModel:
     return CharModel({r.gram: r.n for r in grams.orderBy(F.desc("n"), "gram").limit(TRIGRAMS).collect()})
 
 
-def _marked(rows: list[tuple[str, str | None, int]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["mark", "before", "clean"], dtype=object).astype({"clean": "int64"})
+def _marked(marks: list[str], before: list[str | None], clean: list[int]) -> pd.DataFrame:
+    texts = {name: pd.Series(values, dtype=object) for name, values in (("mark", marks), ("before", before))}
+    return pd.DataFrame({**texts, "clean": pd.Series(clean, dtype="int64")})
 
 
 def places_of(pairs: set[tuple[str, str]]) -> set[tuple[str, str]]:
@@ -307,11 +342,15 @@ def add_clean(pairs: set[tuple[str, str]], words: Counter, clean: Counter) -> No
     clean.update(m for m, _ in places_of(alike))
 
 
+def _toxic_marks(places: set[tuple[str, str]]) -> pd.DataFrame:
+    return _marked([m for m, _ in places], [b for _, b in places], [0] * len(places))
+
+
 def _clean_marks(words: Counter, clean: Counter) -> pd.DataFrame:
     for word, n in words.items():
         for mark in marks(word):
             clean[mark] += n
-    return _marked([(m, None, n) for m, n in clean.items()])
+    return _marked(list(clean), [None] * len(clean), list(clean.values()))
 
 
 def toxic_lexicon(rows: DataFrame, chars: CharModel) -> dict[str, float]:
@@ -337,13 +376,13 @@ def toxic_lexicon(rows: DataFrame, chars: CharModel) -> dict[str, float]:
                 else:
                     add_clean(pairs, clean_words, clean)
                 if len(toxic) >= PLACES:
-                    yield _marked([(m, b, 0) for m, b in toxic])
+                    yield _toxic_marks(toxic)
                     toxic.clear()
                 if len(clean) + 4 * len(clean_words) >= PLACES:
                     yield _clean_marks(clean_words, clean)
                     clean_words.clear()
                     clean.clear()
-        yield _marked([(m, b, 0) for m, b in toxic])
+        yield _toxic_marks(toxic)
         yield _clean_marks(clean_words, clean)
 
     rows = rows.mapInPandas(seen, "mark string, before string, clean long").groupBy("mark", "before").agg(F.sum("clean").alias("clean"))

@@ -106,3 +106,28 @@ def test_clean_places_are_counted_as_one_by_one():
     assert dict(zip(got.mark, got.clean)) == dict(want)
     grams = D.trigrams_of(Counter({"reed,": 2, "x1": 1}))
     assert grams == {"^^r": 2, "^re": 2, "ree": 2, "eed": 2, "ed$": 2}
+
+
+def test_only_tokens_that_may_have_a_mark_are_read(monkeypatch):
+    """Tokens passed over have no mark; words of letters that begin otherwise are passed over, doubled letters too."""
+    model = model_of(["stupid", "letter", "idiot", "boob"], {"stupid$": 3.0, "stup": 2.0, "idi": 1.0, "boob$": 4.0, "abc$": 1.5})
+    rng = random.Random(5)
+    for _ in range(30_000):
+        token = "".join(rng.choice("stupidboaBS!|@$1.,\"'(ßİ中") for _ in range(rng.randrange(1, 9)))
+        assert model.may_mark(token) or model.word_score(token) == 0.0, token
+    for token in ("sstttupid", "BOOOB", "boobb,", "aabbcc", "5tupid", "(stupid)"):
+        assert model.word_score(token) > 0 and model.may_mark(token), token
+    text = "The house, a letter (and the bookkeeper's) valley will follow: still, coffee!"
+    read = []
+    monkeypatch.setattr(de, "readings", lambda token, chars: read.append(token) or [])
+    assert model.features(text, {}) == (0.0, 0.0, 0.0, 0.0) and sorted(read) == ["(and", "bookkeeper's)"]
+
+
+def test_spaced_words_are_sought_where_single_characters_stand_in_a_row(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(2_000):
+        text = "".join(rng.choice("ab  \t\n") for _ in range(rng.randrange(30))) + rng.choice(["", "x" * 300])
+        want = [*text.split(), *de.spaced_words(text, de.LEAST_SPACED)]
+        assert de.tokens_of(text)[: len(want)] == want
+    monkeypatch.setattr(de, "spaced_words", None)
+    assert de.tokens_of("a house a b house") == ["a", "house", "a", "b", "house"]
