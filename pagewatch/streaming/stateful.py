@@ -2,9 +2,9 @@
 
 Keys are dealt to a fixed number of shards by hash, so one large site spreads over many
 tasks and many small keys share one call. A call gets all rows of its shard in a
-micro-batch, holds them as Arrow columns and sorts them by key and id; every step is then a
-few array operations over all keys at once, with one stored row per key as what came
-before.
+micro-batch, holds them as Arrow columns and takes them by key and id, a slice at a time; every
+step is then a few array operations over all keys of a slice, with one stored row per key as what
+came before.
 
 A row at or below the last id that its key has seen is emitted with ``late = true`` and changes no
 state; the batch replay repairs such rows. The number of shards belongs to a job's checkpoint and
@@ -122,14 +122,25 @@ class _Sharded(StatefulProcessor):
         return rows
 
     def handled(self, table: pa.Table) -> Iterator[pd.DataFrame]:
+        """Rows by key and id, about ``SLICE`` at a time as if each were a micro-batch, so only what came in is held whole."""
         number = np.zeros(table.num_rows, np.int64)
         for name in self.keys:  # equal keys get equal numbers, a null one included
             codes = pc.fill_null(table[name].combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
             number = np.unique(number * (table.num_rows + 2) + codes + 1, return_inverse=True)[1]
         ids = table[self.order].to_numpy()
         sort = np.lexsort((ids, number))
-        table, number, ids = table.take(pa.array(sort)).combine_chunks(), number[sort], ids[sort]
+        start, n = 0, len(sort)
+        while start < n:
+            end = min(start + SLICE, n)
+            while end < n and number[sort[end]] == number[sort[end - 1]] and ids[sort[end]] == ids[sort[end - 1]]:
+                end += 1
+            at = sort[start:end]
+            yield from self.sliced(table.take(pa.array(at)).combine_chunks(), number[at], ids[at])
+            start = end
+
+    def sliced(self, table: pa.Table, number: np.ndarray, ids: np.ndarray) -> Iterator[pd.DataFrame]:
         groups = Groups(number)
+        number = groups.of
         names = list(zip(*[table[k].take(pa.array(groups.starts)).to_pylist() for k in self.keys]))
         found = [self.known.getValue(name) for name in names]
         last = np.array([np.iinfo(np.int64).min if f is None else f[0] for f in found])
