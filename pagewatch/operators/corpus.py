@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,30 +48,35 @@ def template_aliases(pages: DataFrame, order: str = "scan_id") -> DataFrame:
     return pages.join(first, body).withColumn("deduped", F.col(order) > F.col("representative"))
 
 
-def few_pages(batches: Iterator[pd.DataFrame], rows: int = 64) -> Iterator[pd.DataFrame]:
-    """Batches in pieces, so that what a page expands to is handed on before the next pages are read.
+def few_pages(
+    read: Callable[[Iterator[tuple]], list[tuple]], schema: list[tuple[str, pa.DataType]], rows: int = 64
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: the rows that ``read`` makes of a few pages at a time, after ``page_id`` the columns of ``schema``.
 
+    Only these pages' texts become Python's, and what they expand to is handed on before the next pages are read.
     Spark bounds the bytes of the batches themselves (spark.sql.execution.arrow.maxBytesPerBatch).
     """
-    for batch in batches:
-        for start in range(0, len(batch), rows):
-            yield batch.iloc[start : start + rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.schema([("page_id", batch.schema.field("page_id").type), *schema])
+            for start in range(0, batch.num_rows, rows):
+                made = read(zip(*[column.to_pylist() for column in batch.slice(start, rows).columns]))
+                columns = zip(*made) if made else [()] * len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+
+    return run
 
 
 def chunk_pages(pages: DataFrame, chunk_chars: int = 40_000) -> DataFrame:
     """(page_id, chunk_no, chunk) from (page_id, text): paragraphs packed up to the limit."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in few_pages(batches):
-            rows = [
-                (page, n, chunk)
-                for page, text in zip(batch["page_id"], batch["text"])
-                for n, chunk in enumerate(chunks_of(text or "", chunk_chars))
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "chunk_no", "chunk"])
+    def cut(rows: Iterator[tuple]) -> list[tuple]:
+        return [(page, n, chunk) for page, text in rows for n, chunk in enumerate(chunks_of(text or "", chunk_chars))]
 
     key_type = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "text").mapInPandas(cut, f"page_id {key_type}, chunk_no int, chunk string")
+    cut_few = few_pages(cut, [("chunk_no", pa.int32()), ("chunk", pa.string())])
+    return pages.select("page_id", "text").mapInArrow(cut_few, f"page_id {key_type}, chunk_no int, chunk string")
 
 
 def lexical_scorer(patterns: Sequence[str] = SIGNAL_PATTERNS, model: str = "lexical") -> Scorer:
@@ -203,17 +209,15 @@ def extract_links(pages: DataFrame) -> DataFrame:
     anchor = F.col("site_url") if "site_url" in pages.columns else F.col("url")
     key_type = pages.schema["page_id"].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in few_pages(batches):
-            rows = [
-                (page, url, site, pos, href, kind)
-                for page, url, site, html in zip(batch["page_id"], batch["url"], batch["site_url"], batch["html"])
-                for pos, (href, kind) in enumerate(links_of(url, html or ""))
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "url", "site_url", "pos", "href", "kind"])
+    def read(rows: Iterator[tuple]) -> list[tuple]:
+        return [
+            (page, url, site, pos, href, kind) for page, url, site, html in rows for pos, (href, kind) in enumerate(links_of(url, html or ""))
+        ]
 
-    found = pages.select("page_id", "url", anchor.alias("site_url"), "html").mapInPandas(
-        read, f"page_id {key_type}, url string, site_url string, pos int, href string, kind string"
+    text = pa.string()
+    read_few = few_pages(read, [("url", text), ("site_url", text), ("pos", pa.int32()), ("href", text), ("kind", text)])
+    found = pages.select("page_id", "url", anchor.alias("site_url"), "html").mapInArrow(
+        read_few, f"page_id {key_type}, url string, site_url string, pos int, href string, kind string"
     )
     return found.filter(same_domain(F.col("site_url"), F.col("href"))).drop("site_url")
 
@@ -222,11 +226,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, text): every text node outside code and markup elements."""
     key_type = pages.schema["page_id"].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in few_pages(batches):
-            yield pd.DataFrame({"page_id": batch["page_id"], "text": [text_of(h or "") for h in batch["html"]]})
+    def read(rows: Iterator[tuple]) -> list[tuple]:
+        return [(page, text_of(html or "")) for page, html in rows]
 
-    return pages.select("page_id", "html").mapInPandas(read, f"page_id {key_type}, text string")
+    read_few = few_pages(read, [("text", pa.string())])
+    return pages.select("page_id", "html").mapInArrow(read_few, f"page_id {key_type}, text string")
 
 
 LOC = r"(?is)<loc>\s*(.*?)\s*</loc>"

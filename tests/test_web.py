@@ -2,7 +2,9 @@
 
 import collections
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,3 +343,19 @@ def test_blocked_children_take_no_place(spark):
     blocked = spark.createDataFrame([("c0",), ("c1",)], "doc_url string")
     # c2 was allowed but not fetched: it takes one of the two places
     assert [r["url"] for r in W.sitemap_urls(sites, docs, 2, 10, blocked).orderBy("pos").collect()] == ["p3"]
+
+
+def test_only_a_few_pages_of_a_batch_become_python_texts():
+    """A large Arrow batch costs Python a few pages' texts, whatever its rows; ids keep their type."""
+    n = 4_000
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array([None, *range(1, n)], pa.int32()), "text": ["x" * 10_000] * n})
+    run = W.few_pages(lambda rows: [(page, len(text)) for page, text in rows if page is None or page % 2], [("size", pa.int32())])
+    tracemalloc.start()
+    out = pa.Table.from_batches(run(iter([batch, batch.slice(0, 0)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+    assert out.schema.field("page_id").type == pa.int32()
+    assert out.column("page_id").to_pylist() == [None, *range(1, n, 2)] and set(out.column("size").to_pylist()) == {10_000}
+    empty = list(W.few_pages(lambda rows: [], [("size", pa.int32())])(iter([batch])))
+    assert sum(b.num_rows for b in empty) == 0 and empty[0].schema.names == ["page_id", "size"]
