@@ -66,15 +66,13 @@ def top_detection(ranked: DataFrame) -> DataFrame:
 
 
 def exhibit_detections(ranked: DataFrame) -> DataFrame:
-    """Best detection per (candidate, url) when positive and not rejected, with first detection time."""
-    best = latest_per_key(ranked, ADDRESS, rank_order()).filter(
-        is_positive(F.col("classification")) & (F.coalesce("action", F.lit("")) != "reject")
-    )
-    firsts = (
-        ranked.filter(is_positive(F.col("classification")))
-        .groupBy(*ADDRESS)
-        .agg(F.min("classified_at").alias("first_detected_at"))
-    )
+    """Best detection per (candidate, url) when positive and not rejected, with first detection time.
+
+    Every positive detection ranks above the others, so only positive ones are ranked.
+    """
+    positive = ranked.filter(is_positive(F.col("classification")))
+    best = latest_per_key(positive, ADDRESS, rank_order()).filter(F.coalesce("action", F.lit("")) != "reject")
+    firsts = positive.groupBy(*ADDRESS).agg(F.min("classified_at").alias("first_detected_at"))
     return best.join(firsts, ADDRESS)
 
 
@@ -113,14 +111,11 @@ def body_detections(ranked: DataFrame) -> DataFrame:
 
 
 def body_first_seen(scans: DataFrame, detections: DataFrame) -> DataFrame:
-    """First fetch of every body that was ever positive."""
-    bodies = (
-        detections.filter(is_positive(F.col("classification")))
-        .select("scan_id")
-        .join(scans.select("scan_id", *BODY), "scan_id")
-        .select(*BODY)
-        .distinct()
-    )
+    """First fetch of every body that was ever positive. Ranked detections bring their bodies, others get them by scan."""
+    positive = detections.filter(is_positive(F.col("classification")))
+    if "text_hash" not in detections.columns:
+        positive = positive.select("scan_id").join(scans.select("scan_id", *BODY), "scan_id")
+    bodies = positive.select(*BODY).distinct()
     return scans.join(bodies, BODY, "left_semi").groupBy(*BODY).agg(F.min("fetched_at").alias("first_seen"))
 
 
@@ -135,16 +130,16 @@ def watched_addresses(ranked: DataFrame) -> DataFrame:
 def url_live_state(scans: DataFrame, ranked: DataFrame, events: DataFrame) -> DataFrame:
     """(candidate_id, url, gone_on): NULL while the guidance is still up.
 
-    Scans may bring ``usable`` instead of their text. The test of a text is part of the aggregate, as a
-    filter would be moved ahead of the semi-join and read every text.
+    Scans that bring ``usable`` instead of their text are those of watched addresses alone. Elsewhere the test
+    of a text is part of the aggregate, as a filter would be moved ahead of the semi-join and read every text.
     """
     if "usable" in scans.columns:
-        usable = F.col("usable")
+        watched, usable = scans.filter("usable"), F.lit(True)
     else:
+        watched = scans.join(watched_addresses(ranked), ADDRESS, "left_semi")
         usable = usable_scan(F.col("http_status"), F.col("raw_text"))
     last_scan = (
-        scans.join(watched_addresses(ranked), ADDRESS, "left_semi")
-        .groupBy(*ADDRESS)
+        watched.groupBy(*ADDRESS)
         .agg(F.max_by(F.struct("scan_id", "text_hash", "fetched_at"), F.when(usable, F.col("scan_id"))).alias("s"))
         .filter("s is not null")
         .select(*ADDRESS, "s.*")
@@ -218,6 +213,12 @@ def exhibit_versions(exhibits: DataFrame, urls: DataFrame, bodies: DataFrame, se
     )
 
 
+def exhibit_events(events: DataFrame, urls: DataFrame) -> DataFrame:
+    """Events on addresses of exhibits, with the exhibit's body for the address."""
+    narrow = events.select("change_id", *ADDRESS, "event_type", "prev_scan_id", "new_scan_id", "detected_at")
+    return narrow.join(urls.select(*ADDRESS, "text_hash"), ADDRESS).drop("url")
+
+
 def compared_scans(events: DataFrame) -> DataFrame:
     """The different scan ids that modified events name."""
     return events.filter("event_type = 'modified'").select(F.explode(F.array("prev_scan_id", "new_scan_id")).alias("scan_id")).filter("scan_id is not null").distinct()
@@ -239,7 +240,7 @@ def modified_event_context(events: DataFrame, scans: DataFrame, detections: Data
     The scans that events name are taken from ``scans`` in one pass and written; only those texts are joined.
     """
     out = events.filter("event_type = 'modified'")
-    ids = compared_scans(out)
+    ids = write_through(compared_scans(out), "event-ids")
     evidence = ids.join(detections, "scan_id").groupBy("scan_id").agg(F.max_by("evidence", "detection_id").alias("evidence"))
     texts = scans_of(ids, scans, "raw_text").join(evidence, "scan_id", "left")
     texts = write_through(texts.select("scan_id", "raw_text", "evidence"), "event-texts")
@@ -260,16 +261,18 @@ def exhibit_timeline(
 ) -> DataFrame:
     """(candidate_id, text_hash, day, kind, kind_rank) rows, one per distinct entry.
 
-    ``changes``: candidate_id, url, event_type, detected_at, guidance_same.
+    ``changes``: candidate_id, url, event_type, detected_at, guidance_same; or text_hash (of the exhibit) instead of url.
+    The logged entries are written, as four branches read them.
     """
-    logged = (
-        changes.join(urls.select(*ADDRESS, "text_hash"), ADDRESS)
-        .select(
+    if "text_hash" not in changes.columns:
+        changes = changes.join(urls.select(*ADDRESS, "text_hash"), ADDRESS)
+    logged = write_through(
+        changes.select(
             *BODY,
             F.to_date("detected_at").alias("day"),
             change_key(F.col("event_type"), F.col("guidance_same")).alias("kind"),
-        )
-        .distinct()
+        ).distinct(),
+        "logged",
     )
     dated = logged.filter("kind in ('updated', 'revised', 'changed')").select(*BODY, "day")
     revised = (

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pagewatch.functions.status import usable_scan
 from pagewatch.operators.ordered import latest_per_key
 from pagewatch.operators.publish import (
-    ADDRESS, BODY, body_detections, body_first_seen, collapse_aliases, compared_scans, exhibit_detections, exhibit_timeline,
-    exhibit_urls, exhibit_versions, gone_since, lastmod, modified_event_context, publishable, scans_of, top_detection,
+    ADDRESS, BODY, body_detections, body_first_seen, collapse_aliases, compared_scans, exhibit_detections, exhibit_events,
+    exhibit_timeline, exhibit_urls, exhibit_versions, gone_since, lastmod, modified_event_context, publishable, scans_of, top_detection,
     url_live_state, view_label, view_status, watched_addresses,
 )
 from pagewatch.operators.review import ranked_detections
@@ -77,7 +77,7 @@ class Views:
 
     @cached_property
     def _exhibit_rows(self) -> DataFrame:
-        return exhibit_detections(self._ranked)
+        return write_through(exhibit_detections(self._ranked), "exhibit-rows")
 
     @cached_property
     def _collapsed(self) -> DataFrame:
@@ -87,22 +87,22 @@ class Views:
     def urls(self) -> DataFrame:
         return write_through(exhibit_urls(self._exhibit_rows, self._collapsed), "addresses")
 
-    @cached_property
-    def _watched(self) -> DataFrame:
-        return self._facts.join(watched_addresses(self._ranked), ADDRESS, "left_semi")
-
     @cached_property
     def _texts(self) -> DataFrame:
+        """Scans of watched addresses and those that events compare: these keep their text, the others what it says of the page."""
+        watched = self._facts.join(watched_addresses(self._ranked), ADDRESS, "left_semi").select("scan_id", F.lit(True).alias("watched"))
         compared = compared_scans(self.events).withColumn("compared", F.lit(True))
-        needed = self._watched.select("scan_id").join(compared, "scan_id", "full_outer")
-        texts = scans_of(needed, self.scans, "http_status", "raw_text").select(
-            "scan_id", usable_scan(F.col("http_status"), F.col("raw_text")).alias("usable"), F.when(F.col("compared"), F.col("raw_text")).alias("raw_text")
+        needed = watched.join(compared, "scan_id", "full_outer")
+        facts = ["candidate_id", "url", "text_hash", "fetched_at"]
+        texts = scans_of(needed, self.scans, *facts, "http_status", "raw_text").select(
+            "scan_id", *facts, "watched", usable_scan(F.col("http_status"), F.col("raw_text")).alias("usable"),
+            F.when(F.col("compared"), F.col("raw_text")).alias("raw_text"),
         )
         return write_through(texts, "texts")
 
     @cached_property
     def _gone(self) -> DataFrame:
-        live = self._watched.join(self._texts.select("scan_id", "usable"), "scan_id")
+        live = self._texts.filter("watched").drop("raw_text")
         return write_through(gone_since(self.urls, url_live_state(live, self._ranked, self.events)), "gone")
 
     @cached_property
@@ -111,8 +111,10 @@ class Views:
 
     @cached_property
     def timeline(self) -> DataFrame:
-        context = modified_event_context(self.events, self._texts, self._ranked).select("change_id", "guidance_same")
-        changes = self.events.join(context, "change_id", "left")
+        events = write_through(exhibit_events(self.events, self.urls), "exhibit-events")
+        modified = modified_event_context(events, self._texts, self._ranked).select(*events.columns, "guidance_same")
+        others = events.filter("not event_type <=> 'modified'").withColumn("guidance_same", F.lit(None).cast("boolean"))
+        changes = modified.unionByName(others)
         return exhibit_timeline(self._collapsed, self.urls, changes, self.versions, self._gone)
 
     @cached_property

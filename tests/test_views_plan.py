@@ -60,3 +60,40 @@ def test_status_and_rank_need_no_written_views(spark, monkeypatch):
     assert out.versions.columns and "gone" not in labels and "texts" not in labels
     assert sorted(standing) == sorted(out.views.select("candidate_id", "status", "supporting_total").collect())
     assert len(labels) == len(set(labels))
+
+
+def test_timeline_entries_are_worked_out_once(spark, monkeypatch, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    t, plans, write = Tables(spark, FOLDER), [], publish.write_through
+    path = str(tmp_path / "all-events")
+    t("change_events_v").write.parquet(path)
+
+    def watched(df, label="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(views, "write_through", watched)
+    monkeypatch.setattr(publish, "write_through", watched)
+    corr = corroborate(t("ie_filings_v"), t("detections_v"), t("reviews_v"), 2026)
+    out = views.candidate_views(
+        site_candidates(t), t("scans_v"), evidence_detections(t), t("reviews_v"), t("archives_v"), corr, spark.read.parquet(path)
+    )
+    plans.append(out.timeline._jdf.queryExecution().executedPlan().toString())
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    # the scans they compare, the last of each address, and those on exhibits
+    assert sum("all-events" in line for p in plans for line in p.splitlines()) == 3
+    assert "all-events" not in plans[-1]
+
+
+def test_only_positive_detections_are_ranked_for_exhibits(spark):
+    schema = "detection_id long, candidate_id string, url string, classification string, action string, classified_at date, tier int, severity int, confidence_rank double"
+    rows = [
+        (1, "a", "u", "ambiguous", "reject", None, 0, 1, 0.1), (2, "a", "u", "no_guidance_detected", "approve", None, 0, 0, 0.9),
+        (3, "a", "v", "no_guidance_detected", None, None, 0, 0, 0.9), (4, "a", "w", "ambiguous", None, None, 1, 1, 0.2),
+        (5, "a", "w", "no_guidance_detected", None, None, 0, 0, 0.9),
+    ]
+    found = publish.exhibit_detections(spark.createDataFrame(rows, schema))
+    assert [r.detection_id for r in found.collect()] == [4]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Partial"):]  # the rank limit ahead of the shuffle
+    assert " IN (" in below[: below.index("Scan")]
