@@ -132,7 +132,10 @@ class Views:
             "candidate_id", "detection_id", "classification", "confidence", "evidence", "classified_at",
             F.col("url").alias("page_url"), "action", "reviewed_at",
         )
-        views = self._statuses(self._facts, top).join(self._newest_archive, "detection_id", "left").withColumn("label", view_label())
+        # joined to the detections: candidates without one have no id, and all of them would go to one task
+        top = top.join(self._newest_archive, "detection_id", "left")
+        views = self._statuses(self._facts, top)
+        views = views.select(*[c for c in views.columns if c != "archive_id"], "archive_id").withColumn("label", view_label())
         return lastmod(views, self.exhibits)
 
 

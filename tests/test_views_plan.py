@@ -97,3 +97,18 @@ def test_only_positive_detections_are_ranked_for_exhibits(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Partial"):]  # the rank limit ahead of the shuffle
     assert " IN (" in below[: below.index("Scan")]
+
+
+def test_candidates_without_a_detection_are_not_joined_by_its_id(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    t = Tables(spark, FOLDER)
+    corr = corroborate(t("ie_filings_v"), t("detections_v"), t("reviews_v"), 2026)
+    out = views.candidate_views(site_candidates(t), t("scans_v"), evidence_detections(t), t("reviews_v"), t("archives_v"), corr, t("change_events_v"))
+    lines = out.views._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    depth = [re.search(r"[A-Za-z]", line).start() for line in lines]
+    joins = [i for i, line in enumerate(lines) if re.search(r"Join LeftOuter, \(detection_id", line)]
+    assert joins
+    for i in joins:
+        end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        assert not any("c_custkey" in line for line in lines[i:end])
