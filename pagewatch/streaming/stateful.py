@@ -130,19 +130,23 @@ class _Sharded(StatefulProcessor):
         ids = table[self.order].to_numpy()
         sort = np.lexsort((ids, number))
         start, n = 0, len(sort)
+        empty = next(iter(self.known.keys()), None) is None  # asked once, so that the first micro-batch does not ask for each of its keys
         while start < n:
             end = min(start + SLICE, n)
             while end < n and number[sort[end]] == number[sort[end - 1]] and ids[sort[end]] == ids[sort[end - 1]]:
                 end += 1
             at = sort[start:end]
-            yield from self.sliced(table.take(pa.array(at)).combine_chunks(), number[at], ids[at])
+            new = empty and (start == 0 or number[at[0]] != number[sort[start - 1]])  # a key that goes on has been stored by the slice before
+            yield from self.sliced(table.take(pa.array(at)).combine_chunks(), number[at], ids[at], empty, new)
             start = end
 
-    def sliced(self, table: pa.Table, number: np.ndarray, ids: np.ndarray) -> Iterator[pd.DataFrame]:
+    def sliced(self, table: pa.Table, number: np.ndarray, ids: np.ndarray, empty: bool = False, new: bool = False) -> Iterator[pd.DataFrame]:
+        """``empty``: nothing is stored but, unless ``new``, what the slice before has stored of the first key."""
         groups = Groups(number)
         number = groups.of
         names = list(zip(*[table[k].take(pa.array(groups.starts)).to_pylist() for k in self.keys]))
-        found = [self.known.getValue(name) for name in names]
+        asked = names[: 0 if new else 1] if empty else names
+        found = [self.known.getValue(name) for name in asked] + [None] * (len(names) - len(asked))
         last = np.array([np.iinfo(np.int64).min if f is None else f[0] for f in found])
         late = ids <= last[groups.of]
         late[1:] |= (number[1:] == number[:-1]) & (ids[1:] == ids[:-1])

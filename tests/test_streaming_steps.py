@@ -196,3 +196,14 @@ def test_a_hot_key_is_stepped_through_in_slices(monkeypatch):
     out = pd.concat(processor.handleInputRows((0,), iter([frame]), None))
     assert max(seen) <= stateful.SLICE and sum(seen) == n
     assert (out.strikes == out.seq + 1).all()
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_an_empty_store_is_not_asked_for_each_key(monkeypatch, size):
+    asked = []
+    monkeypatch.setattr(stateful, "SLICE", size)
+    monkeypatch.setattr(Known, "getValue", lambda self, key: asked.append(key) or self.get(key))
+    rows = [(i, "a", f"p{i // 2}", f"h{i}", 200) for i in range(10)]
+    out = run(stateful._NewBodies(), [rows])
+    assert [r["scan_id"] for r in out] == list(range(10)) and not any(r["late"] for r in out)
+    assert len(asked) == {1: 5, 3: 2, 100: 0}[size]  # only keys that go on in another slice
