@@ -23,6 +23,9 @@ MASKS = ("11111", "1110101", "1101011")
 SHORT = ("1111", "111", "1101", "11", "1")
 WINDOW, AGREE = 13, 0.8
 BROADCAST_SEEDS = 1_000_000
+RUN = 4_096
+# The sieve: 2 bytes a seed and some 50 a bucket go to all executors.
+SIEVE_SEEDS, BUCKET_BITS, REST_BITS = 50_000_000, 18, 15
 
 
 def covered(masks: Sequence[str], n: int, gone: int) -> bool:
@@ -76,6 +79,40 @@ def item_seeds(items: DataFrame, by_length: dict[int, list[int]], masks: Sequenc
     return at.select("item_key", "at", F.explode(F.array(*each)).alias("seed")).filter("seed is not null")
 
 
+def sieved(placed: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The rows of ``placed`` whose seed is in ``seeds``, and one in some thousands of the others.
+
+    Only a few bits of each seed are sent to the executors, so that what is shuffled by seed is little more than the hits.
+    """
+    bucket, rest = F.shiftrightunsigned("seed", 64 - BUCKET_BITS), F.col("seed").bitwiseAND((1 << REST_BITS) - 1).cast("short")
+    buckets = seeds.groupBy(bucket.alias("_bucket")).agg(F.collect_set(rest).alias("_rests"))
+    return placed.join(F.broadcast(buckets), bucket == F.col("_bucket")).filter(F.array_contains("_rests", rest)).select(placed.columns)
+
+
+def lays(texts: DataFrame, seeds: DataFrame, n_seeds: int, used: dict[int, str], broadcast: int, run: int = RUN) -> DataFrame:
+    """(row key, item_key, shift, low_at, high_at) of each place where seeds lay an item along a document.
+
+    ``low_at`` and ``high_at`` are the first and last place in the item that a seed met. No row is wider than the seeds of
+    ``run`` words, and a document's hits are summed up as they are found.
+    """
+    reach = max(map(len, used.values())) - 1
+    starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / run).cast("int"))
+    runs = F.transform(starts, lambda c: F.slice("words", c * run + 1, run + reach))
+    every = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.least(F.size("run"), F.lit(run)) - 1), lambda i: F.array(*seeds_at(F.col("run"), i, used))
+        )
+    )
+    # posexplode_outer: for posexplode Spark adds a filter that works out all seeds once more
+    cut = texts.select(*KEY, word_hashes(F.col("text")).alias("words")).select(*KEY, F.posexplode_outer(runs).alias("c", "run"))
+    placed = cut.select(*KEY, "c", every.alias("seeds")).select(*KEY, "c", F.posexplode_outer("seeds").alias("k", "seed"))
+    placed = placed.select(*KEY, (F.col("c") * run + F.floor(F.col("k") / len(used)).cast("int")).alias("place"), "seed")
+    if broadcast < n_seeds <= SIEVE_SEEDS:
+        placed = sieved(placed, seeds)
+    met = placed.join(F.broadcast(seeds) if n_seeds <= broadcast else seeds, "seed").select(*KEY, "item_key", (F.col("place") - F.col("at")).alias("shift"), "at")
+    return met.groupBy(*KEY, "item_key", "shift").agg(F.min("at").alias("low_at"), F.max("at").alias("high_at"))
+
+
 def hits(
     docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, window: int = WINDOW, agree: float = AGREE, broadcast: int = BROADCAST_SEEDS
 ) -> DataFrame:
@@ -85,39 +122,34 @@ def hits(
     benchmark the masks are chosen that leave no substitution it allows unmet, down to the whole item where
     none is allowed. An item with a null id is an item like any other.
 
-    The seed table goes to all executors if its counted size allows. Else narrow rows (row key,
-    place, seed) are shuffled by seed, and words are taken again only from the documents that
-    met one. Windows that run over a document's end have a shorter hash and meet no seed.
+    Two passes. The first carries narrow rows alone (row key, place, seed), worked out in runs of a document's words,
+    and keeps one row per lay of an item along a document, however many seeds met. The second takes words again only from
+    the documents that met one, and hands on no more of them than the item covers. The seed table, and the keys of
+    those documents, go to all executors if their counted size allows; else rows are shuffled, of the seeds those that
+    a sieve lets through. Windows that run over a document's end have a shorter hash and meet no seed.
     """
     items = write_through(item_words(benchmark), "decon-items")
     lengths = [r.n for r in items.select(F.least(F.size("item"), F.lit(window)).alias("n")).distinct().collect()]
     by_length = {n: masks_of(n, masks, window, agree) for n in sorted(lengths)} or {window: [0]}
     seeds = write_through(item_seeds(items, by_length, masks), "decon-seeds")
-    small = seeds.count() <= broadcast
+    n_seeds = seeds.count()
     used = {k: [*masks, *SHORT][k] for k in sorted({k for numbers in by_length.values() for k in numbers})}
-    words = word_hashes(whole_text())
-    every = F.flatten(
-        F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array(*seeds_at(F.col("words"), i, used)))
-    )
-    # posexplode_outer: for posexplode Spark adds a filter that works out all seeds once more
-    seeded = F.posexplode_outer("seeds").alias("place", "seed")
-    shift = (F.floor(F.col("place") / len(used)).cast("int") - F.col("at")).alias("shift")
-    if small:
-        hashed = docs.select("doc_id", words.alias("words"))
-        placed = hashed.select("doc_id", "words", every.alias("seeds")).select("doc_id", "words", seeded)
-        found = placed.join(F.broadcast(seeds), "seed").select("doc_id", "item_key", "at", shift, "words")
-    else:
-        keyed = docs.withColumns(row_key(docs))
-        placed = keyed.select(*KEY, words.alias("words")).select(*KEY, every.alias("seeds")).select(*KEY, seeded)
-        met = placed.join(seeds, "seed").select(*KEY, "item_key", "at", shift).distinct()
-        found = write_through(met, "decon-met").join(keyed.select("doc_id", words.alias("words"), *KEY).dropDuplicates(KEY), KEY)
-    found = found.join(F.broadcast(items) if small else items, "item_key")
-    n = F.size("item")
-    same = F.transform(F.sequence(F.lit(0), n - 1), lambda j: (F.get("words", j + F.col("shift")) == F.get("item", j)).eqNullSafe(True))
-    found = found.select("doc_id", "item_key", "item_id", "at", n.alias("n_words"), same.alias("same"))
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    texts = texts.withColumns(row_key(texts))
+    met = write_through(lays(texts, seeds, n_seeds, used, broadcast), "decon-met")
+    asked = write_through(met.select(*KEY).distinct(), "decon-asked")
+    few = asked.count() <= broadcast
+    asked = texts.join(F.broadcast(asked) if few else asked, KEY, "left_semi").dropDuplicates(KEY)
+    worded = asked.select("doc_id", *KEY, word_hashes(F.col("text")).alias("words"))
+    n, low = F.size("item"), F.least("shift", F.lit(0))
+    near = F.slice("words", F.greatest("shift", F.lit(0)) + 1, n).alias("near")
+    found = met.join(F.broadcast(items) if n_seeds <= broadcast else items, "item_key").join(worded, KEY)
+    found = found.select("doc_id", "item_key", "item_id", "item", "low_at", "high_at", low.alias("low"), near)
+    same = F.transform(F.sequence(F.lit(0), n - 1), lambda j: (F.get("near", j + F.col("low")) == F.get("item", j)).eqNullSafe(True))
+    found = found.select("doc_id", "item_key", "item_id", "low_at", "high_at", n.alias("n_words"), same.alias("same"))
     width = F.least(F.lit(window), F.col("n_words"))
-    first = F.greatest(F.col("at") - width + 1, F.lit(0))
-    last = F.least(F.col("at"), F.col("n_words") - width)
+    first = F.greatest(F.col("low_at") - width + 1, F.lit(0))
+    last = F.least(F.col("high_at"), F.col("n_words") - width)
     best = F.array_max(F.transform(F.sequence(first, last), lambda s: F.size(F.filter(F.slice("same", s + 1, width), lambda x: x))))
     found = found.select(
         "doc_id", "item_key", "item_id", "n_words", F.size(F.filter("same", lambda x: x)).alias("n_agree"), (best / width).alias("agreement")
