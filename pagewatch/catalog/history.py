@@ -416,14 +416,15 @@ def _siblings_of(t: Tables):
 @case(
     "twins_of",
     with_views(
-        "select * from (select detection_id as asked_id, min(detection_id) over body as body_id, min(detection_id) over claim as claim_id, count(*) over body - count(*) over claim as n_twins "
-        "from pbod join candidates_v using (candidate_id) where text_hash in (select text_hash from multi) window body as (partition by text_hash), claim as (partition by text_hash, candidate_id)) x where n_twins>0",
+        "select * from (select detection_id as asked_id, min(k) over body as body_id, min(k) over claim as claim_id, count(k) over body - count(k) over claim as n_twins "
+        "from (select *, case when candidate_id in (select candidate_id from candidates_v) then detection_id end as k from pbod where candidate_id is not null) p "
+        "where text_hash in (select text_hash from multi) window body as (partition by text_hash), claim as (partition by text_hash, candidate_id)) x where n_twins>0",
         *RV, extra=(LR, PB, MULTI),
     ),
 )
 def _twins_of(t: Tables):
     d, s, c, r = _rv(t)
-    return V.twins_of(d, V.cross_attribution_twins(d, s, c, r))
+    return V.twins_of(V.positive_bodies(d, s), V.cross_attribution_twins(d, s, c, r))
 
 
 @case(
