@@ -180,4 +180,6 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark."""
     marked = write_through(hits(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct(), "decon-marked")
+    # ids alone go to all executors: above Spark's own limit every text would be shuffled and sorted to drop a few
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_SEEDS else marked
     return docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]), "left_anti")

@@ -51,3 +51,16 @@ def test_sieve(spark):
     assert left.columns == placed.columns
     ids = {r.place for r in left.collect()}
     assert ids >= set(range(3_000)) and len(ids) < 3_100 and left.count() == len(ids)
+
+
+def test_documents_stay_where_they_are(spark):
+    """Above Spark's own limit texts would be shuffled and sorted to drop a few documents."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = dc.without_contaminated(documents(spark, [(1, ITEMS[0][1], "a"), (2, "clean", "a")]), benchmark(spark))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r.doc_id for r in kept.collect()] == [2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
